@@ -3,19 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm import mixing, pii
+from tilewright.llm import bpe, chat, exact_dedup, mixing, pii, urls
+from tilewright.llm.oracles import ORACLES
 from tilewright.plans import table
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    """Digest of ids and of decoded bytes, with the multilingual ranks."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(docs, *ranks), *ranks)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_conversations(turns)).withColumnRenamed("conv", "conv_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *pii.pii_digest(found["spans"]))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_pii": op10_pii}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op7_bpe": op7_bpe,
+    "op8_chat_format": op8_chat_format,
+    "op10_pii": op10_pii,
+}
