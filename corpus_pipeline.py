@@ -1,5 +1,79 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language, exact copies, near copies, mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
+rows that its predecessor kept, and its decisions take effect: all but the last
+return the columns of ``documents``. The operators return decisions by id, which
+a join with the documents applies; rows that share an id share its decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm import catalog, exact_dedup, langid, mixing, simhash
+from tilewright.plans import cut, table
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts of no language (null, or without a letter); ``lang`` stays the label that came with a document."""
+    said = langid.predict(docs, langid.fit(langid.training_sample(docs)))
+    return _only(docs, said.where("lang_pred <> 'und'"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays, once if its row is repeated."""
+    rows = cut(exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    named = docs.withColumn("_text_sha", F.sha2(text, 256))
+    on = lambda ids: F.col("doc_id").eqNullSafe(ids["_id"]) & (F.col("_text_sha") == ids["_sha"])
+    kept = rows.where("kept")
+    found = named.join(kept, on(kept), "left_semi")
+    repeated = cut(rows.groupBy("_id", "_sha").count().where("count > 1"), "repeated")
+    if not repeated.isEmpty():
+        found = found.join(repeated, on(repeated), "left_anti").unionByName(found.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "_text_sha"]))
+    return found.drop("_text_sha")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts the document with the smallest id stays."""
+    return _only(docs, simhash.near_dedup(docs).where("doc_id <=> component_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, to the nearest whole time: 0 to 3."""
+    taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
+    times = cut(taken.where("times > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id"), "times")
+    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    return catalog.bpe_digest(docs)
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose ids are kept; ids are written first, so that the operator's plan ends there."""
+    ids = cut(kept.select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+STAGES = [
+    ("language ID", keep_language),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: Kernel scores and merges by rank are beyond SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and reread by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
