@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators, one module per subject."""

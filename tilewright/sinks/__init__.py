@@ -1 +1 @@
-
+"""Writers: containers, archives, pictures, reports."""
