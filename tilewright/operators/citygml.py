@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import floats, reference
+from tilewright.plans.cut import cut
 
 #: Object types that carry level-of-detail geometry, and the namespaces' prefixes.
 OBJECT_TYPES = ["CityFurniture", "Building", "BuildingPart", "Road", "Railway", "SolitaryVegetationObject", "PlantCover"]
@@ -169,23 +170,25 @@ def keep_objects(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """
     wanted = ids.select(F.col("id").alias("_id")).distinct()
     members = nodes.where("depth = 1 AND local = 'cityObjectMember'").select(F.col("path").alias("m_path"), F.col("pre").alias("m_pre"), F.col("last").alias("m_last"))
-    inside = nodes.where("depth >= 2").join(members, (F.col("path") == F.col("m_path")) & (F.col("pre") > F.col("m_pre")) & (F.col("pre") <= F.col("m_last")))
+    # Steps that several later ones read are written once, so that the plan does not multiply.
+    inside = cut(nodes.where("depth >= 2").join(members, (F.col("path") == F.col("m_path")) & (F.col("pre") > F.col("m_pre")) & (F.col("pre") <= F.col("m_last"))), "members")
     hits = inside.join(F.broadcast(wanted), F.col("gml_id") == F.col("_id"))
-    first = hits.groupBy("path", "m_pre", "gml_id").agg(F.min(F.struct("pre", "last", "depth")).alias("h")).select("path", "m_pre", "h.pre", "h.last", "h.depth")
+    first = cut(hits.groupBy("path", "m_pre", "gml_id").agg(F.min(F.struct("pre", "last", "depth")).alias("h")).select("path", "m_pre", "h.pre", "h.last", "h.depth"), "wanted")
     whole = first.where("depth = 2").select("path", "m_pre").distinct().withColumn("whole", F.lit(True))
     touched = first.select("path", "m_pre").distinct().join(whole, ["path", "m_pre"], "left")
-    state = inside.join(touched.withColumnsRenamed({"path": "t_path", "m_pre": "t_pre"}), (F.col("path") == F.col("t_path")) & (F.col("m_pre") == F.col("t_pre")))
+    state = inside.drop("m_path", "m_last").join(touched.withColumnsRenamed({"path": "t_path", "m_pre": "t_pre"}), (F.col("path") == F.col("t_path")) & (F.col("m_pre") == F.col("t_pre"))).drop("t_path", "t_pre")
+    state = cut(state, "touched")
     partly = state.where("whole IS NULL")
     on_path = below(partly.select("path", "pre", "last", "m_pre"), first.select("path", "pre", "last")).select("a.path", "a.pre").unionByName(first.select("path", "pre")).distinct().withColumn("on_path", F.lit(True))
     subs = partly.where(is_subfeature())
     holds = below(partly.select("path", "pre", "last"), subs.select("path", "pre", "last")).select("a.path", "a.pre").unionByName(subs.select("path", "pre")).distinct().withColumn("holds", F.lit(True))
     marked = partly.join(on_path, ["path", "pre"], "left").join(holds, ["path", "pre"], "left")
-    cut_roots = marked.where("on_path IS NULL AND holds").select("path", "pre", "last")
+    cut_roots = cut(marked.where("on_path IS NULL AND holds").select("path", "pre", "last"), "off-path")
     gone = below(cut_roots, partly.select("path", "pre", "last")).select("d.path", "d.pre").unionByName(cut_roots.select("path", "pre")).distinct()
     stay = partly.join(gone, ["path", "pre"], "left_anti").unionByName(state.where("whole")).select("path", "pre")
     kept_members = touched.select("path", F.col("m_pre").alias("pre"))
     other = nodes.join(members, (F.col("path") == F.col("m_path")) & (F.col("pre") >= F.col("m_pre")) & (F.col("pre") <= F.col("m_last")), "left_anti").select("path", "pre")
-    return nodes.join(stay.unionByName(kept_members).unionByName(other).distinct(), ["path", "pre"], "left_semi")
+    return cut(nodes.join(stay.unionByName(kept_members).unionByName(other).distinct(), ["path", "pre"], "left_semi"), "subset")
 
 
 def member_counts(nodes: DataFrame, kept: DataFrame) -> DataFrame:
@@ -201,14 +204,14 @@ def keep_appearances(kept: DataFrame) -> DataFrame:
     ids = below(objects, kept.where("gml_id IS NOT NULL")).select(F.col("d.path").alias("_p"), F.col("d.gml_id").alias("_id")).distinct()
     ref = reference(F.coalesce(F.col("attrs")["uri"], F.trim("text")), "prefix")
     surfaces = below(kept.where("local = 'surfaceDataMember'"), kept.where("local = 'target'"))
-    targets = surfaces.select(F.col("d.path").alias("path"), F.col("a.pre").alias("s_pre"), F.col("d.pre").alias("pre"), F.col("d.last").alias("last"), F.col("d.attrs").alias("attrs"), F.col("d.text").alias("text")).withColumn("ref", ref)
-    good = targets.join(ids, (F.col("path") == F.col("_p")) & (F.col("ref") == F.col("_id")), "left_semi")
+    targets = cut(surfaces.select(F.col("d.path").alias("path"), F.col("a.pre").alias("s_pre"), F.col("d.pre").alias("pre"), F.col("d.last").alias("last"), F.col("d.attrs").alias("attrs"), F.col("d.text").alias("text")).withColumn("ref", ref), "targets")
+    good = cut(targets.join(ids, (F.col("path") == F.col("_p")) & (F.col("ref") == F.col("_id")), "left_semi"), "kept-targets")
     bad = targets.join(good.select("path", "pre"), ["path", "pre"], "left_anti").select("path", "pre", "last")
     members = kept.where("local = 'surfaceDataMember'")
     empty = members.join(good.select("path", F.col("s_pre").alias("pre")).distinct(), ["path", "pre"], "left_anti").select("path", "pre", "last")
-    roots = bad.unionByName(empty)
+    roots = cut(bad.unionByName(empty), "dropped-roots")
     gone = below(roots, kept.select("path", "pre", "last")).select("d.path", "d.pre").unionByName(roots.select("path", "pre")).distinct()
-    return kept.join(gone, ["path", "pre"], "left_anti")
+    return cut(kept.join(gone, ["path", "pre"], "left_anti"), "appearances")
 
 
 def referenced_images(kept: DataFrame) -> DataFrame:
