@@ -13,7 +13,7 @@ from tilewright.operators import citygml, features, models, packing, rasters, re
 from tilewright.sinks import containers, reports
 from tilewright.sinks import files as file_sink
 from tilewright.sources import archives, decode, gltf, text_logs, tilesets, vector_tiles as mvt, workflows as wf, xml_nodes
-from tilewright.sources.rasters import read_depth, read_png, write_png
+from tilewright.sources.rasters import image_headers, read_depth, read_png, write_png
 
 
 def contents(spark, files):
@@ -390,3 +390,18 @@ def test_reports(spark):
     assert reports.fill_template("a {{X}}", {"X": [1]}) == "a [1]"
     with pytest.raises(KeyError):
         reports.fill_template("a", {"X": 1})
+
+
+def test_small_functions(spark):
+    from tilewright.functions import text
+
+    images = {"a.png": write_png(np.zeros((2, 3, 4))), "b.jpg": b"\xff\xd8\xff\xe0\x00\x04zz\xff\xc0\x00\x11\x08\x00\x05\x00\x07\x03", "c.ktx2": b"\xabKTX 20\xbb\r\n\x1a\n" + b"\0" * 8 + struct.pack("<II", 9, 8), "d.webp": b"RIFF\0\0\0\0WEBPVP8X\0\0\0\0\0\0\0\0\x03\0\0\x04\0\0", "e": b"?"}
+    assert {r.path: (r.width, r.height) for r in image_headers(contents(spark, images)).collect()} == {"a.png": (3, 2), "b.jpg": (7, 5), "c.ktx2": (9, 8), "d.webp": (4, 5), "e": (None, None)}
+    df = spark.createDataFrame([('{"a":[1,{"b":"x"}],"c":{}}',), ("no",)], "feature string")
+    assert [(r.path, r.value) for r in features.flattened(df).orderBy("nth").collect()] == [(".a[0]", "1"), (".a[1].b", '"x"'), (".c", "{}")]
+    one = spark.range(1)
+    point = one.select(vector_tiles.to_tile_space(F.expr("array(array(0D, 0D), array(-20037508.342789244D, 10018754.171394622D))"), F.lit(1), 1)).first()[0]
+    assert point == [[0.0, 1.0], [0.0, 0.5]]
+    row = one.select(text.log_hue(F.lit(9), F.lit(0), F.lit(99)), text.legend(F.lit(0), F.lit(99)), text.hsv_rgb(F.lit(1 / 3), F.lit(1.0), F.lit(1.0)), text.kib(F.lit(1536)), text.bytes_short(F.lit(3 << 30)), text.bytes_text(F.lit(-2048)), text.stamp(F.expr("TIMESTAMP '2024-01-02 03:04:05'"))).first()
+    assert round(row[0], 6) == 120 and [round(v, 3) for v in row[1]] == [0.0, 2.162, 9.0, 30.623, 99.0] and row[2] == [0, 255, 0] and list(row)[3:] == ["1.5 KiB", "3.0 GB", "-2.00KB", "2024-01-02 03:04:05"]
+    assert [r[0] for r in spark.createDataFrame([('{"a":{"b":[7]},"z":0}',)], "j string").select(text.dot_get(F.col("j"), ".a.b[0]")).union(spark.createDataFrame([("",)], "j string")).collect()] == ["7", ""]

@@ -150,3 +150,8 @@ def dot_get(doc: Column, path: str) -> Column:
     value = F.get_json_object(doc, "$" + "".join(p if p.startswith("[") else f".{p}" for p in path.lstrip(".").replace("[", ".[").split(".") if p))
     falsy = value.isNull() | value.isin("", "false", "0", "0.0", "-0", "-0.0", "[]", "{}", "null")
     return F.when(falsy, F.lit("")).otherwise(value)
+
+
+def stamp(ts: Column) -> Column:
+    """Date and time of a report's heading."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

@@ -117,3 +117,29 @@ def one_per_port(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """First row of each group."""
     first = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+
+
+def leaves(value: object, path: str = "") -> list[tuple[str, str]]:
+    """(path, JSON text) of a document's values that hold no others, in order."""
+    if isinstance(value, dict) and value:
+        return [leaf for k, v in value.items() for leaf in leaves(v, f"{path}.{k}")]
+    if isinstance(value, list) and value:
+        return [leaf for i, v in enumerate(value) for leaf in leaves(v, f"{path}[{i}]")]
+    return [(path, json.dumps(value, ensure_ascii=False))]
+
+
+def flattened(features: DataFrame, col: str = "feature") -> DataFrame:
+    """One row per leaf of each feature: its columns, nth, path and value; text that is no JSON has none."""
+    ship(features.sparkSession)
+
+    def one(text: str | None) -> list[tuple[str, str]]:
+        try:
+            return [] if text is None else leaves(json.loads(text))
+        except ValueError:
+            return []
+
+    @F.pandas_udf("array<struct<path:string,value:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"path": p, "value": v} for p, v in one(t)])
+
+    return features.withColumn("_leaves", run(col)).select(*features.columns, F.posexplode("_leaves").alias("nth", "_leaf")).select(*features.columns, "nth", "_leaf.path", "_leaf.value")

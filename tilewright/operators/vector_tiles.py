@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import extents_overlap
+from tilewright.functions.tiles import within_tile
 
 _POINTS, _RINGS, _POLYGONS = "array<double>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
 
@@ -82,3 +83,11 @@ def select_box(features: DataFrame, selections: DataFrame) -> DataFrame:
 def plain_properties(props: Column) -> Column:
     """Properties but the geometry."""
     return F.map_filter(props, lambda k, v: k != "geometry")
+
+
+def to_tile_space(rings: Column, zoom: Column, depth: int = 2) -> Column:
+    """Web-Mercator coordinates, nested ``depth`` lists deep, in their tiles' 0-1 space: 0 a point, 1 a line, 2 rings, 3 polygons."""
+    if depth == 0:
+        place = within_tile(rings[0], rings[1], zoom)
+        return F.array(place["x"], place["y"])
+    return F.transform(rings, lambda part: to_tile_space(part, zoom, depth - 1))

@@ -84,3 +84,37 @@ def _pixels(path: str, data: bytes) -> Iterator[dict]:
 def read_depth(contents: DataFrame) -> DataFrame:
     """One row per pixel; a depth that is not finite means no hit."""
     return decoded(contents, _pixels, PIXEL_SCHEMA)
+
+
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from an image's header: PNG, JPEG, WebP or KTX2; None if it is none of these."""
+    if data[:8] == _SIGNATURE and len(data) >= 24:
+        return struct.unpack_from(">II", data, 16)
+    if data[:12] == b"\xabKTX 20\xbb\r\n\x1a\n" and len(data) >= 28:
+        return struct.unpack_from("<II", data, 20)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        width, height = struct.unpack_from("<HH", data, 26)
+        return width & 0x3FFF, height & 0x3FFF
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data):
+        marker, (length,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack_from(">HH", data, at + 5)
+            return width, height
+        at += 2 + length
+    return None
+
+
+def _payload(path: str, data: bytes) -> Iterator[dict]:
+    size = image_size(data)
+    yield {"path": path, "bytes": len(data), "width": size[0] if size else None, "height": size[1] if size else None, "error": None if size else "unknown image"}
+
+
+def image_headers(contents: DataFrame) -> DataFrame:
+    """path, bytes, width, height of each image payload, or an error."""
+    return decoded(contents, _payload, "path string, bytes long, width int, height int, error string")
