@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 rows that its predecessor kept, and its decisions take effect: all but the last
-return the columns of ``documents``. The operators return decisions by id, which
-a join with the documents applies; rows that share an id share its decision.
+return the columns of ``documents``. Languages are told row by row, so documents
+pass through that stage as they are; the next three return decisions by id, which
+a merge join with the documents applies at every size: kept ids grow with the
+corpus and are never broadcast. Rows that share an id share its decision.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from tilewright.plans import cut, table
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of no language (null, or without a letter); ``lang`` stays the label that came with a document."""
-    said = langid.predict(docs, langid.fit(langid.training_sample(docs)))
-    return _only(docs, said.where("lang_pred <> 'und'"))
+    said = langid.predict(docs, langid.fit(langid.training_sample(docs)), carry=True)
+    return said.where("lang_pred <> 'und'").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.withColumn("_text_sha", F.sha2(text, 256))
     on = lambda ids: F.col("doc_id").eqNullSafe(ids["_id"]) & (F.col("_text_sha") == ids["_sha"])
     kept = rows.where("kept")
-    found = named.join(kept, on(kept), "left_semi")
+    found = named.join(kept.hint("merge"), on(kept), "left_semi")
     repeated = cut(rows.groupBy("_id", "_sha").count().where("count > 1"), "repeated")
     if not repeated.isEmpty():
         found = found.join(repeated, on(repeated), "left_anti").unionByName(found.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "_text_sha"]))
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, to the nearest whole time: 0 to 3."""
     taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
     times = cut(taken.where("times > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id"), "times")
-    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth")).select(*docs.columns)
 
 
@@ -56,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose ids are kept; ids are written first, so that the operator's plan ends there."""
     ids = cut(kept.select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 STAGES = [

@@ -36,6 +36,7 @@ import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.plans import map_arrow
 
@@ -156,12 +157,12 @@ def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "
     return kept
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast, text_col: str, carried: bool) -> Iterator[pa.RecordBatch]:
     m: Model | None = model.value
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS):
             batch = whole.slice(at, ROWS)
-            texts = [t.as_py() for t in batch.column(2)]
+            texts = [t.as_py() for t in (batch.column(2).field(text_col) if carried else batch.column(2))]
             said, sure = ["und"] * len(texts), [0.0] * len(texts)
             live = [i for i, t in enumerate(texts) if m and has_letter(t)]
             if live:
@@ -169,12 +170,16 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa
                 best = scores.argmax(axis=1)
                 for i, k, row in zip(live, best, scores, strict=True):
                     said[i], sure[i] = m.langs[k], float(min(1.0, max(0.0, row[k])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
+            rows = [batch.column(2)] if carried else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rows, pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=["id", "held_out", *["row"] * carried, "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, held_out, lang_pred, score."""
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: id, held_out, lang_pred, score; with ``carry`` also ``row``, the whole input row.
+
+    A caller that keeps or drops rows by their language needs no join then.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
-    return map_arrow(rows, partial(_predict, model=sent), f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.struct(*docs.columns).alias("row") if carry else F.col(text_col))
+    schema = T.StructType([rows.schema["id"], rows.schema["held_out"], *([rows.schema["row"]] if carry else []), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return map_arrow(rows, partial(_predict, model=sent, text_col=text_col, carried=carry), schema).withColumnRenamed("id", id_col)
