@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from tilewright.plans import map_arrow
 
-KEPT_PIECES, OUT_BYTES = 400_000, 8_000_000
+KEPT_PIECES, OUT_BYTES = 250_000, 4_000_000
 
 
 @lru_cache(1)
@@ -50,20 +50,25 @@ class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
+        self.path = path
+        self.bytes_of = {r: t for t, r in read_ranks(path).items()}
+        # White space by its Unicode property: the plain escape also takes the separators 0x1C to 0x1F.
+        self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        self.known: dict[str, bytes] = {}
+        self.spans: dict[str, list[tuple[int, int]]] = {}
+
+    @cached_property
+    def model(self):  # noqa: ANN201
+        """The library's tokenizer; a task that only decodes never builds it."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        ranks = read_ranks(path)
-        chars = byte_alphabet()
+        ranks, chars = read_ranks(self.path), byte_alphabet()
         said = {token: "".join(chars[b] for b in token) for token in ranks}
         merges = [(said[t[:i]], said[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.model = Tokenizer(models.BPE(vocab={said[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_of = {r: t for t, r in ranks.items()}
-        # White space by its Unicode property: the plain escape also takes the separators 0x1C to 0x1F.
-        self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.known: dict[str, bytes] = {}
-        self.spans: dict[str, list[tuple[int, int]]] = {}
+        model = Tokenizer(models.BPE(vocab={said[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return model
 
     def learn(self, pieces: set[str], offsets: bool) -> None:
         """Encodes pieces that the table lacks."""
