@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
-_WORD = r"[^\x20\x09-\x0D]+"
+import math
+
+from tilewright.llm import licenses
+
+
+def license_sql(templates, stride):
+    """SQL of op1's rows: words numbered, each put in its blocks, templates as word lists."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows, need = [], []
+    for k, t in enumerate(templates):
+        ws = [w.decode() for w in licenses.words(t.text)]
+        need.append(f"({k}, {quote(t.label)}, {str(t.phrase).lower()}, {len(set(ws))}, {math.ceil(t.threshold * len(set(ws)) - 1e-9)}, {quote(' '.join(ws))}, {len(ws)})")
+        rows += [f"({k}, {quote(w)})" for w in sorted(set(ws))]
+    return rf"""
+WITH need(k, label, phrase, size, least, said, len) AS (VALUES {", ".join(need)}), vocabulary(k, w) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws[i + 1] AS w, i FROM d, unnest(range(len(ws))) AS u(i)),
+b AS (SELECT doc_id, w, i // {stride} AS block FROM w WHERE w IN (SELECT w FROM vocabulary) UNION SELECT doc_id, w, i // {stride} - 1 FROM w WHERE i >= {stride} AND w IN (SELECT w FROM vocabulary)),
+met AS (SELECT doc_id, block, k, count(DISTINCT b.w) AS n FROM b JOIN vocabulary v ON b.w = v.w GROUP BY ALL),
+blocks AS (SELECT doc_id, label, n / size AS containment FROM met JOIN need USING (k) WHERE n >= least AND NOT phrase),
+places AS (SELECT doc_id, label, i FROM need JOIN w ON phrase AND w.w = split_part(said, ' ', 1) JOIN d USING (doc_id) WHERE array_to_string(ws[i + 1:i + len], ' ') = said),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, containment AS score FROM blocks UNION ALL SELECT doc_id, label, 1.0 FROM places) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
 
 ORACLES: dict[str, str] = {
+    "op1_licenses": license_sql(licenses.TEMPLATES, licenses.STRIDE),
     "op2_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -47,5 +73,26 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(regexp_replace(role, '[\\<>]', '__', 'g')) + length(regexp_replace(text, '[\\<>]', '__', 'g')) + 15) AS BIGINT) AS formatted_chars,
   CAST(0 AS BIGINT) AS rewrites
 FROM t GROUP BY conv_id
+""",
+    "op4_mixing": r"""
+WITH RECURSIVE z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY 1),
+o AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1.0::DOUBLE AS weight FROM s),
+f AS (SELECT 0 AS step, (SELECT sum(source_size) / sum(weight) FROM o)::DOUBLE AS level
+  UNION ALL SELECT step + 1, (SELECT (sum(source_size) - sum(CASE WHEN weight * level > 3 * source_size THEN 3 * source_size ELSE 0 END)) / sum(CASE WHEN weight * level > 3 * source_size THEN 0 ELSE weight END) FROM o) FROM f WHERE step < 60),
+t AS (SELECT source, source_size, CASE WHEN weight * level > 3 * source_size THEN 3.0 * source_size ELSE weight * level END AS target FROM o, (SELECT level FROM f ORDER BY step DESC LIMIT 1)),
+n AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS seats FROM t),
+q AS (SELECT source, target / (2 * i + 1) AS quotient, i FROM t, unnest(range(CAST(ceil(target / 16) AS BIGINT) + 40)) AS u(i) WHERE target > 0),
+won AS (SELECT source, count(*) AS won FROM (SELECT source FROM q ORDER BY quotient DESC, source, i LIMIT (SELECT seats FROM n)) GROUP BY 1),
+k AS (SELECT z.*, md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, greatest(CAST(ceil(source_size / 200000.0) AS BIGINT), 1) AS shards, source_size, target, coalesce(won, 0) AS won FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON z.source IS NOT DISTINCT FROM won.source),
+h AS (SELECT *, CAST('0x' || key[1:8] AS BIGINT) % shards AS shard FROM k),
+g AS (SELECT source, shard, sum(size)::BIGINT AS tokens, any_value(won) AS won FROM h GROUP BY ALL),
+r AS (SELECT source, shard, won, row_number() OVER (PARTITION BY source ORDER BY tokens / (2 * i + 1) DESC, shard, i) AS nth FROM g, unnest(range(CAST(won AS BIGINT) + 1)) AS u(i) WHERE tokens > 0),
+p AS (SELECT source, shard, count(*) AS quota FROM r WHERE nth <= won GROUP BY ALL),
+l AS (SELECT h.*, g.tokens, coalesce(p.quota, 0) AS quota, sum(size) OVER (PARTITION BY h.source, h.shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source AND h.shard = g.shard LEFT JOIN p ON h.source IS NOT DISTINCT FROM p.source AND h.shard = p.shard),
+e AS (SELECT *, CAST(ceil(tokens / 16.0) AS BIGINT) AS blocks FROM l),
+c AS (SELECT *, CASE WHEN blocks > 0 THEN least(quota // blocks, 3) ELSE 0 END AS rounds FROM e)
+SELECT doc_id, size, source_size, target, CAST(size * rounds + greatest(least(upto, CASE WHEN rounds < 3 THEN (quota - rounds * blocks) * 16 ELSE 0 END) - (upto - size), 0) AS BIGINT) AS taken FROM c
 """,
 }
