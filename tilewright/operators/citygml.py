@@ -1,7 +1,7 @@
 """City models over the node table: textured features, texture maps, alignment, subsets.
 
-Containment is a range join on (doc, pre, last) with the document as equi key,
-so it plans as an equi join with a residual condition.
+Containment is a range join on (doc, pre, last): an equi join on the document and
+a bin of positions, with the range as residual condition.
 """
 
 from __future__ import annotations
@@ -14,12 +14,20 @@ from tilewright.plans.cut import cut
 
 #: Object types that carry level-of-detail geometry, and the namespaces' prefixes.
 OBJECT_TYPES = ["CityFurniture", "Building", "BuildingPart", "Road", "Railway", "SolitaryVegetationObject", "PlantCover"]
+BIN = 4096
 
 
-def below(upper: DataFrame, lower: DataFrame, how: str = "inner") -> DataFrame:
-    """Pairs of an ``a``-row and a ``d``-row of the same document where a contains d (never itself)."""
-    a, d = upper.alias("a"), lower.alias("d")
-    return a.join(d, (F.col("a.path") == F.col("d.path")) & (F.col("d.pre") > F.col("a.pre")) & (F.col("d.pre") <= F.col("a.last")), how)
+def below(upper: DataFrame, lower: DataFrame, how: str = "inner", width: int = BIN) -> DataFrame:
+    """Pairs of an ``a``-row and a ``d``-row of the same document where a contains d (never itself).
+
+    Positions fall into bins of ``width``: a stands in each bin that its range
+    touches and d in the one bin of its place, so that a pair meets exactly once
+    and a document of any size costs about its nodes times their depth.
+    """
+    of = lambda c: F.floor(F.col(c) / width).cast("long")
+    a = upper.withColumn("_bin", F.explode(F.sequence(of("pre"), of("last")))).alias("a")
+    d = lower.withColumn("_bin", of("pre")).alias("d")
+    return a.join(d, (F.col("a.path") == F.col("d.path")) & (F.col("a._bin") == F.col("d._bin")) & (F.col("d.pre") > F.col("a.pre")) & (F.col("d.pre") <= F.col("a.last")), how)
 
 
 # Appearances

@@ -134,7 +134,7 @@ def place_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and customers as a node table of one document, numbered in document order."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     customer = table(spark, sf_dir, "customer")
-    span = F.lit(10_000_000)
+    span = F.lit(500_000)
     row = lambda df, pre, last, depth, kind, key: df.select(F.lit("doc").alias("path"), pre.alias("pre"), last.alias("last"), F.lit(depth).alias("depth"), F.lit(kind).alias("local"), F.concat(F.lit(kind[0]), key.cast("string")).alias("gml_id"))
     r = F.col("r_regionkey").cast("long") * 100 * span
     n = F.col("n_regionkey").cast("long") * 100 * span + (F.col("n_nationkey").cast("long") + 1) * span
