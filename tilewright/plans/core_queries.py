@@ -622,3 +622,111 @@ def command_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "pages").withColumn("command", F.concat(F.lit("run --var=page="), F.regexp_extract("url", "page=([0-9]+)", 1), F.lit(" "), F.col("url")))
     return parts(rows).select("page_id", F.substring_index("workflow_url", "://", 1).alias("scheme"), "api_base", F.col("variables")["page"].alias("page"))
+
+
+# Decoders over files that are made of the tables' rows, so that SQL can tell what they hold
+
+
+def brand_glbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A GLB per brand and 5000 part keys: files stay bounded as the table grows."""
+    from tilewright.plans.ship import ship
+
+    ship(spark)
+    parts = table(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 5000).cast("string")).alias("name"), "p_partkey", "p_type", "p_size")
+    return parts.groupBy("name").applyInPandas(_brand_glb, "path string, content binary")
+
+
+def _brand_glb(key, frame):  # noqa: ANN001, ANN202
+    """A GLB whose property table holds some parts; runs on the executors."""
+    import json
+
+    import numpy as np
+    import pandas as pd
+
+    from tilewright.sinks.containers import build_glb
+
+    rows = frame.sort_values("p_partkey")
+    texts = [t.encode() for t in rows["p_type"]]
+    parts = [b"".join(texts), np.cumsum([0, *map(len, texts)]).astype("<u4").tobytes(), rows["p_size"].to_numpy("<u2").tobytes()]
+    starts = [sum(map(len, parts[:i])) for i in range(3)]
+    views = [{"byteOffset": a, "byteLength": len(p)} for a, p in zip(starts, parts, strict=True)]
+    tables = [{"count": len(rows), "properties": {"feature_type": {"values": 0, "stringOffsets": 1}, "size": {"values": 2, "componentType": 5123}}}]
+    doc = {"bufferViews": views, "extensions": {"EXT_structural_metadata": {"propertyTables": tables}}}
+    return pd.DataFrame({"path": [f"{key[0]}.glb"], "content": [build_glb(json.dumps(doc), b"".join(parts))]})
+
+
+@query("""
+WITH p AS (SELECT p_brand || '-' || (p_partkey // 5000) || '.glb' AS path, row_number() OVER (PARTITION BY p_brand, p_partkey // 5000 ORDER BY p_partkey) - 1 AS feature_id, p_type, p_size FROM part)
+SELECT path, feature_id, 'feature_type' AS property, p_type AS value FROM p UNION ALL SELECT path, feature_id, 'size', CAST(p_size AS VARCHAR) FROM p
+""")
+def glb_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.sources.gltf import glb_properties as decode
+
+    return decode(brand_glbs(spark, sf_dir)).select("path", "feature_id", "property", "value")
+
+
+@query("SELECT p_brand || '-' || (p_partkey // 5000) || '.glb' AS path, count(*) AS features FROM part GROUP BY 1")
+def glb_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.sources.gltf import read_glb
+
+    return read_glb(brand_glbs(spark, sf_dir), json_only=True).select("path", tiles.feature_count().alias("features"))
+
+
+def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A city model per nation and 2000 customer keys: the customers are buildings with a polygon, those with a negative balance have a texture."""
+    name = F.col("c_custkey").cast("string")
+    building = F.concat(F.lit('<core:cityObjectMember><bldg:Building gml:id="b'), name, F.lit('"><bldg:lod1Geometry><gml:Polygon gml:id="p'), name, F.lit('"/></bldg:lod1Geometry></bldg:Building></core:cityObjectMember>'))
+    target = F.when(F.col("c_acctbal") < 0, F.concat(F.lit('<app:target uri="#p'), name, F.lit('">#p'), name, F.lit("</app:target>")))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", c.alias("s")))), lambda x: x["s"]), "")
+    docs = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 2000).alias("part")).agg(joined(building).alias("buildings"), joined(F.coalesce(target, F.lit(""))).alias("targets"))
+    head = '<core:CityModel xmlns:core="urn:c" xmlns:bldg="urn:b" xmlns:gml="http://www.opengis.net/gml" xmlns:app="urn:a">'
+    texture = '<app:appearanceMember><app:Appearance><app:surfaceDataMember><app:ParameterizedTexture><app:imageURI>t.jpg</app:imageURI>'
+    tail = "</app:ParameterizedTexture></app:surfaceDataMember></app:Appearance></app:appearanceMember></core:CityModel>"
+    return docs.select(F.concat(F.lit("n"), F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("part").cast("string"))).alias("path"), F.encode(F.concat(F.lit(head), "buildings", F.lit(texture), "targets", F.lit(tail)), "utf-8").alias("content"))
+
+
+@query("SELECT 'n' || c_nationkey || '-' || (c_custkey // 2000) AS path, 'b' || c_custkey AS gml_id, 'Building' AS feature_type, '' AS parent FROM customer WHERE c_acctbal < 0")
+def xml_textured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.plans.cut import cut
+    from tilewright.sources.xml_nodes import read_nodes
+
+    return citygml.textured_features(cut(read_nodes(nation_documents(spark, sf_dir)), "nodes"))
+
+
+@query("SELECT 'n' || c_nationkey || '-' || (c_custkey // 2000) AS path, 'b' || c_custkey AS object, 'LOD1' AS lod, CASE WHEN c_acctbal < 0 THEN 't.jpg' ELSE '' END AS textures FROM customer")
+def xml_texture_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.plans.cut import cut
+    from tilewright.sources.xml_nodes import read_nodes
+
+    return citygml.texture_mapping(cut(read_nodes(nation_documents(spark, sf_dir)), "nodes"))
+
+
+@query("SELECT source || '-' || (doc_id // 500) || '.zip' AS archive, 'd/' || doc_id || '.txt' AS path, strlen(text) AS size FROM documents WHERE text IS NOT NULL")
+def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.sinks.containers import zip_archives
+    from tilewright.sources.archives import zip_listing
+
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = docs.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    return zip_listing(zip_archives(rows)).select(F.col("path").alias("archive"), F.col("member").alias("path"), "size")
+
+
+@query("SELECT o_orderstatus AS stack, count(*) AS count FROM orders GROUP BY 1")
+def stack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.sources.text_logs import stack_rows
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    frame = F.concat(F.lit(" lib`"), F.col("o_orderstatus"), F.lit("(int)+0x"), F.col("o_orderkey").cast("string"))
+    lines = orders.select((F.col("o_orderkey") % 97).cast("string").alias("path"), F.inline(F.array(F.struct((F.col("o_orderkey") * 2).alias("line_no"), frame.alias("value")), F.struct((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.lit(" 1 ").alias("value")))))
+    return repositories.collapse_stacks(stack_rows(lines))
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, 'b' || (o_orderkey % 3) AS branch, 'f' || o_custkey AS file, count(*) AS n FROM orders GROUP BY ALL
+""")
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.sources.text_logs import log_rows
+
+    head = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" refs/remotes/origin/b"), (F.col("o_orderkey") % 3).cast("string"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("string").alias("path"), F.inline(F.array(F.struct((F.col("o_orderkey") * 2).alias("line_no"), head.alias("value")), F.struct((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("value")))))
+    return log_rows(rows).groupBy("date", "branch", "file").agg(F.count("*").alias("n"))
