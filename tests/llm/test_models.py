@@ -115,6 +115,21 @@ def test_links_are_exact(spark):
     assert got == sorted(tuple(sorted(p)) for p in close(sorted(fps)))
 
 
+def test_dense_cluster_is_contracted(spark):
+    centre = 0x1234_5678_9ABC_DEF0
+    fps = [centre ^ (1 << i) for i in range(63)] + [centre ^ (1 << i) ^ (1 << j) for i in range(63) for j in range(i + 1, 63) if (i * j) % 7 == 3]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    hubs = [tuple(r) for r in simhash.hub_links(df).collect()]
+    assert len(hubs) <= 2 * len(simhash.TURNS) * len(fps) and all(bin(a ^ b).count("1") <= 3 for a, b in hubs)
+    roots = union(fps, hubs)
+    placed = spark.createDataFrame([*roots.items()], "fp long, root long")
+    cross = simhash.links(placed).collect()
+    assert len(cross) < len(close(fps)) / 5
+    both = union(fps, hubs + [tuple(r) for r in cross])
+    whole = union(fps, close(fps))
+    assert both == whole
+
+
 def test_simhash_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     rows = catalog.op3_simhash(spark, sf_dir).collect()

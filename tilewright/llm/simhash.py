@@ -14,6 +14,9 @@ step up. Two that are within 1 meet with one of them at home. The join on
 
 Fingerprints are distinct before the join, so copies do not multiply, and the
 rows of a task that share a fingerprint travel as one unit with its members.
+A dense cluster of different fingerprints does not multiply either: first each
+fingerprint is linked with a few hubs of its cells,
+and the join then looks only for links between different components of these.
 
 Defined results: a null text counts as empty, and texts without words have
 fingerprint zero and link like others; null ids are never a component's least
@@ -38,7 +41,9 @@ from tilewright.plans import cut, map_arrow
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 FOLD_ROWS, CHUNK = 50_000, 65_536
-LOW_BITS, ALL_BITS = 0x5555555555555555, (1 << 64) - 1
+LOW_BITS = 0x5555555555555555
+#: Bits that the orders of hubs turn over.
+TURNS = (0, 0x7FFFFFFFFFFFFFFF, 0x5555555555555555, 0x2AAAAAAAAAAAAAAA, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -85,39 +90,65 @@ def thermometer(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints in ``fp`` that differ in at most RADIUS bits."""
-    code = fps.select("fp", thermometer(F.col("fp")).alias("code"))
+def _cells(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(home, there): each fingerprint in the cells of its own counts, and there as well as a guest one step up."""
+    code = fps.select("fp", "root", thermometer(F.col("fp")).alias("code"))
     halves = F.array(*(F.struct(F.lit(h).alias("half"), F.shiftrightunsigned("code", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)).alias("cell")) for h in (0, 1)))
-    own = code.select("fp", "code", F.inline(halves))
+    home = code.select("fp", "root", "code", F.inline(halves))
     # One step up in segment i sets its low bit, or its high bit where the low one is set.
     step = lambda i: F.expr(f"cell | (CASE WHEN (cell & {1 << 2 * i}L) = 0 THEN {1 << 2 * i}L ELSE {2 << 2 * i}L END)")
     ups = F.filter(F.array(*(step(i) for i in range(16))), lambda c: c != F.col("cell"))
-    guests = own.select("fp", "code", "half", F.explode(ups).alias("cell"), F.lit(True).alias("guest"))
-    there = own.withColumn("guest", F.lit(False)).unionByName(guests)
-    a, b = own.alias("a"), there.alias("b")
-    apart = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code")))
+    guests = home.select("fp", "root", "code", "half", F.explode(ups).alias("cell"), F.lit(True).alias("guest"))
+    return home, home.withColumn("guest", F.lit(False)).unionByName(guests)
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def hub_links(fps: DataFrame) -> DataFrame:
+    """Pairs (a, b): each fingerprint and the hubs of its two cells, if within RADIUS bits.
+
+    A cell's hubs, guests included, are its least fingerprints under len(TURNS)
+    orders, each of which turns some bits over: links grow with the fingerprints
+    alone, and the orders hold hubs in different parts of a cluster.
+    """
+    home, there = _cells(fps.select("fp", F.col("fp").alias("root")))
+    turned = lambda c, t: F.col(c).bitwiseXOR(F.lit(t))
+    hubs = there.groupBy("half", "cell").agg(*(F.min(turned("fp", t)).alias(f"_{i}") for i, t in enumerate(TURNS)))
+    each = F.array(*(turned(f"_{i}", t) for i, t in enumerate(TURNS)))
+    met = home.select("fp", "half", "cell").join(hubs, ["half", "cell"]).select("fp", F.explode(F.array_distinct(each)).alias("hub"))
+    return met.where((F.col("fp") != F.col("hub")) & (_apart("fp", "hub") <= RADIUS)).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of roots of distinct fingerprints that differ in at most RADIUS bits, between different roots only.
+
+    Without a column ``root`` each fingerprint is its own, and the pairs are all links.
+    """
+    home, there = _cells(fps if "root" in fps.columns else fps.withColumn("root", F.col("fp")))
+    a, b = home.alias("a"), there.alias("b")
     low = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code")).bitwiseAND(F.lit(0xFFFFFFFF)))
     met = a.join(
         b,
-        (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("b.guest") | (F.col("a.fp") < F.col("b.fp")))
-        & (apart <= RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS) & ((F.col("a.half") == 0) | (low > 1)),
+        (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("b.guest") | (F.col("a.fp") < F.col("b.fp"))) & (F.col("a.root") != F.col("b.root"))
+        & (_apart("a.code", "b.code") <= RADIUS) & (_apart("a.fp", "b.fp") <= RADIUS) & ((F.col("a.half") == 0) | (low > 1)),
     )
-    return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return met.select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row per input row: id, fingerprint (hex), component_id (least id reachable), links (of its fingerprint)."""
+    """One row per input row: id, fingerprint (hex), component_id (least id reachable)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
     units = cut(map_arrow(docs.select(id_col, text_col), partial(_units, id_type=to_arrow_type(kind), shingle=shingle, seed=seed), f"fp long, members array<{kind.simpleString()}>"), "fingerprints")
-    nodes = units.groupBy("fp").agg(F.min(F.array_min("members")).alias("low_id"))
-    edges = cut(links(nodes), "links")
-    roots = cut(components(edges), "roots")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root")).join(degree, "fp", "left"), "rooted")
+    nodes = cut(units.groupBy("fp").agg(F.min(F.array_min("members")).alias("low_id")), "nodes")
+    near = components(hub_links(nodes))
+    placed = cut(nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root")), "placed")
+    far = cut(components(links(placed).distinct()).select(F.col("node").alias("_node"), F.col("root").alias("_root")), "roots")
+    rooted = cut(placed.join(far, F.col("root") == F.col("_node"), "left").select("fp", "low_id", F.coalesce("_root", "root").alias("root")), "rooted")
     low = cut(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "least-ids")
-    named = cut(rooted.join(low, "root").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "named")
-    rows = units.join(named, "fp").select(F.explode("members").alias(id_col), "fp", "component_id", "links")
-    return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    named = cut(rooted.join(low, "root").select("fp", "component_id"), "named")
+    rows = units.join(named, "fp").select(F.explode("members").alias(id_col), "fp", "component_id")
+    return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
