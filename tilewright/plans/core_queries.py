@@ -218,12 +218,12 @@ def included_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Vector tiles and rasters
 
-_RING = "WITH g AS (SELECT o_orderkey, o_orderkey % 6 AS k, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 3 GROUP BY ALL)"
+_RING = "WITH g AS (SELECT o_orderkey, o_orderkey % 6 AS k, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
 
 
 def order_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as features whose points are their first lines."""
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    """Orders as features whose points are their lines."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k")).join(line, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     points = F.concat(F.lit("["), F.array_join(F.transform(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit(",1]"))), ","), F.lit("]"))
     wrap = lambda a, b: F.concat(F.lit(a), points, F.lit(b))
@@ -250,28 +250,28 @@ def geometry_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT p_partkey, p_retailprice AS x, p_size * 20.0 AS y FROM part WHERE p_partkey % 4 <> 0), s(sel, x0, y0, x1, y1) AS (VALUES (0, 950.0, 100.0, 1000.0, 400.0), (1, 1500.0, 0.0, 1510.0, 2000.0))
+WITH f AS (SELECT p_partkey, p_retailprice AS x, p_size * 20.0 AS y FROM part WHERE p_type NOT LIKE 'PROMO%'), s(sel, x0, y0, x1, y1) AS (VALUES (0, 950.0, 100.0, 1000.0, 400.0), (1, 1500.0, 0.0, 1510.0, 2000.0))
 SELECT sel, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids FROM f, s WHERE x <= x1 AND x + 5 >= x0 AND y <= y1 AND y + 5 >= y0 GROUP BY sel
 """)
 def box_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("p_retailprice"), F.col("p_size") * F.lit(20.0)
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(x, y, x + 5, y + 5).alias("extent"), (F.col("p_partkey") % 4 != 0).alias("visible"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(x, y, x + 5, y + 5).alias("extent"), (~F.col("p_type").startswith("PROMO")).alias("visible"))
     boxes = spark.createDataFrame([(0, [950.0, 100.0, 1000.0, 400.0]), (1, [1500.0, 0.0, 1510.0, 2000.0])], "sel int, box array<double>")
     return vector_tiles.select_box(rows, boxes).groupBy("sel").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("ids"))
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS y, CASE WHEN o_orderkey % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE o_totalprice END AS d FROM orders WHERE o_orderkey % 5 <> 0),
-b AS (SELECT l_orderkey AS y, CASE WHEN l_orderkey % 13 = 0 THEN CAST('inf' AS DOUBLE) ELSE max(l_extendedprice) END AS d FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY l_orderkey),
+WITH a AS (SELECT o_orderkey AS y, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST('nan' AS DOUBLE) ELSE o_totalprice END AS d FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT l_orderkey AS y, CASE WHEN max(l_quantity) >= 48 THEN CAST('inf' AS DOUBLE) ELSE max(l_extendedprice) END AS d FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey),
 m AS (SELECT coalesce(a.y, b.y) AS y, a.d AS t, b.d AS f, coalesce(isfinite(a.d), false) AS ta, coalesce(isfinite(b.d), false) AS fb FROM a FULL JOIN b ON a.y = b.y),
 k AS (SELECT *, CASE WHEN ta AND fb THEN 'both' WHEN ta THEN 'only_truth' WHEN fb THEN 'only_flow' ELSE 'neither' END AS kind, CASE WHEN ta AND fb THEN CAST(floor(least(1.0, abs(f - t) / 100000.0) * 255) AS BIGINT) END AS shade FROM m)
 SELECT kind, count(*) AS n, CAST(sum(CASE WHEN kind = 'only_truth' THEN 255 WHEN kind = 'both' AND NOT f - t > 0 THEN shade ELSE 0 END) AS BIGINT) AS red, CAST(sum(CASE WHEN kind = 'only_flow' THEN 255 WHEN kind = 'both' AND f - t > 0 THEN shade ELSE 0 END) AS BIGINT) AS green,
   round(max(CASE WHEN kind = 'both' THEN abs(f - t) ELSE 0 END), 2) AS gap FROM k GROUP BY kind
 """)
 def raster_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 <> 0").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("d"))
-    truth = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("y"), F.when(F.col("o_orderkey") % 11 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("depth"))
-    flow = line.select(F.col("l_orderkey").alias("y"), F.when(F.col("l_orderkey") % 13 == 0, float("inf")).otherwise(F.col("d")).alias("depth"))
+    line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("d"), F.max("l_quantity").alias("q"))
+    truth = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("y"), F.when(F.col("o_orderpriority") == "1-URGENT", float("nan")).otherwise(F.col("o_totalprice")).alias("depth"))
+    flow = line.select(F.col("l_orderkey").alias("y"), F.when(F.col("q") >= 48, float("inf")).otherwise(F.col("d")).alias("depth"))
     pixels = rasters.diff_pixels(truth, flow, 100_000.0, ["y"])
     gap = F.round(F.max(F.when(F.col("kind") == "both", F.abs(F.col("flow") - F.col("truth"))).otherwise(0.0)), 2)
     return pixels.groupBy("kind").agg(F.count("*").alias("n"), F.sum("red").alias("red"), F.sum("green").alias("green"), gap.alias("gap"))
@@ -392,20 +392,20 @@ def collapsed_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+WITH s AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE lang <> 'de' GROUP BY 1)
 SELECT a.size AS size_a, b.size AS size_b, a.size - b.size AS diff FROM (SELECT coalesce(sum(size), 0)::BIGINT AS size FROM s WHERE source = 'src1') a, (SELECT coalesce(sum(size), 0)::BIGINT AS size FROM s WHERE source = 'src2') b
 """)
 def tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("branch"), F.when(F.col("doc_id") % 3 != 0, "blob").otherwise("tree").alias("type"), F.col("n_chars").alias("size"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("branch"), F.when(F.col("lang") != "de", "blob").otherwise("tree").alias("type"), F.col("n_chars").alias("size"))
     return repositories.tree_size_diff(rows, "src1", "src2").select("size_a", "size_b", "diff")
 
 
 @query("""
-SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f', n_chars::DOUBLE) || 'B' ELSE printf('%.2f', round_even(n_chars / 1024.0, 2)) || 'KB' END AS long_text, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || '.0 B' END AS short_text FROM documents WHERE n_chars < 1048576
+SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f', n_chars::DOUBLE) || 'B' WHEN n_chars < 1048576 THEN printf('%.2f', round_even(n_chars / 1024.0, 2)) || 'KB' ELSE printf('%.2f', round_even(n_chars / 1048576.0, 2)) || 'MB' END AS long_text, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || '.0 B' END AS short_text FROM documents
 """)
 def byte_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").where(n < 1048576).select("doc_id", text.bytes_text(n).alias("long_text"), F.when(n < 1024, text.bytes_short(n)).alias("short_text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.bytes_text(n).alias("long_text"), F.when(n < 1024, text.bytes_short(n)).alias("short_text"))
 
 
 @query("""
@@ -431,10 +431,10 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_type AS codec, m AS metric, count(*) AS n, round(avg(v), 2) AS mean, round(stddev_pop(v), 2) AS std, round(min(v), 2) AS min, round(max(v), 2) AS max
-FROM (SELECT event_type, unnest(['user_id', 'value']) AS m, unnest([user_id::DOUBLE, value]) AS v FROM events WHERE event_id % 10 <> 0) GROUP BY ALL
+FROM (SELECT event_type, unnest(['user_id', 'value']) AS m, unnest([user_id::DOUBLE, value]) AS v FROM events WHERE value >= 5) GROUP BY ALL
 """)
 def codec_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("codec"), "value", "user_id", F.when(F.col("event_id") % 10 == 0, "late").alias("error"))
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("codec"), "value", "user_id", F.when(F.col("value") < 5, "late").alias("error"))
     return load_bench.codec_stats(runs, ["value", "user_id"])
 
 
