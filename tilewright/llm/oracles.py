@@ -94,5 +94,30 @@ l AS (SELECT h.*, g.tokens, coalesce(p.quota, 0) AS quota, sum(size) OVER (PARTI
 e AS (SELECT *, CAST(ceil(tokens / 16.0) AS BIGINT) AS blocks FROM l),
 c AS (SELECT *, CASE WHEN blocks > 0 THEN least(quota // blocks, 3) ELSE 0 END AS rounds FROM e)
 SELECT doc_id, size, source_size, target, CAST(size * rounds + greatest(least(upto, CASE WHEN rounds < 3 THEN (quota - rounds * blocks) * 16 ELSE 0 END) - (upto - size), 0) AS BIGINT) AS taken FROM c
+""",
+    "op10_pii": r"""
+WITH k(kind, rank, pattern, score, words) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0.9, 'mail|contact|write|kontakt|correo|courriel'),
+  ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', 0.6, 'ip|host|server|address|adresse'),
+  ('card', 2, '[0-9](?:[\x20-]?[0-9])+', 0.8, 'card|visa|credit|karte|carte|tarjeta|payment'),
+  ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]', 0.7, 'call|phone|tel|fax|mobile|telefon|appel'),
+  ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b', 0.9, 'iban|account|konto|compte|cuenta|bank'),
+  ('ssn', 5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 0.3, 'ssn|social security')),
+d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+f AS (SELECT rid, t, k.*, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gaps FROM d, k),
+x AS (SELECT rid, t, kind, rank, score, words, ms[i + 1] AS m, CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i], lambda g: length(g))), 0) AS BIGINT) AS start FROM f, unnest(range(len(ms))) AS u(i)),
+e AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS tight, regexp_replace(m, ' [A-Z0-9]*$', '') AS shorter, substr(t, greatest(start - 40, 0) + 1, least(start, 40)) AS near FROM x),
+c AS (SELECT *, list_reduce(list_transform(string_split(tight[5:] || tight[1:4], ''), lambda a: ascii(a)), lambda a, b: CASE WHEN b < 58 THEN (a * 10 + b - 48) % 97 ELSE (a * 100 + b - 55) % 97 END, 0) AS rest,
+  list_reduce(list_transform(string_split(replace(shorter, ' ', '')[5:] || replace(shorter, ' ', '')[1:4], ''), lambda a: ascii(a)), lambda a, b: CASE WHEN b < 58 THEN (a * 10 + b - 48) % 97 ELSE (a * 100 + b - 55) % 97 END, 0) AS rest2 FROM e),
+g AS (SELECT rid, kind, rank, start, round(score + CASE WHEN regexp_matches(near, '(?i)(?:' || words || ')') THEN 0.1 ELSE 0 END, 2) AS sure, start + length(CASE kind WHEN 'email' THEN m WHEN 'ssn' THEN m
+    WHEN 'ip' THEN CASE WHEN list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) < 4 AND CAST(right(p, 3) AS INTEGER) <= 255)) THEN m END
+    WHEN 'phone' THEN CASE WHEN length(digits) BETWEEN 9 AND 15 THEN m END
+    WHEN 'card' THEN CASE WHEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(reverse(digits), j + 1, 1) AS BIGINT)
+      ELSE (CAST(substr(reverse(digits), j + 1, 1) AS BIGINT) * 2) % 10 + CAST(substr(reverse(digits), j + 1, 1) AS BIGINT) // 5 END)) % 10 = 0 THEN m END
+    WHEN 'iban' THEN CASE WHEN rest = 1 THEN m WHEN shorter <> m AND length(replace(shorter, ' ', '')) >= 15 AND rest2 = 1 THEN shorter END END) AS stop FROM c),
+s AS (SELECT *, kind || ':' || start || ':' || stop AS said FROM g WHERE stop IS NOT NULL AND (rank < 4 OR sure >= 0.4)),
+a AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(said, ',' ORDER BY start, rank) FILTER (rank < 4) AS base, string_agg(said, ',' ORDER BY start, rank) AS spans, max(sure) AS top_score FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(top_score, 0) AS DOUBLE) AS top_score FROM d LEFT JOIN a USING (rid)
 """,
 }

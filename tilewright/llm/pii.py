@@ -25,8 +25,8 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "call|phone|tel|fax|mobile|telefon|appel"),
 }
 ADDED = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.9, "iban|account|konto|compte|cuenta|bank"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security"),
+    "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", 0.9, "iban|account|konto|compte|cuenta|bank"),
+    "ssn": (r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", 0.3, "ssn|social security"),
 }
 KINDS = [*BASE, *ADDED]
 #: What a text must hold before a kind's full pattern is tried.
