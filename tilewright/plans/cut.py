@@ -23,11 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     for get in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if found := get():
             return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.TemporaryDirectory(prefix="tilewright-"))
-    spark.conf.set("spark.checkpoint.dir", f"file://{_local[0].name}")
     return f"file://{_local[0].name}"
 
 
