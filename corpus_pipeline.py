@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, to the nearest whole time: 0 to 3."""
     taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
-    times = cut(taken.where("times > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id"), "times")
+    times = cut(taken.where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("times")), "times")
     found = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth")).select(*docs.columns)
 
