@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from tilewright.plans import map_arrow
 
-KEPT_PIECES, OUT_BYTES = 250_000, 4_000_000
+KEPT_PIECES, OUT_BYTES = 120_000, 4_000_000
 
 
 @lru_cache(1)

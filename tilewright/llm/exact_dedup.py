@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tilewright.plans import cut, map_arrow
 
-BLOCK_BYTES, FOLD_BYTES = 16_384, 24_000_000
+BLOCK_BYTES, FOLD_BYTES, STEP = 16_384, 12_000_000, 512
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 
 
@@ -83,10 +83,11 @@ def _name_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
     name, last = ((context.partitionId() if context else 0) << 40) - 1, None
     for batch in batches:
         names = []
-        for key in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
-            if key != last:
-                name, last = name + 1, key
-            names.append(name)
+        for at in range(0, batch.num_rows, STEP):  # a few blocks at a time leave Arrow's memory
+            for key in zip(*(batch.column(k).slice(at, STEP).to_pylist() for k in keys), strict=True):
+                if key != last:
+                    name, last = name + 1, key
+                names.append(name)
         rest = [c for c in batch.schema.names if c not in keys]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.int64())], names=[*rest, "name"])
 
