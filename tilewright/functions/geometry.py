@@ -61,7 +61,7 @@ def look_at(position: Column, direction: Column, picked: Column) -> Column:
     return F.coalesce(picked, F.zip_with(position, direction, lambda p, d: p + d * FALLBACK_DISTANCE))
 
 
-def camera_toml(name: Column, position: Column, direction: Column, up: Column, fov_y: Column, picked: Column) -> Column:
+def camera_toml(name: Column, position: Column, direction: Column, up: Column, fov_y: Column, picked: Column, table: str = "cameras") -> Column:
     """A camera as a TOML table: near is a hundredth (at least 0.1) and far ten times the distance looked at."""
     target = look_at(position, direction, picked)
     apart = F.sqrt(F.aggregate(F.zip_with(position, target, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -69,5 +69,5 @@ def camera_toml(name: Column, position: Column, direction: Column, up: Column, f
     fixed = lambda v, n: F.format_string(f"%.{n}f", v)
     vector = lambda v: F.concat(F.lit("["), fixed(v[0], 3), F.lit(", "), fixed(v[1], 3), F.lit(", "), fixed(v[2], 3), F.lit("]"))
     rows = [("position", vector(position)), ("look_at", vector(target)), ("up", vector(up)), ("fov_y_deg", fixed(F.degrees(fov_y), 2)), ("near", fixed(F.greatest(F.lit(0.1), distance * 0.01), 2)), ("far", fixed(distance * 10, 2))]
-    lines = [F.concat(F.lit("[cameras."), name, F.lit("]"))] + [F.concat(F.lit(f"{k} = "), v) for k, v in rows]
+    lines = [F.concat(F.lit(f"[{table}."), name, F.lit("]"))] + [F.concat(F.lit(f"{k} = "), v) for k, v in rows]
     return F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n"))
