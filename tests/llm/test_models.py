@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -235,6 +236,29 @@ def test_ann_cases(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 120)]
+    rows += [r for r in rows[:60] for _ in range(9)]
+    rows += [(7, [x * 2.0**n for x in rows[6][1]]) for n in range(1, 10)]  # other rows, but the same pair and score
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    want = brute_nearest(rows, lambda i: i % 10 == 0, 5)
+    got = {}
+    for r in sorted(ann.nearest(df, F.col("vec_id") % 10 == 0).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
+
+
+def test_best_counts_a_row_once():
+    x = np.random.default_rng(6).standard_normal((40, 8))
+    want = [i for i, _ in brute_nearest([*enumerate(x.tolist())], lambda i: i == 0, 5)[0]]
+    ids = np.r_[np.arange(40), np.repeat(want, 30)].astype("<i8")
+    codes = lambda n: np.zeros((n, 4), "<u8").tobytes()
+    pack = {"q_ids": ids[:1].tobytes(), "q_codes": codes(1), "q_vectors": x[:1].tobytes(), "ids": ids.tobytes(), "codes": codes(len(ids)), "vectors": x[ids].tobytes()}
+    (got,) = ann._best(iter([pa.RecordBatch.from_pydict({k: [v] for k, v in pack.items()})]), words=4, dim=8, radius=256, first_word=False, k=5)
+    assert got.column("vec_id").to_pylist() == want
+
+
 def test_probing_finds_all_in_radius():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -18,7 +18,8 @@ full radius. No bucket, block or candidate list has a cap.
 
 Buckets are packed where they stand into packs of bounded size, so that a
 bucket with a third of all rows is many packs over many tasks, and each pair of
-packs returns its best rows only, never all pairs.
+packs returns its best rows only, never all pairs. Repeated rows are folded
+within a pack before its best are chosen, and between packs after.
 
 Defined results: vectors that are null, zero, of another length than most of the
 sample, or hold null or non-finite components take no part, as query or
@@ -139,7 +140,8 @@ def _pack(batches: Iterator[pa.RecordBatch], coder: Broadcast, rows: int, keyed:
             pack += len(some)
 
     for batch in batches:
-        found = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == c.dim]
+        # A pack never spans batches, so a pack holds a repeated row once.
+        found = list(dict.fromkeys((i, tuple(v)) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == c.dim))
         if not found:
             continue
         ids, x = np.array([i for i, _ in found], "<i8"), np.array([v for _, v in found], "<f8")
@@ -171,15 +173,22 @@ def _best(batches: Iterator[pa.RecordBatch], words: int, dim: int, radius: int,
             q, v = read(cols["q_vectors"][r], "<f8", dim), read(cols["vectors"][r], "<f8", dim)
             rough = (q @ v.T) / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((v * v).sum(axis=1))[None, :]
             rough[~hit] = -np.inf
-            if len(vid) > k:
+            # Rows of one id may score alike and then count once, so the floor is the k-th best id's.
+            by_id = np.argsort(vid, kind="stable")
+            heads = np.flatnonzero(np.diff(vid[by_id], prepend=vid[by_id[0]] - 1))
+            if len(heads) > k:
                 # All that could be among the k best despite rounding go on to the exact score.
-                floor = np.partition(rough, len(vid) - k, axis=1)[:, len(vid) - k] - 1e-9
+                each = rough if len(heads) == len(vid) else np.maximum.reduceat(rough[:, by_id], heads, axis=1)
+                floor = np.partition(each, len(heads) - k, axis=1)[:, len(heads) - k] - 1e-9
                 hit &= rough >= floor[:, None]
             a, b = np.nonzero(hit)
             qa, vb = q[a], v[b]
             exact = (qa * vb).sum(axis=1) / np.sqrt((qa * qa).sum(axis=1) * (vb * vb).sum(axis=1))
             order = np.lexsort((vid[b], -exact, a))
             a, b, exact = a[order], b[order], exact[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (vid[b[1:]] != vid[b[:-1]]) | (exact[1:] != exact[:-1])
+            a, b, exact = a[new], b[new], exact[new]
             keep = np.arange(len(a)) - np.searchsorted(a, a) < k
             queries.append(qid[a[keep]])
             found.append(vid[b[keep]])
@@ -208,7 +217,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     n = rows.count()
     # A hash below the rate leaves about the sample; more than twice as many would need a hash that fails.
     place = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.where(place < min(1.0, 1.5 * sample / max(n, 1))).select(place.alias("at"), "id", "v").collect()
+    some = rows.where(place < min(1.0, 1.5 * sample / max(n, 1))).select(place.alias("at"), "id", "v").distinct().collect()
     coder = fit([r.v for r in sorted(some)[:sample]], k)
     if coder is None:
         coder = Coder(0, [], 0)
