@@ -89,6 +89,41 @@ def test_chat_finds_rewriting():
     assert [renderer.add(m)[1] for m in turns] == [False, False, False, True, False]
 
 
+def late(messages):
+    """Drops the system turn once there are more than 300 turns."""
+    return chat.tagged([m for m in messages if m[0] != "system" or len(messages) <= 300])
+
+
+def recent(messages):
+    """Keeps the last 300 turns."""
+    return chat.tagged(messages[-300:])
+
+
+def named(messages):
+    """Signs an assistant's turn with the system turn's text."""
+    name = "".join(t for r, t in messages[:1] if r == "system")
+    return chat.tagged([(r, t + name * (r == "assistant")) for r, t in messages])
+
+
+def test_chat_long_prefixes_are_true():
+    turns = [("system", "s")] + [("assistant" if i % 2 else "user", f"t{i}") for i in range(1, 620)]
+    for render, rewrites in ((late, [300]), (recent, [*range(300, 620)]), (named, [])):
+        renderer, last = chat.Renderer(render), ""
+        got = [renderer.add(m) for m in turns]
+        for i, (piece, rewrote) in enumerate(got):
+            out = render(turns[: i + 1])
+            assert rewrote == (not out.startswith(last)) and piece == (out if rewrote else out[len(last) :])
+            last = out
+        assert [i for i, (_, rewrote) in enumerate(got) if rewrote] == rewrites
+
+
+def test_chat_turn_local_moves():
+    renderer = chat.Renderer(chat.tagged)
+    for i in range(2000):
+        renderer.add(("user", str(i)))
+    assert len(renderer.held) <= chat.WINDOW + 1
+
+
 def test_chat_cases(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", "q"), (None, 0, None, "x"), (2, None, "assistant", "y"), (2, None, "assistant", "y"), *((3, i, "user" if i % 2 == 0 else "assistant", f"t{i}<") for i in range(700))]
     turns = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, piece string")

@@ -6,13 +6,14 @@ to the one before is the new turn's span, and an output that does not start
 with the one before shows a template that rewrites history. Nothing about the
 template's inner form is assumed.
 
-Conversations longer than ``window`` turns are rendered over a sliding stretch.
-Each move is checked: a turn must add the same text after the short stretch as
-after the long one; where it doesn't, the stretch keeps growing, so the exact
-prefixes are used and only time is lost.
+Every prefix is rendered whole: time grows with the square of a conversation and
+memory with its length. Only a template that is declared ``turn_local``, as the
+default one is, is rendered over a stretch that moves every ``window`` turns: what
+such a template adds for a turn depends on that turn alone. Each move is checked
+on one turn; where it adds other text, the stretch keeps growing.
 
 Rows are sorted by conversation and streamed, a turn at a time, so memory does
-not grow with a conversation. Defined results: a null text or role counts as
+not grow with a conversation under a turn-local template. Defined results: a null text or role counts as
 empty; a null conversation id is a conversation of its own; turns with equal
 (or null) numbers go by role and text, nulls first; repeated rows are repeated
 turns; an empty table gives an empty result; other columns are not read.
@@ -43,6 +44,13 @@ def unescape(text: str) -> str:
     return re.sub(r"(?s)\\(.)", r"\1", text)
 
 
+def turn_local(render: Callable[[list[Message]], str]) -> Callable[[list[Message]], str]:
+    """Declares that what a template adds for a turn depends on that turn alone, wherever it stands."""
+    render.turn_local = True
+    return render
+
+
+@turn_local
 def tagged(messages: list[Message]) -> str:
     """The default template: ``<turn:role>text</turn>`` and a line end, per turn."""
     return "".join(f"<turn:{escape(role)}>{escape(text)}</turn>\n" for role, text in messages)
@@ -60,10 +68,10 @@ def read_tagged(piece: str) -> tuple[str, str, int, int]:
 
 
 class Renderer:
-    """Feeds turns one by one to a black-box template."""
+    """Feeds turns one by one to a black-box template; ``window`` counts for turn-local ones only."""
 
     def __init__(self, render: Callable[[list[Message]], str], window: int = WINDOW):
-        self.render, self.window = render, window
+        self.render, self.window = render, window if getattr(render, "turn_local", False) else None
         self.held: list[Message] = []
         self.last = ""
         self.short: tuple[list[Message], str] | None = None
@@ -80,7 +88,7 @@ class Renderer:
             self.short = None
             if not rewrote and after.startswith(before) and after[len(before) :] == piece:
                 self.held, out = held, after
-        elif len(self.held) >= self.window and len(self.held) % self.window == 0:
+        elif self.window and len(self.held) % self.window == 0:
             self.short = ([message], self.render([message]))
         self.last = out
         return piece, rewrote
