@@ -175,6 +175,24 @@ def test_kernel_is_shared_grams():
     assert model.langs[model.scores(["bd abc"]).argmax()] == "x"
 
 
+def test_all_letters_stay_apart():
+    # Four languages alike in 62 frequent letters and told apart by the order of 150 rarer ones, some beyond the basic plane.
+    often, rare = [chr(0x4E00 + i) for i in range(62)], [chr(p + i) for p in (0xAC00, 0x20000) for i in range(75)]
+    rng = np.random.default_rng(8)
+    after = {lang: rng.permutation(150) for lang in "abcd"}
+    text = lambda lang: "".join("".join(rng.choice(often, 2)) + rare[i] + rare[after[lang][i]] for i in rng.integers(150, size=30).tolist())
+    model = langid.fit([(text(lang), lang) for _ in range(200) for lang in "abcd"])
+    tests = [(text(lang), lang) for _ in range(50) for lang in "abcd"]
+    said = [model.langs[i] for i in model.scores([t for t, _ in tests]).argmax(axis=1)]
+    assert np.mean([a == b for a, (_, b) in zip(said, tests, strict=True)]) > 0.9
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    whole = "".join(often + rare)
+    pair = langid.fit([(whole, "x"), (whole[::-1], "y")])
+    k = pair.presence([tests[0][0]]) @ pair.landmarks
+    # The presence row holds what either landmark has; the kernel with the first counts that one's grams.
+    assert abs(k[0, 0] - len(grams(tests[0][0]) & grams(whole)) / math.sqrt(len(grams(whole)))) < 1e-4
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     truth = {r.doc_id: r.lang for r in table(spark, sf_dir, "documents").collect()}
     rows = catalog.op6_language_id(spark, sf_dir).collect()

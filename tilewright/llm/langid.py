@@ -9,8 +9,10 @@ a batch of texts is scored by two matrix products.
 
 Grams count only if a landmark has them, so a text is a row over that fixed
 vocabulary. Characters are folded by a table learned from the training texts:
-letters in lower case by frequency, everything that is no letter as a space,
-rarer letters as one class; a gram is then an index without collisions.
+each of their letters in lower case is a symbol, everything that is no letter a
+space, letters that training never saw one class; a gram is then a number without
+collisions, searched for in the sorted vocabulary. The vocabulary has no cap: it
+holds 4 bytes per gram and landmark, so it grows with the landmarks' distinct grams.
 
 Training reads a bounded sample: at most ``max_train`` labelled rows, spread
 evenly over the languages (at most ``max_train`` of them) and chosen by a hash
@@ -41,9 +43,8 @@ from pyspark.sql import types as T
 from tilewright.plans import map_arrow
 
 MAX_TRAIN, LANDMARKS, RIDGE, ROWS = 1600, 96, 1e-2, 64
-SYMBOLS, SPACE, OTHER = 64, 0, 1
+SPACE, OTHER = 0, 1
 _LETTER = regex.compile(r"\p{L}")
-_OFFSETS = (0, SYMBOLS, SYMBOLS + SYMBOLS**2)
 
 
 def held_out(id_col: Column) -> Column:
@@ -53,30 +54,37 @@ def held_out(id_col: Column) -> Column:
 
 @dataclass
 class Model:
-    """All that scoring needs; a few megabytes whatever the corpus."""
+    """All that scoring needs; a few megabytes for alphabets, more for landmarks of many different grams."""
 
     langs: list[str]
-    fold: np.ndarray  # code point of the basic plane -> symbol
-    column: np.ndarray  # gram -> column of the vocabulary, or the last column
+    symbols: int
+    fold: np.ndarray  # code point -> symbol
+    vocabulary: np.ndarray  # sorted grams; a gram's place is its column
     landmarks: np.ndarray  # vocabulary x landmarks, scaled by the landmarks' set sizes
     weights: np.ndarray  # landmarks x languages, the Nystrom map and the ridge weights multiplied out
     bias: np.ndarray
 
     def grams(self, text: str) -> list[np.ndarray]:
-        """Indices of the 1-, 2- and 3-grams of a whole text."""
+        """Numbers of the 1-, 2- and 3-grams of a whole text."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        s = self.fold[np.minimum(points, 0xFFFF)].astype(np.int32)
+        s = self.fold[points].astype(np.int64)
         s = s[np.concatenate([[True], (s[1:] != SPACE) | (s[:-1] != SPACE)])] if len(s) else s
-        two = s[:-1] * SYMBOLS + s[1:]
-        three = two[:-1] * SYMBOLS + s[2:]
-        return [s + _OFFSETS[0], two + _OFFSETS[1], three + _OFFSETS[2]]
+        n = self.symbols
+        two = s[:-1] * n + s[1:]
+        three = two[:-1] * n + s[2:]
+        return [s, two + n, three + n + n**2]
+
+    def columns(self, grams: np.ndarray) -> np.ndarray:
+        """Columns of grams; one past the last for those that no landmark has."""
+        at = np.searchsorted(self.vocabulary, grams)
+        return np.where(self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == grams, at, len(self.vocabulary))
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """One row per text over the vocabulary, 1 where the gram is present."""
         rows = np.zeros((len(texts), self.landmarks.shape[0] + 1), np.float32)
         for row, text in zip(rows, texts, strict=True):
             for g in self.grams(text):
-                row[self.column[g]] = 1
+                row[self.columns(g)] = 1
         return rows[:, :-1]
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -96,28 +104,26 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return None
-    letters = Counter(c for t, _ in samples for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
-    known = {c: i for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2], 2)}
-    fold = np.full(0x10000, SPACE, np.uint8)
-    for p in range(0x10000):
+    low = lambda c: c.lower() if len(c.lower()) == 1 else c
+    letters = {low(c) for c in set().union(*(t for t, _ in samples)) if c.isalpha()}
+    known = {c: i for i, c in enumerate(sorted(letters), 2)}
+    fold = np.full(0x110000, SPACE, np.int32)
+    for p in range(0x110000):
         c = chr(p)
         if c.isalpha():
-            low = c.lower()
-            fold[p] = known.get(low if len(low) == 1 else c, OTHER)
-    fold[0xFFFF] = OTHER  # stands for all planes beyond the basic one
+            fold[p] = known.get(low(c), OTHER)
 
     # Landmarks in turn from each language, so that none is without.
     by_lang = [[t for t, x in samples if x == lang] for lang in langs]
     chosen = [own[i] for i in range(max(map(len, by_lang))) for own in by_lang if i < len(own)][:landmarks]
-    everything = Model(langs, fold, np.arange(_OFFSETS[2] + SYMBOLS**3), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
+    symbols, none = len(known) + 2, np.zeros(0)
+    everything = Model(langs, symbols, fold, none, none, none, none)
     sets = [np.unique(np.concatenate(everything.grams(t))) for t in chosen]
     vocabulary = np.unique(np.concatenate(sets))
-    column = np.full(_OFFSETS[2] + SYMBOLS**3, len(vocabulary), np.int32)
-    column[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
     z = np.zeros((len(vocabulary), len(chosen)), np.float32)
     for k, s in enumerate(sets):
-        z[column[s], k] = 1 / np.sqrt(len(s))
-    model = Model(langs, fold, column, z, np.zeros((len(chosen), len(langs))), np.zeros(len(langs)))
+        z[np.searchsorted(vocabulary, s), k] = 1 / np.sqrt(len(s))
+    model = Model(langs, symbols, fold, vocabulary, z, np.zeros((len(chosen), len(langs))), np.zeros(len(langs)))
 
     values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
     good = values > 1e-6 * values.max()
