@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import catalog, exact_dedup, langid, mixing, simhash
-from tilewright.plans import cut, table
+from tilewright.plans import cut, ship, table
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of no language (null, or without a letter); ``lang`` stays the label that came with a document."""
-    said = langid.predict(docs, langid.fit(langid.training_sample(docs)), carry=True)
+    model = langid.fit(langid.training_sample(docs))
+    if model is None:  # no label to learn from, so that no language can be told
+        ship(spark)
+        return docs.where(F.udf(langid.has_letter, "boolean")("text"))
+    said = langid.predict(docs, model, carry=True)
     return said.where("lang_pred <> 'und'").select("row.*")
 
 

@@ -55,6 +55,15 @@ def test_stages(spark, tiny_dir):
     assert ended.count() == mixed.count()
 
 
+def test_unlabelled_corpus_is_kept(spark, tiny_dir):
+    schema = table(spark, tiny_dir, "documents").schema
+    texts = [None, "", "12 34 !", "the and of that", "das ist der Text", "的", "𐍈", "😀", "x" * 50, "٣ 4\n"]
+    docs = spark.createDataFrame([(i, t, None, "src1", 1) for i, t in enumerate(texts * 3)], schema)
+    kept = corpus_pipeline.keep_language(spark, docs, tiny_dir)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(texts * 3) if any(c.isalpha() for c in t or "")]
+
+
 def test_run(spark, tiny_dir):
     assert sorted(corpus_pipeline.run(spark, tiny_dir).collect()) == sorted(corpus_pipeline.run(spark, tiny_dir).collect())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "source mixing", "byte-level BPE"]
