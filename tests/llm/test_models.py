@@ -271,16 +271,74 @@ def test_best_counts_a_row_once():
     x = np.random.default_rng(6).standard_normal((40, 8))
     want = [i for i, _ in brute_nearest([*enumerate(x.tolist())], lambda i: i == 0, 5)[0]]
     ids = np.r_[np.arange(40), np.repeat(want, 30)].astype("<i8")
-    codes = lambda n: np.zeros((n, 4), "<u8").tobytes()
-    pack = {"q_ids": ids[:1].tobytes(), "q_codes": codes(1), "q_vectors": x[:1].tobytes(), "ids": ids.tobytes(), "codes": codes(len(ids)), "vectors": x[ids].tobytes()}
-    (got,) = ann._best(iter([pa.RecordBatch.from_pydict({k: [v] for k, v in pack.items()})]), words=4, dim=8, radius=256, first_word=False, k=5)
+    codes = lambda n: np.zeros(n, "<u4").tobytes()
+    pack = {"key": 0, "q_ids": ids[:1].tobytes(), "q_codes": codes(1), "q_vectors": x[:1].tobytes(), "ids": ids.tobytes(), "codes": codes(len(ids)), "vectors": x[ids].tobytes()}
+    (got,) = ann._best(iter([pa.RecordBatch.from_pydict({k: [v] for k, v in pack.items()})]), kind="<f8", dim=8, radii=[0] * 8, k=5)
     assert got.column("vec_id").to_pylist() == want
 
 
+def retrieved(index, x, queries):
+    """Which rows the buckets hold for each query, told by the radii alone."""
+    codes = index.coder.codes(x)
+    return np.array([(np.bitwise_count(codes[q] ^ codes) <= np.array(index.coder.radii)).any(axis=1) for q in queries])
+
+
+def test_buckets_alone_answer(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    rows = ann.vector_rows(df, "vec_id", "embedding")
+    index = ann.build(rows, 5)
+    ids = [r.id for r in rows.collect()]
+    x = np.array([r.v for r in rows.collect()], float)
+    want = brute_nearest([*zip(ids, x.tolist(), strict=True)], lambda i: i % 50 == 0, 5)
+    queries = rows.where("id % 50 = 0")
+    got = {}
+    for r in index.search(queries, index.coder.radii, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got.get(q, set()) & {i for i, _ in near}) / 5 for q, near in want.items()]) >= 0.9
+    assert sum(len(got.get(q, ())) == 5 for q in want) >= 0.95 * len(want)  # the others probe again
+    # Directions taken at random are the hardest case: still most rows are not probed.
+    assert retrieved(index, x, [ids.index(q) for q in want]).mean() < 0.5
+
+
+def test_close_neighbours_probe_few_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((150, 32)), 20, axis=0) + 0.15 * rng.standard_normal((3000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    index = ann.build(ann.vector_rows(df, "vec_id", "embedding"), 5)
+    assert retrieved(index, x, range(0, 3000, 50)).mean() < 0.05
+    want, got = brute_nearest([*enumerate(x.tolist())], lambda i: i % 50 == 0, 5), {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {i for i, _ in near}) / 5 for q, near in want.items()]) >= 0.9
+
+
 def test_probing_finds_all_in_radius():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    other = np.array([b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, ann.NEAR_RADIUS, replace=False))) for b in base])
-    own = [dict(enumerate(k[1] for k in ann._probes(other, 0)))]
-    for i in range(len(base)):
-        assert any(own[0][s][i] == keys[i] for s, keys in ann._probes(base, ann.NEAR_RADIUS))
+    radii = [2, 0, -1, 4, 3, 1, 0, 2]
+    for _ in range(200):
+        apart = np.zeros(256, np.uint8)
+        apart[rng.choice(256, sum(t + 1 for t in radii) - 1, replace=False)] = 1
+        assert (apart.reshape(8, 32).sum(axis=1) <= radii).any()
+    # A value within the radius of another lies on a shelf that the other's queries are sent to.
+    for _ in range(200):
+        a, bits, radius = int(rng.integers(1 << 32)), int(rng.integers(0, 7)), int(rng.integers(0, 6))
+        b = a ^ sum(1 << int(i) for i in rng.choice(32, radius, replace=False))
+        assert (b >> 32 - bits) in {(a >> 32 - bits) ^ m for m in ann.flips(bits, radius)}
+
+
+def test_shelves_change_nothing(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((600, 16)).tolist()
+    df = spark.createDataFrame([*enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(ann.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    monkeypatch.setattr(ann, "SHELF_ROWS", 20)
+    assert sorted(ann.nearest(df, F.col("vec_id") % 50 == 0).collect()) == one
+
+
+def test_ann_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda sample: seen.append(len(sample)) or fit(sample))
+    x = np.random.default_rng(4).standard_normal((3000, 8)).tolist()
+    df = spark.createDataFrame([(27, v) for v in x] + [(27, x[0])] * 2000, "vec_id long, embedding array<double>")
+    ann.build(ann.vector_rows(df, "vec_id", "embedding"), 5, sample=100, pilots=10)
+    assert seen[0] <= 100

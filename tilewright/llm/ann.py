@@ -2,36 +2,43 @@
 
 Codes: vectors are normalised and turned by learned rotations (the principal
 axes, then iterative quantisation from seeded starts); the signs are the bits,
-WORDS words of 64. The first word is cut into four substrings of 16 bits, each
-an index of its own. A query probes each index at its substring and one bit
-around: by the pigeonhole principle that retrieves every vector whose first
-word is within radius 7, and its codes are checked, then the floats reranked.
-
-A query is settled if its fifth cosine is so high that a neighbour as near would
-have been within that radius (by the angle's share of bits, two deviations).
-Other queries take a wide radius over the whole code, learned on the sample so
-that it holds LEARNED of true neighbours. At that radius pigeonhole probing
-would visit every bucket of every substring, so the codes are read block by
-block instead: the stated queries against all rows, code distance first, floats
-of what is within the radius after. Queries that still lack neighbours take the
-full radius. No bucket, block or candidate list has a cap.
-
-Buckets are packed where they stand into packs of bounded size, so that a
-bucket with a third of all rows is many packs over many tasks, and each pair of
-packs returns its best rows only, never all pairs. Repeated rows are folded
-within a pack before its best are chosen, and between packs after.
+CODE_BITS in all. The code is cut into substrings of SUBSTRING_BITS, each an
+index of its own, whose buckets are the substring's values.
+
+A query probes, in each index, the buckets within that index's own radius. By
+the pigeonhole principle the radii t_1 .. t_m retrieve every row whose code is
+within sum(t_i + 1) - 1 bits of the query's. What is retrieved is reranked by
+the cosine of the original vectors, in double precision.
+
+The rotations are learned on at most ``sample`` rows, the radii on the true
+neighbours, among all rows, of at most ``pilots`` of these: radii are raised,
+the cheapest first (by the share of the sample that they retrieve), until the
+buckets hold LEARNED of these neighbours. So they follow the data: narrow where
+neighbours are close, wide where they are hardly closer than chance.
+
+Queries for which the buckets hold fewer than k rows probe again, with radii
+that retrieve every row; that is the exact way for the rest. No bucket, pack or
+candidate list has a cap.
+
+Buckets lie in shelves, by the upper bits of their value: a query is sent to the
+shelves that a bucket within its radius can lie on, and looks there into the
+directory of buckets. Shelves are cut where they stand into packs of bounded
+size, so that a bucket with a third of all rows is many packs over many tasks,
+and each pair of packs returns its best rows only, never all pairs. Repeated
+rows are folded within a pack before its best are chosen, and between packs after.
 
 Defined results: vectors that are null, zero, of another length than most of the
 sample, or hold null or non-finite components take no part, as query or
-candidate; rows with a null id take no part; a repeated row counts once; an
-empty table gives an empty result; other columns are not read.
+candidate; rows with a null id take no part; a repeated row counts once; of
+equal cosines the smaller id comes first; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 from itertools import combinations
 
@@ -41,72 +48,73 @@ from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.plans import cut, map_arrow
 
-SAMPLE, WORDS, SUBSTRINGS, NEAR_RADIUS, LEARNED = 3000, 4, 4, 7, 0.98
-PACK_ROWS, PACK_QUERIES, BLOCK_ROWS = 512, 128, 4096
-_PACK = "key long, pack long, ids binary, codes binary, vectors binary"
+SAMPLE, PILOTS, LEARNED = 3000, 100, 0.97
+CODE_BITS, SUBSTRING_BITS = 256, 32
+PACK_ROWS, PACK_QUERIES, PAIRS, SHELF_ROWS, MOST_SHELF_BITS, SPREAD = 2048, 128, 32_768, 65_536, 20, 8
 
 
 @dataclass
 class Coder:
-    """Rotations and what the sample told: dimension and the wide radius."""
+    """Rotations, and the probing radius of each substring; a radius of -1 leaves an index out."""
 
     dim: int
     rotations: list[np.ndarray]
-    wide_radius: int
+    radii: list[int] = field(default_factory=list)
 
     def unit(self, x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """WORDS unsigned 64-bit words per row."""
-        u = self.unit(x)
-        words = []
-        for r in self.rotations:
-            bits = np.zeros((len(x), 64), np.uint8)
-            bits[:, : r.shape[1]] = u @ r > 0
-            words.append(np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0])
-        return np.stack(words, axis=1)
+        """Substrings of each row's code, unsigned 32-bit values."""
+        u = self.unit(x.astype(np.float64))
+        bits = np.concatenate([u @ r > 0 for r in self.rotations], axis=1)[:, :CODE_BITS]
+        return np.packbits(bits, axis=1, bitorder="little").view("<u4")
+
+    def radius(self) -> int:
+        """Every code within so many bits is retrieved."""
+        return sum(t + 1 for t in self.radii) - 1
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances, rows of a by rows of b."""
-    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(a.shape[1]))
+    """Hamming distances of substrings, rows of a by rows of b."""
+    return np.bitwise_count(a[:, None] ^ b[None, :])
 
 
-def fit(sample: list[list[float]], k: int, words: int = WORDS) -> Coder | None:
-    """Learned rotations and wide radius from a bounded sample; None without rows."""
+def fit(sample: list[list[float]]) -> Coder | None:
+    """Learned rotations from a bounded sample; None without rows."""
     if not sample:
         return None
     dim = Counter(map(len, sample)).most_common(1)[0][0]
     x = np.array([v for v in sample if len(v) == dim], np.float64)
-    coder = Coder(dim, [], 0)
+    coder = Coder(dim, [])
     u = coder.unit(x)
     values, axes = np.linalg.eigh(u.T @ u)
     axes = axes[:, np.argsort(-values, kind="stable")][:, :64]
-    for seed in range(words):
+    for seed in range(-(-CODE_BITS // axes.shape[1])):
         turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((axes.shape[1], axes.shape[1])))
         flat = u @ axes
         for _ in range(30):
             left, _, right = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
             turn = (left @ right).T
         coder.rotations.append(axes @ turn)
-    some = slice(0, min(300, len(x)))
-    near = u[some] @ u.T
-    near[np.arange(some.stop), np.arange(some.stop)] = -2
-    best = np.argsort(-near, axis=1)[:, : min(k, max(0, len(x) - 1))]
-    codes = coder.codes(x)
-    apart = np.take_along_axis(distance(codes[some], codes), best, axis=1).ravel()
-    coder.wide_radius = int(np.quantile(apart, LEARNED, method="higher")) if len(apart) else 64 * words
     return coder
 
 
-def settled_cosine(radius: int = NEAR_RADIUS, bits: int = 64) -> float:
-    """The cosine from which two vectors' signs differ in at most ``radius`` bits but for two deviations."""
-    share = max(p for p in np.linspace(0, 0.5, 5001) if bits * p + 2 * np.sqrt(bits * p * (1 - p)) <= radius + 0.5)
-    return float(np.cos(np.pi * share))
+def learn_radii(near: np.ndarray, far: np.ndarray, learned: float = LEARNED) -> list[int]:
+    """Radii whose buckets hold ``learned`` of the neighbours (rows of substring distances), the fewest rows first.
+
+    ``far`` holds the substring distances of rows taken at random.
+    """
+    radii = [-1] * far.shape[1]
+    share = [np.cumsum(np.bincount(far[:, s], minlength=SUBSTRING_BITS + 1)) / max(1, len(far)) for s in range(far.shape[1])]
+    while len(near) and (near <= np.array(radii)).any(axis=1).mean() < learned:
+        s = min((s for s in range(len(radii)) if radii[s] < SUBSTRING_BITS), key=lambda s: (share[s][radii[s] + 1], s))
+        radii[s] += 1
+    return radii
 
 
 def _valid(v: Column) -> Column:
@@ -114,129 +122,174 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _probes(word: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Keys (substring, value) of each substring and of all values within its share of the radius."""
-    for s in range(SUBSTRINGS):
-        value = ((word >> np.uint64(16 * s)) & np.uint64(0xFFFF)).astype(np.int64)
-        for n in range(radius // SUBSTRINGS + 1):
-            for flips in combinations(range(16), n):
-                yield s, (s << 16) | (value ^ sum(1 << b for b in flips))
+def _distinct(batch: pa.RecordBatch, coder: Coder, kind: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of the distinct rows of a batch that have the common length."""
+    ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    right = np.flatnonzero(lists.value_lengths().to_numpy(zero_copy_only=False) == coder.dim)
+    if not len(right):
+        return None
+    x = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, coder.dim)
+    rows = np.concatenate([ids[right].astype("<i8").view(np.uint8).reshape(-1, 8), x.view(np.uint8).reshape(len(x), -1)], axis=1)
+    _, first = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True)
+    first.sort()
+    return ids[right][first].astype("<i8"), x[first]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], coder: Broadcast, rows: int, keyed: str) -> Iterator[pa.RecordBatch]:
-    """Packs of ids, codes and vectors: per bucket (``index``), per probed bucket (``probe``) or of all (``all``)."""
+def _pilot(batches: Iterator[pa.RecordBatch], coder: Broadcast, kind: str, pilots: list[tuple[int, list[float]]], k: int) -> Iterator[pa.RecordBatch]:
+    """Per batch the k best rows of each pilot, with the distances of their substrings."""
     c: Coder = coder.value
-    context = TaskContext.get()
-    pack = (context.partitionId() if context else 0) << 32
-
-    def out(keys: np.ndarray, take: list[np.ndarray], ids: np.ndarray, codes: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal pack
-        for at in range(0, len(take), 2000):
-            some = take[at : at + 2000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at : at + 2000], pa.int64()), pa.array(range(pack, pack + len(some)), pa.int64()), *(pa.array([v[t].tobytes() for t in some], pa.binary()) for v in (ids, codes, x))],
-                names=["key", "pack", "ids", "codes", "vectors"],
-            )
-            pack += len(some)
-
+    own, p = np.array([i for i, _ in pilots]), np.array([v for _, v in pilots], np.float64)
+    codes = c.codes(p)
     for batch in batches:
-        # A pack never spans batches, so a pack holds a repeated row once.
-        found = list(dict.fromkeys((i, tuple(v)) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == c.dim))
-        if not found:
+        found = _distinct(batch, c, kind)
+        if found is None:
             continue
-        ids, x = np.array([i for i, _ in found], "<i8"), np.array([v for _, v in found], "<f8")
-        codes = c.codes(x)
-        if keyed == "all":
-            take = [np.arange(at, min(at + rows, len(ids))) for at in range(0, len(ids), rows)]
-            yield from out(np.zeros(len(take), np.int64), take, ids, codes, x)
-            continue
-        for _, keys in _probes(codes[:, 0], NEAR_RADIUS if keyed == "probe" else 0):
-            order = np.argsort(keys, kind="stable")
-            edges = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
-            take = [run[at : at + rows] for run in np.split(order, edges[1:]) for at in range(0, len(run), rows)]
-            yield from out(np.array([keys[t[0]] for t in take]), take, ids, codes, x)
+        ids, x = found
+        score = c.unit(p) @ c.unit(x.astype(np.float64)).T
+        score[own[:, None] == ids[None, :]] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        a, b = np.repeat(np.arange(len(p)), best.shape[1]), best.ravel()
+        some = np.isfinite(score[a, b])
+        a, b = a[some], b[some]
+        apart = np.bitwise_count(codes[a] ^ c.codes(x)[b]).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(own[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(score[a, b]), pa.array([r.tobytes() for r in apart], pa.binary())], names=["query_id", "vec_id", "score", "apart"])
+
+
+def flips(bits: int, radius: int) -> list[int]:
+    """All masks over so many bits with at most ``radius`` of them set."""
+    return [sum(1 << b for b in some) for n in range(min(bits, radius) + 1) for some in combinations(range(bits), n)]
 
 
-def _best(batches: Iterator[pa.RecordBatch], words: int, dim: int, radius: int, first_word: bool, k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest of each query within the radius, for each pair of a pack of queries and a pack of rows."""
-    read = lambda b, kind, width: np.frombuffer(b, kind).reshape(-1, width)
+def _pack(batches: Iterator[pa.RecordBatch], coder: Broadcast, kind: str, shelf_bits: int, radii: list[int], probe: bool) -> Iterator[pa.RecordBatch]:
+    """Packs of ids, substrings and vectors per (substring, shelf); queries (``probe``) name all shelves within the radius."""
+    c: Coder = coder.value
+    context = TaskContext.get()
+    nth = context.partitionId() if context else 0
     for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        found = _distinct(batch, c, kind)
+        if found is None:
+            continue
+        ids, x = found
+        codes = c.codes(x)
+        for s in (s for s, t in enumerate(radii) if t >= 0):
+            shelf = (codes[:, s].astype(np.int64) >> (SUBSTRING_BITS - shelf_bits)) | (s << MOST_SHELF_BITS)
+            order = np.lexsort((codes[:, s], shelf))
+            edges = np.flatnonzero(np.diff(shelf[order], prepend=-1))
+            size = PACK_QUERIES if probe else PACK_ROWS
+            take = [run[at : at + size] for run in np.split(order, edges[1:]) for at in range(0, len(run), size)]
+            masks = np.array(flips(shelf_bits, radii[s]) if probe else [0])
+            # A shelf's packs are dealt over SPREAD keys, each of which queries go to.
+            keys = [((shelf[t[0]] ^ masks)[:, None] * SPREAD + (np.arange(SPREAD) if probe else [(nth + i) % SPREAD])).ravel() for i, t in enumerate(take)]
+            nth += len(take)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), *(pa.array([v[t].tobytes() for t in take], pa.binary()) for v in (ids, codes[:, s], x))], names=["keys", "ids", "codes", "vectors"])
+
+
+def _scores(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows a of q with rows b of v, a bounded number of pairs at a time."""
+    qq, vv, out = (q * q).sum(axis=1), (v * v).sum(axis=1), np.empty(len(a))
+    for at in range(0, len(a), PAIRS):
+        i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+        out[at : at + PAIRS] = (q[i] * v[j]).sum(axis=1) / np.sqrt(qq[i] * vv[j])
+    return out
+
+
+def _best(batches: Iterator[pa.RecordBatch], kind: str, dim: int, radii: list[int], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each query among the rows in its buckets, for each pair of a pack of queries and a pack of rows."""
+    for batch in batches:
+        cols = {n: batch.column(n) for n in batch.schema.names}
         queries, found, scores = [], [], []
         for r in range(batch.num_rows):
-            qid, vid = np.frombuffer(cols["q_ids"][r], "<i8"), np.frombuffer(cols["ids"][r], "<i8")
-            qc, vc = read(cols["q_codes"][r], "<u8", words), read(cols["codes"][r], "<u8", words)
-            near = distance(qc[:, :1], vc[:, :1]) if first_word else distance(qc, vc)
-            hit = (near <= radius) & (qid[:, None] != vid[None, :])
-            if not hit.any():
-                continue
-            q, v = read(cols["q_vectors"][r], "<f8", dim), read(cols["vectors"][r], "<f8", dim)
-            rough = (q @ v.T) / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((v * v).sum(axis=1))[None, :]
-            rough[~hit] = -np.inf
-            # Rows of one id may score alike and then count once, so the floor is the k-th best id's.
-            by_id = np.argsort(vid, kind="stable")
-            heads = np.flatnonzero(np.diff(vid[by_id], prepend=vid[by_id[0]] - 1))
-            if len(heads) > k:
-                # All that could be among the k best despite rounding go on to the exact score.
-                each = rough if len(heads) == len(vid) else np.maximum.reduceat(rough[:, by_id], heads, axis=1)
-                floor = np.partition(each, len(heads) - k, axis=1)[:, len(heads) - k] - 1e-9
-                hit &= rough >= floor[:, None]
+            read = lambda n, t: np.frombuffer(cols[n][r].as_buffer(), t)  # noqa: B023, E731
+            qid, vid, values = read("q_ids", "<i8"), read("ids", "<i8"), read("codes", "<u4")
+            # A pack is sorted by value: its directory of buckets is where values change.
+            edges = np.flatnonzero(np.diff(values, prepend=values[0] ^ np.uint32(1)))
+            hit = distance(read("q_codes", "<u4"), values[edges]) <= radii[(cols["key"][r].as_py() // SPREAD) >> MOST_SHELF_BITS]
+            if len(edges) < len(values):
+                hit = np.repeat(hit, np.diff(edges, append=len(values)), axis=1)
             a, b = np.nonzero(hit)
-            qa, vb = q[a], v[b]
-            exact = (qa * vb).sum(axis=1) / np.sqrt((qa * qa).sum(axis=1) * (vb * vb).sum(axis=1))
-            order = np.lexsort((vid[b], -exact, a))
-            a, b, exact = a[order], b[order], exact[order]
+            other = qid[a] != vid[b]
+            a, b = a[other], b[other]
+            if not len(a):
+                continue
+            q, v = (read(n, kind).reshape(-1, dim).astype(np.float64) for n in ("q_vectors", "vectors"))
+            score = _scores(q, v, a, b)
+            order = np.lexsort((vid[b], -score, a))
+            a, b, score = a[order], b[order], score[order]
+            # Rows of one id that score alike count once.
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (vid[b[1:]] != vid[b[:-1]]) | (exact[1:] != exact[:-1])
-            a, b, exact = a[new], b[new], exact[new]
+            new[1:] = (a[1:] != a[:-1]) | (vid[b[1:]] != vid[b[:-1]]) | (score[1:] != score[:-1])
+            a, b, score = a[new], b[new], score[new]
             keep = np.arange(len(a)) - np.searchsorted(a, a) < k
             queries.append(qid[a[keep]])
             found.append(vid[b[keep]])
-            scores.append(exact[keep])
+            scores.append(score[keep])
         if queries:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (queries, found, scores)], names=["query_id", "vec_id", "score"])
 
 
-def _search(queries: DataFrame, packs: DataFrame, coder: Coder, radius: int, first_word: bool, k: int) -> DataFrame:
-    """Best rows per query over pairs of packs that share a key: at most k each."""
-    named = queries.select("key", F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors"))
-    pairs = named.join(packs.drop("pack"), "key").drop("key")
-    rows = map_arrow(pairs, partial(_best, words=len(coder.rotations), dim=coder.dim, radius=radius, first_word=first_word, k=k), "query_id long, vec_id long, score double")
-    return _top(rows.distinct(), k)
-
-
 def _top(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k nearest by cosine among all rows but its own."""
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull() & _valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
+@dataclass
+class Index:
+    """The rows, the learned coder, and how values are cut into shelves."""
+
+    rows: DataFrame
+    coder: Coder
+    shelf_bits: int
+    kind: str
+    sent: Broadcast
+
+    def search(self, queries: DataFrame, radii: list[int], k: int) -> DataFrame:
+        """(query_id, vec_id, score, rank): the k best of what the buckets within the radii hold."""
+        packed = lambda df, probe: map_arrow(
+            df.select("id", "v"), partial(_pack, coder=self.sent, kind=self.kind, shelf_bits=self.shelf_bits, radii=radii, probe=probe), "keys array<long>, ids binary, codes binary, vectors binary"
+        )
+        asked = packed(queries, True).select(F.explode("keys").alias("key"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors"))
+        held = packed(self.rows, False).select(F.col("keys")[0].alias("key"), "ids", "codes", "vectors")
+        best = partial(_best, kind=self.kind, dim=self.coder.dim, radii=radii, k=k)
+        return _top(map_arrow(asked.join(held, "key"), best, "query_id long, vec_id long, score double").distinct(), k)
+
+
+def build(rows: DataFrame, k: int, sample: int = SAMPLE, pilots: int = PILOTS) -> Index:
+    """Learns rotations and radii for (id, v) rows; see the module's text for the two bounds."""
+    spark = rows.sparkSession
     n = rows.count()
-    # A hash below the rate leaves about the sample; more than twice as many would need a hash that fails.
-    place = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.where(place < min(1.0, 1.5 * sample / max(n, 1))).select(place.alias("at"), "id", "v").distinct().collect()
-    coder = fit([r.v for r in sorted(some)[:sample]], k)
-    if coder is None:
-        coder = Coder(0, [], 0)
-    sent = spark.sparkContext.broadcast(coder)
-    pack = lambda df, size, keyed: map_arrow(df.select("id", "v"), partial(_pack, coder=sent, rows=size, keyed=keyed), _PACK)
-    queries = rows.where("is_query")
-
-    near = cut(_search(pack(queries, PACK_QUERIES, "probe"), pack(rows, PACK_ROWS, "index"), coder, NEAR_RADIUS, True, k), "near")
-    settled = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= settled_cosine()))
-    open_ = cut(queries.join(settled, F.col("id") == F.col("query_id"), "left_anti"), "open-queries")
-
-    # Blocks of all rows: the queries' packs are repeated for each group of blocks, never the rows.
-    groups = max(1, min(-(-n // (4 * BLOCK_ROWS)), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = pack(rows, BLOCK_ROWS, "all").withColumn("key", F.pmod(F.xxhash64("pack"), F.lit(groups)))
-    over_all = lambda df: pack(df, PACK_QUERIES, "all").withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    wide = cut(_search(over_all(open_), blocks, coder, coder.wide_radius, False, k), "wide")
-    short = open_.join(wide.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
-    short = cut(short, "short-queries")
-    found = near.drop("rank").unionByName(wide.drop("rank"))
+    # A hash below the rate leaves about the sample, and the limit binds what reaches the driver, repeated rows or not.
+    place = F.pmod(F.xxhash64(F.lit("ann"), "id", "v"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.where(place < min(1.0, 1.5 * sample / max(n, 1))).select(place.alias("at"), "id", "v").distinct().orderBy("at", "id", "v").limit(sample).collect()
+    coder = fit([r.v for r in some]) or Coder(0, [])
+    kind = "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+    shelf_bits = int(np.clip(round(np.log2(max(n, 1) / SHELF_ROWS)), 0, MOST_SHELF_BITS))
+    asked = [(r.id, list(r.v)) for r in some if len(r.v) == coder.dim]
+    if asked:
+        found = map_arrow(rows.select("id", "v"), partial(_pilot, coder=spark.sparkContext.broadcast(coder), kind=kind, pilots=asked[:pilots], k=k), "query_id long, vec_id long, score double, apart binary")
+        near = np.array([list(r.apart) for r in _top(found.distinct(), k).select("apart").collect()], np.uint8).reshape(-1, CODE_BITS // SUBSTRING_BITS)
+        codes = coder.codes(np.array([v for _, v in asked]))
+        far = np.concatenate([np.bitwise_count(codes[i] ^ codes[i + 1 :]) for i in range(min(pilots, len(codes)))])
+        coder.radii = learn_radii(near, far)
+    return Index(rows, coder, shelf_bits, kind, spark.sparkContext.broadcast(coder))
+
+
+def vector_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the rows that take part, floats as they are and other numbers as doubles."""
+    v = F.col(vector_col)
+    if not isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType):
+        v = v.cast("array<double>")
+    return vectors.where(F.col(id_col).isNotNull() & _valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, pilots: int = PILOTS) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k nearest by cosine among all rows but its own."""
+    rows = vector_rows(vectors, id_col, vector_col)
+    queries = vector_rows(vectors.where(is_query), id_col, vector_col)
+    index = build(rows, k, sample, pilots)
+    found = cut(index.search(queries, index.coder.radii, k).drop("rank"), "near")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k)
+    short = cut(queries.join(full, F.col("id") == F.col("query_id"), "left_anti"), "short-queries")
     if not short.isEmpty():
-        found = found.unionByName(_search(over_all(short), blocks, coder, 64 * WORDS, False, k).drop("rank"))
-    return _top(found.distinct(), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        everything = [SUBSTRING_BITS] + [-1] * (CODE_BITS // SUBSTRING_BITS - 1)
+        found = found.unionByName(index.search(short, everything, k).drop("rank")).distinct()
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
