@@ -72,21 +72,38 @@ def forgetful(messages):
     return chat.tagged([m for m in messages if m[0] != "system" or len(messages) <= 3])
 
 
+def replay(steps):
+    """The output that (start, piece, rewrote) steps leave."""
+    out = ""
+    for start, piece, rewrote in steps:
+        assert rewrote or start == len(out)
+        out = out[:start] + piece
+    return out
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a>b\\", ""]), st.text("\\<>/turn:ab\n ", max_size=20)), max_size=12), st.integers(2, 5))
 def test_chat_round_trip(messages, window):
     renderer = chat.Renderer(chat.tagged, window)
-    pieces = [renderer.add(m) for m in messages]
-    assert "".join(p for p, _ in pieces) == chat.tagged(messages) and not any(r for _, r in pieces)
-    assert [chat.read_tagged(p)[:2] for p, _ in pieces] == messages
+    steps = [renderer.add(m) for m in messages]
+    out = replay(steps)
+    assert out == chat.tagged(messages) and not any(r for _, _, r in steps)
+    assert [(role, chat.unescape(out[a:b])) for role, a, b in chat.read_tagged(out)] == messages
     with_bos = chat.Renderer(bos, window)
-    assert "".join(with_bos.add(m)[0] for m in messages) == (bos(messages) if messages else "")
+    assert replay(with_bos.add(m) for m in messages) == (bos(messages) if messages else "")
+
+
+def test_common_prefix():
+    for a, b in [("", "x"), ("abc", "abd"), ("abc", "abc"), ("xyz", "abc"), ("ab", "abcd"), ("é" * 999 + "a", "é" * 999 + "b")]:
+        n = chat.common_prefix(a, b)
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
 
 
 def test_chat_finds_rewriting():
     renderer = chat.Renderer(forgetful)
     turns = [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
-    assert [renderer.add(m)[1] for m in turns] == [False, False, False, True, False]
+    steps = [renderer.add(m) for m in turns]
+    assert [r for _, _, r in steps] == [False, False, False, True, False] and replay(steps) == forgetful(turns)
 
 
 def late(messages):
@@ -110,11 +127,11 @@ def test_chat_long_prefixes_are_true():
     for render, rewrites in ((late, [300]), (recent, [*range(300, 620)]), (named, [])):
         renderer, last = chat.Renderer(render), ""
         got = [renderer.add(m) for m in turns]
-        for i, (piece, rewrote) in enumerate(got):
+        for i, (start, piece, rewrote) in enumerate(got):
             out = render(turns[: i + 1])
-            assert rewrote == (not out.startswith(last)) and piece == (out if rewrote else out[len(last) :])
+            assert rewrote == (not out.startswith(last)) and last[:start] + piece == out
             last = out
-        assert [i for i, (_, rewrote) in enumerate(got) if rewrote] == rewrites
+        assert [i for i, (_, _, rewrote) in enumerate(got) if rewrote] == rewrites
 
 
 def test_chat_turn_local_moves():
@@ -122,6 +139,40 @@ def test_chat_turn_local_moves():
     for i in range(2000):
         renderer.add(("user", str(i)))
     assert len(renderer.held) <= chat.WINDOW + 1
+    assert renderer.add(("user", "x"))[0] == len(chat.tagged([("user", str(i)) for i in range(2000)]))
+
+
+def reset(messages):
+    """Leaves the system turn out once the last turn says RESET."""
+    return chat.tagged(messages[1:] if messages[-1][1] == "RESET" else messages)
+
+
+def test_chat_rewriting_is_read_back(spark):
+    rows, talks = [], {}
+    for conv, n in ((1, 10), (2, 2000)):
+        talks[conv] = [("system", "be <brief>")] + [("assistant" if i % 2 else "user", f"\\t{i}>") for i in range(1, n - 1)] + [("user", "RESET")]
+        rows += [(conv, i, *m) for i, m in enumerate(talks[conv])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(turns, reset)
+    steps = {c: replay((r.start, r.piece, r.rewrote) for r in sorted(out.collect(), key=lambda r: r.nth) if r.conv == c) for c in talks}
+    masks = chat.loss_mask(out.orderBy("piece")).collect()
+    for r in chat.read_back(out.orderBy("piece")).collect():  # whatever the order of the rows
+        want = talks[r.conv][1:]
+        loss = "".join(t for role, t in want if role == "assistant")
+        assert steps[r.conv] == chat.tagged(want) and r.formatted_chars == len(steps[r.conv])
+        assert (r.rewrites, r.n_turns, r.loss_chars) == (1, len(want), len(loss)) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in want).encode()).hexdigest()
+        spans = [m for m in masks if m.conv == r.conv]
+        assert [chat.unescape(steps[r.conv][m.start : m.end]) for m in spans] == [m.text for m in spans] and "".join(m.text for m in spans) == loss
+
+
+def test_chat_mask_of_the_default_template(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", "<" * i + "é😀") for i in range(600)] + [(2, 0, "user", "only")] * 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.tagged([(r, t) for _, _, r, t in rows[:600]])
+    spans = chat.loss_mask(chat.format_conversations(turns), ordered=True).collect()
+    assert [(m.conv, m.text) for m in spans] == [(1, rows[i][3]) for i in range(1, 600, 2)]
+    assert all(chat.unescape(whole[m.start : m.end]) == m.text for m in spans)
 
 
 def test_chat_cases(spark):

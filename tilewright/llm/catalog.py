@@ -59,7 +59,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_conversations(turns)).withColumnRenamed("conv", "conv_id")
+    return chat.read_back(chat.format_conversations(turns), ordered=True).withColumnRenamed("conv", "conv_id")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
