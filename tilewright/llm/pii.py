@@ -6,12 +6,18 @@ score, and kinds that are weak alone (``ssn``) count only with such words.
 
 Defined results: a null text counts as empty and has no spans; a null id is
 kept; repeated rows give repeated results; other columns of the input are not
-returned, so their names cannot clash. Patterns are possessive and anchored to
-the start of a run, so time is linear in the text and the regex stack is flat.
+returned, so their names cannot clash; spans sort by start, then kind, so that
+there are no ties. Texts of any length are read whole: patterns are possessive
+and anchored to the start of a run, so the regex stack is flat, and places come
+from running sums, a fixed number of matches at a time, and context from the
+stretch of the text that holds it, so time is linear in the text and its matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ KINDS = [*BASE, *ADDED]
 #: What a text must hold before a kind's full pattern is tried.
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
 CONTEXT_CHARS, CONTEXT_GAIN, LEAST_SCORE = 40, 0.1, 0.4
+#: Numbers summed at a time, levels of such sums, and characters of a stretch of text.
+SUMMED, LEVELS, STRETCH = 64, 2, 512
 
 
 def _digits(s: Column) -> Column:
@@ -69,30 +77,73 @@ def _confirmed(kind: str, m: Column) -> Column:
     return m
 
 
-def _spans(text: Column, kind: str, pattern: str, score: float, words: str) -> Column:
-    """Spans of one kind: what lies between matches gives their places, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern), 1, F.size(found)).alias("gap"))
-    none = F.expr("array()").cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def sums_before(numbers: Column, levels: int = LEVELS) -> Column:
+    """For each number the sum of all before it: SUMMED at a time, on top of the sums of such groups."""
+    zero = F.lit(0).cast("long")
+    total = lambda g: F.aggregate(g, zero, lambda a, x: a + x)
+    within = lambda g: F.transform(g, lambda _, i: total(F.slice(g, 1, i)))
+    if not levels:
+        return _let(numbers, within)
+    groups = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SUMMED).cast("int")), lambda k: F.slice(a, k * SUMMED + 1, SUMMED))
+    based = lambda gs: F.zip_with(gs, sums_before(F.transform(gs, total), levels - 1), lambda g, base: F.transform(within(g), lambda v: v + base))
+    return _let(numbers, lambda a: F.when(F.size(a) > SUMMED, F.flatten(_let(groups(a), based))).otherwise(within(a)))
+
+
+def _proposals(text: Column, pattern: str) -> Column:
+    """Matches of a pattern, each with what lies between it and the one before."""
+    pairs = lambda found: F.zip_with(found, F.slice(F.split(text, pattern), 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pairs)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        good = _confirmed(kind, x["m"])
-        near = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-        sure = F.lit(score) + F.when(near.rlike(f"(?i)(?:{words})"), CONTEXT_GAIN).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(good)).alias("end"), F.lit(kind).alias("kind"), F.round(sure, 2).alias("score"))
-        keep = good.isNotNull() if kind in BASE else good.isNotNull() & (sure >= LEAST_SCORE)
-        return F.struct((start + F.length(x["m"])).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def _placed(found: Column) -> Column:
+    """(rank, start, m) of a kind's proposals, in code points."""
+    lengths = F.transform(found["pairs"], lambda p: (F.length(p["gap"]) + F.length(p["m"])).cast("long"))
+    place = lambda p, before: F.struct(found["rank"].alias("rank"), (before + F.length(p["gap"])).cast("int").alias("start"), p["m"].alias("m"))
+    return F.zip_with(found["pairs"], sums_before(lengths), place)
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(HINTS[kind]), walked).otherwise(none)
+
+def _before(stretches: Column, start: Column) -> Column:
+    """The CONTEXT_CHARS characters before a place, from the stretch that holds it and the one before."""
+    at = F.floor(start / STRETCH).cast("int")
+    two = F.concat(F.when(at > 0, F.get(stretches, at - 1)).otherwise(""), F.substring(F.coalesce(F.get(stretches, at), F.lit("")), F.lit(1), start % STRETCH))
+    return F.right(two, F.lit(CONTEXT_CHARS))
+
+
+def _by_kind(rank: Column, said: Callable[[str], Column]) -> Column:
+    """What is said of the kind with this rank."""
+    return reduce(lambda a, k: a.when(rank == KINDS.index(k), said(k)), KINDS[1:], F.when(rank == 0, said(KINDS[0])))
+
+
+def _span(x: Column, stretches: Column) -> Column:
+    """The confirmed span of a placed proposal, else null."""
+    kinds, rank = BASE | ADDED, x["rank"]
+    good = _by_kind(rank, lambda k: _confirmed(k, x["m"]))
+    near = _by_kind(rank, lambda k: _before(stretches, x["start"]).rlike(f"(?i)(?:{kinds[k][2]})"))
+    score = F.round(F.element_at(F.array(*(F.lit(kinds[k][1]) for k in KINDS)), rank + 1) + F.when(near, CONTEXT_GAIN).otherwise(0.0), 2)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), rank + 1)
+    said = lambda end: F.struct(x["start"].alias("start"), rank.alias("rank"), end.alias("end"), kind.alias("kind"), score.alias("score"))
+    return _let(x["start"] + F.length(good), lambda end: F.when(end.isNotNull(), said(end)))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and ``spans``, sorted structs (start, rank, end, kind, score)."""
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    each = [_spans(F.col("text"), k, *v).alias(k) for k, v in (BASE | ADDED).items()]
-    return rows.select(id_col, *each).select(id_col, F.array_sort(F.concat(*KINDS)).alias("spans"))
+    text, kinds = F.col("text"), BASE | ADDED
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("*", *(text.rlike(hint).alias(f"has_{kind}") for kind, hint in HINTS.items()))
+    some = reduce(lambda a, b: a | b, (F.col(f"has_{kind}") for kind in KINDS))
+    found = lambda k: F.when(F.col(f"has_{k}"), F.struct(F.lit(KINDS.index(k)).alias("rank"), _proposals(text, kinds[k][0]).alias("pairs")))
+    rows = rows.select(
+        "id", F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))).alias("stretches"),
+        F.when(some, F.flatten(F.transform(F.filter(F.array(*map(found, KINDS)), lambda f: f.isNotNull()), _placed))).alias("placed"),
+    )
+    spans = F.filter(F.transform("placed", lambda x: _span(x, F.col("stretches"))), lambda s: s.isNotNull() & ((s["rank"] < len(BASE)) | (s["score"] >= LEAST_SCORE)))
+    none = F.expr("array()").cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
+    return rows.select(F.col("id").alias(id_col), F.coalesce(F.array_sort(spans), none).alias("spans"))
 
 
 def pii_digest(spans: Column) -> list[Column]:
