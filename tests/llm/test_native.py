@@ -2,8 +2,13 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from tilewright.llm import catalog, mixing, pii
 from tilewright.plans import table
 
@@ -56,6 +61,37 @@ def test_pii_whole_table(spark, sf_dir):
     check_pii(rows, texts)
 
 
+def test_sums_before(spark):
+    for n in (0, 1, 31, 32, 33, 1025, 40_000):
+        numbers = F.transform(F.slice(F.sequence(F.lit(1), F.lit(n + 1)), 1, n), lambda x: (x * x).cast("long"))
+        got = spark.range(1).select(pii.sums_before(numbers).alias("s")).first().s
+        assert got == [0, *np.cumsum(np.arange(1, n + 1, dtype=np.int64) ** 2).tolist()][:n]
+
+
+def test_pii_context_and_long_texts(spark):
+    said = lambda n: " ".join(f"é mail x{i}@b.com," if i % 2 else f"😀 host 10.0.0.{i % 256} 4111 1111 1111 1111 or" for i in range(n))
+    seconds = {}
+    for n in (10_000, 40_000):
+        docs = spark.createDataFrame([(None, said(n))], "doc_id long, text string")
+        found = pii.find_pii(docs)
+        pii.find_pii(docs.limit(0)).collect()
+        began = time.perf_counter()
+        r = found.select("spans", *pii.pii_digest(found["spans"])[:-2]).first()
+        seconds[n] = time.perf_counter() - began
+        text = said(n)
+        assert [(s.start, s.rank, s.end, s.kind) for s in r.spans] == base_spans(text)
+        for s in r.spans:
+            base, words = pii.BASE[s.kind][1:]
+            near = re.search(f"(?i)(?:{words})", text[max(0, s.start - pii.CONTEXT_CHARS) : s.start])
+            assert abs(s.score - base - pii.CONTEXT_GAIN * bool(near)) < 1e-9
+    assert seconds[40_000] < 8 * seconds[10_000] + 2  # in proportion, not with the square
+
+
+def test_pii_repeated_rows(spark):
+    docs = spark.createDataFrame([(3, "a@b.c")] * 4 + [(None, None)] * 2, "doc_id long, text string")
+    assert sorted(len(r.spans) for r in pii.find_pii(docs).collect()) == [0, 0, 1, 1, 1, 1]
+
+
 def test_pii_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -74,6 +110,25 @@ def test_apportion_is_sainte_lague(spark):
         assert got == sainte_lague(votes, seats)
 
 
+def by_quotients(votes, seats):
+    """Sainte-Lague for numbered parties by sorting all quotients that could win a seat."""
+    most = int(seats * votes.max() / votes.sum() + len(votes) * votes.max() / votes.sum()) + 3
+    n = np.arange(most)
+    quotients = votes[:, None] / (2 * n + 1)
+    order = np.lexsort((np.tile(n, len(votes)), np.repeat(np.arange(len(votes)), most), -quotients.ravel()))[:seats]
+    return np.bincount(order // most, minlength=len(votes))
+
+
+def test_apportion_narrows_many_parties(spark):
+    rng = np.random.default_rng(7)
+    for votes, seats, ranked in [(rng.integers(190_000, 210_000, 100_000), 1_250_003, 5000), (np.full(3000, 7), 4001, 50), (np.r_[rng.integers(1, 9, 2000), 10**6, 0, 0], 700, 100), (rng.integers(1, 50, 400), 5000, 10)]:
+        df = spark.createDataFrame(pd.DataFrame({"g": "x", "k": np.arange(len(votes)), "v": votes, "seats": seats}))
+        df = df.unionByName(spark.createDataFrame([(None, 1, 5, 4), (None, 2, 3, 4), ("none", 1, 0, 9)], "g string, k long, v long, seats long"))
+        got = {(r.g, r.k): r.won for r in mixing.apportion(df, ["g"], ["k"], "v", "seats", ranked=ranked).collect()}
+        assert [got["x", k] for k in range(len(votes))] == by_quotients(votes.astype(float), seats).tolist()
+        assert (got[None, 1], got[None, 2], got["none", 1]) == (3, 1, 0) and len(got) == len(votes) + 3
+
+
 def targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -113,6 +168,17 @@ def test_mix_small(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_repeated_and_empty_rows(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "x " * 30_000, "t"), (None, None, "t")] + [(i, None, "void") for i in range(3000)] + [(7, "", None)] * 5
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    sizes = {"s": 6, "t": 30_000, "void": 0, None: 0}
+    want = targets(sizes)
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((d or 0, len((t or "").split())) for d, t, _ in rows)
+    assert all(r.taken <= 3 * r.size and abs(r.target - want[next(s for s in sizes if sizes[s] == r.source_size and (r.source_size or s in ("void", None)))]) < 1e-6 for r in got)
+    assert abs(sum(r.taken for r in got) - sum(want.values())) <= 40
+
+
 def test_mix_whole_table(spark, sf_dir):
     docs = [(r.doc_id, r.text, r.source) for r in table(spark, sf_dir, "documents").collect()]
     rows = catalog.op4_mixing(spark, sf_dir).collect()
