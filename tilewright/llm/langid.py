@@ -11,38 +11,40 @@ Grams count only if a landmark has them, so a text is a row over that fixed
 vocabulary. Characters are folded by a table learned from the training texts:
 each of their letters in lower case is a symbol, everything that is no letter a
 space, letters that training never saw one class; a gram is then a number without
-collisions, searched for in the sorted vocabulary. The vocabulary has no cap: it
-holds 4 bytes per gram and landmark, so it grows with the landmarks' distinct grams.
+collisions, looked up in the vocabulary: in a table where all possible grams are
+few, else by searching its sorted numbers. The vocabulary has no cap: it holds 4
+bytes per gram and landmark, so it grows with the landmarks' distinct grams.
 
 Training reads a bounded sample: at most ``max_train`` labelled rows, spread
-evenly over the languages (at most ``max_train`` of them) and chosen by a hash
-of the id; ``landmarks`` of them are landmarks. Everything else covers all rows
-and whole texts.
+evenly over the languages (at most ``max_train`` of them) and chosen in the
+cluster by a hash of id and text; repeated rows count once, and no more than
+``max_train`` rows reach the driver. ``landmarks`` of them are landmarks.
+Everything else covers all rows and whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; without training rows all texts are; a null id is not held out; repeated
-rows are repeated; an empty table gives an empty result; other columns are not
-read.
+0; without training rows all texts are; of languages with equal scores the first
+by code point is said; a null id is not held out; repeated rows are repeated; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.plans import map_arrow
 
 MAX_TRAIN, LANDMARKS, RIDGE, ROWS = 1600, 96, 1e-2, 64
+TABLED = 1 << 22  # possible grams up to which they are tabled
 SPACE, OTHER = 0, 1
 _LETTER = regex.compile(r"\p{L}")
 
@@ -74,8 +76,20 @@ class Model:
         three = two[:-1] * n + s[2:]
         return [s, two + n, three + n + n**2]
 
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        """The column of each possible gram, where these are few."""
+        size = sum(self.symbols**n for n in (1, 2, 3))
+        if size > TABLED:
+            return None
+        made = np.full(size, len(self.vocabulary), np.int32)
+        made[self.vocabulary] = np.arange(len(self.vocabulary))
+        return made
+
     def columns(self, grams: np.ndarray) -> np.ndarray:
         """Columns of grams; one past the last for those that no landmark has."""
+        if self.table is not None:
+            return self.table[grams]
         at = np.searchsorted(self.vocabulary, grams)
         return np.where(self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == grams, at, len(self.vocabulary))
 
@@ -142,25 +156,20 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 
 
 def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``max_train`` labelled rows, the same number of each language, lowest hashes first."""
+    """At most ``max_train`` labelled rows with a letter, the same number of each language, lowest hashes first."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     # Languages are few; more than max_train of them could not be learned from this sample anyway.
     counts = dict(rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_train).collect())
     if not counts:
         return []
     each = max(1, max_train // len(counts))
-    # A hash below the rate leaves about twice what is needed, at most 2 * max_train rows in all.
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
+    # A hash below the rate leaves about twice what is needed; the ranks and the limit bind what is collected.
+    place = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
     rate = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * each / n)))), F.col(lang_col))
-    some = rows.withColumn("_at", place).where(F.col("_at") < F.coalesce(rate, F.lit(0.0)))
-    got = sorted(some.select("_at", F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect())
-    kept: list[tuple[str, str]] = []
-    taken: Counter = Counter()
-    for _, t, lang in got:
-        if taken[lang] < each and has_letter(t):
-            taken[lang] += 1
-            kept.append((t, lang))
-    return kept
+    some = rows.select(place.alias("at"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), rate.alias("rate")).where("at < coalesce(rate, 0.0)")
+    order = Window.partitionBy("l").orderBy("at", "t")
+    least = some.where(F.col("t").rlike(r"\p{L}")).drop("rate").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
+    return [(r.t, r.l) for r in least.orderBy("at", "t", "l").limit(max_train).collect() if has_letter(r.t)]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast, text_col: str, carried: bool) -> Iterator[pa.RecordBatch]:
