@@ -62,6 +62,17 @@ def test_set_join_is_exact(ws, passages, threshold, counts):
     assert got == brute_blocks(" ".join(ws), templates, 5)
 
 
+def test_license_long_template(spark):
+    text = " ".join(f"w{i % 150}x{i}" for i in range(400))
+    templates = [licenses.Template("whole", text, 0.9), licenses.Template("start", "w0x0 w1x1 w2x2", phrase=True)]
+    docs = [(1, "a b " * 77 + text + " c d" * 50), (1, "a b " * 77 + text + " c d" * 50), (2, text[: len(text) * 3 // 4]), (None, None)]
+    got = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()
+    assert sorted((r.doc_id or 0, sorted({m.label for m in r.matches})) for r in got) == [(0, []), (1, ["start", "whole"]), (1, ["start", "whole"]), (2, ["start"])]
+    for r in got:
+        text = next(t for d, t in docs if d == r.doc_id)
+        assert {(m.template, m.block, m.containment) for m in r.matches if not m.phrase} == brute_blocks(text, templates, 399)
+
+
 def test_license_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     rows = catalog.op1_licenses(spark, sf_dir).collect()
@@ -217,6 +228,65 @@ def test_language_cases(spark, sf_dir):
     assert len(langid.training_sample(docs, max_train=40)) <= 40
 
 
+def test_language_sample_is_bounded(spark):
+    same = spark.createDataFrame([(27, f"the text number {i}", "en") for i in range(4000)] + [(27, "one row", "en")] * 2000 + [(None, f"le texte {i}", "fr") for i in range(1000)], "doc_id long, text string, lang string")
+    got = langid.training_sample(same, max_train=100)
+    assert len(got) <= 100 and len({*got}) == len(got) and {lang for _, lang in got} == {"en", "fr"}
+
+
+def test_language_of_many_scripts(spark):
+    rng = np.random.default_rng(11)
+    starts = {"ru": 0x430, "el": 0x3B1, "zh": 0x4E00, "en": 0x61}
+    sizes = {"ru": 32, "el": 24, "zh": 600, "en": 26}
+    word = lambda lang: "".join(chr(starts[lang] + int(i)) for i in rng.integers(sizes[lang], size=4))
+    rows = [(i, " ".join(word(lang) for _ in range(12)), lang) for i, lang in enumerate(list(starts) * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(langid.training_sample(docs, max_train=200))).collect()}
+    assert np.mean([said[i] == lang for i, _, lang in rows]) > 0.95
+
+
+def test_tabled_grams_equal_searched(monkeypatch):
+    texts = [("the quick brown fox", "en"), ("der schnelle Fuchs", "de")]
+    tabled = langid.fit(texts).presence(["a new fox läuft"])
+    monkeypatch.setattr(langid, "TABLED", 0)
+    assert (langid.fit(texts).presence(["a new fox läuft"]) == tabled).all()
+
+
+def test_language_equals_plain_kernels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sample = langid.training_sample(docs)
+    letters = {c.lower() for t, _ in sample for c in t if c.isalpha()}
+
+    def grams(t):
+        folded = re.sub(" +", " ", "".join((c.lower() if c.lower() in letters else "?") if c.isalpha() else " " for c in t))
+        return {folded[i : i + n] for n in (1, 2, 3) for i in range(len(folded) - n + 1)}
+
+    langs = sorted({lang for _, lang in sample})
+    turns = [[t for t, x in sample if x == lang] for lang in langs]
+    chosen = [own[i] for i in range(len(sample)) for own in turns if i < len(own)][: langid.LANDMARKS]
+    marks = [grams(t) for t in chosen]
+    vocabulary = set().union(*marks)
+
+    def kernel(t):
+        own = grams(t) & vocabulary
+        return [len(own & m) / math.sqrt(max(1, len(own)) * len(m)) for m in marks]
+
+    values, vectors = np.linalg.eigh(np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks]))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = np.array([kernel(t) for t, _ in sample]) @ root
+    y = np.array([[lang == v for v in langs] for _, lang in sample], float)
+    # The same ridge by its dual: weights are centred features times the solved residuals.
+    xc, yc = x - x.mean(axis=0), y - y.mean(axis=0)
+    dual = np.linalg.solve(xc @ xc.T + langid.RIDGE * len(sample) * 0.01 * np.eye(len(x)), yc)
+    truth = {r.doc_id: r.text for r in docs.collect()}
+    rows = [r for r in catalog.op6_language_id(spark, sf_dir).collect() if langid.has_letter(truth[r.doc_id])]
+    want = (np.array([kernel(truth[r.doc_id]) for r in rows]) @ root - x.mean(axis=0)) @ xc.T @ dual + y.mean(axis=0)
+    assert np.abs(np.clip(want.max(axis=1), 0, 1) - [r.score for r in rows]).max() < 0.01
+    sure = np.sort(want, axis=1)[:, -1] - np.sort(want, axis=1)[:, -2] > 0.02
+    assert all(langs[w.argmax()] == r.lang_pred for w, r, s in zip(want, rows, sure, strict=True) if s)
+
+
 # Nearest neighbours
 
 

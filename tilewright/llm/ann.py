@@ -24,8 +24,8 @@ Buckets lie in shelves, by the upper bits of their value: a query is sent to the
 shelves that a bucket within its radius can lie on, and looks there into the
 directory of buckets. Shelves are cut where they stand into packs of bounded
 size, so that a bucket with a third of all rows is many packs over many tasks,
-and each pair of packs returns its best rows only, never all pairs. Repeated
-rows are folded within a pack before its best are chosen, and between packs after.
+and a task returns the best rows of each query only, never all pairs. Repeated
+rows are folded before the best are chosen.
 
 Defined results: vectors that are null, zero, of another length than most of the
 sample, or hold null or non-finite components take no part, as query or
@@ -54,7 +54,7 @@ from tilewright.plans import cut, map_arrow
 
 SAMPLE, PILOTS, LEARNED = 3000, 100, 0.97
 CODE_BITS, SUBSTRING_BITS = 256, 32
-PACK_ROWS, PACK_QUERIES, PAIRS, SHELF_ROWS, MOST_SHELF_BITS, SPREAD = 2048, 128, 32_768, 65_536, 20, 8
+PACK_ROWS, PACK_QUERIES, PAIRS, SHELF_ROWS, MOST_SHELF_BITS, SPREAD, FOLDED = 4096, 128, 32_768, 65_536, 20, 8, 200_000
 
 
 @dataclass
@@ -193,17 +193,35 @@ def _scores(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nd
     return out
 
 
+def _folded(q: np.ndarray, v: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, nearest first; equal rows count once."""
+    order = np.lexsort((v, -score, q))
+    q, v, score = q[order], v[order], score[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (score[1:] != score[:-1])
+    q, v, score = q[new], v[new], score[new]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], v[keep], score[keep]
+
+
 def _best(batches: Iterator[pa.RecordBatch], kind: str, dim: int, radii: list[int], k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest of each query among the rows in its buckets, for each pair of a pack of queries and a pack of rows."""
+    """The k nearest of each query among the rows in its buckets, over the pairs of a pack of queries and a pack of rows.
+
+    What pairs of packs yield is folded as it comes, so a task returns about k
+    rows a query, not k rows a pair; beyond FOLDED rows it returns what it has.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    fold = lambda: _folded(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+    out = lambda cols: pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
     for batch in batches:
         cols = {n: batch.column(n) for n in batch.schema.names}
-        queries, found, scores = [], [], []
         for r in range(batch.num_rows):
             read = lambda n, t: np.frombuffer(cols[n][r].as_buffer(), t)  # noqa: B023, E731
             qid, vid, values = read("q_ids", "<i8"), read("ids", "<i8"), read("codes", "<u4")
             # A pack is sorted by value: its directory of buckets is where values change.
             edges = np.flatnonzero(np.diff(values, prepend=values[0] ^ np.uint32(1)))
-            hit = distance(read("q_codes", "<u4"), values[edges]) <= radii[(cols["key"][r].as_py() // SPREAD) >> MOST_SHELF_BITS]
+            hit = distance(read("q_codes", "<u4"), values[edges]) <= radii[cols["key"][r].as_py() // SPREAD >> MOST_SHELF_BITS]
             if len(edges) < len(values):
                 hit = np.repeat(hit, np.diff(edges, append=len(values)), axis=1)
             a, b = np.nonzero(hit)
@@ -212,19 +230,16 @@ def _best(batches: Iterator[pa.RecordBatch], kind: str, dim: int, radii: list[in
             if not len(a):
                 continue
             q, v = (read(n, kind).reshape(-1, dim).astype(np.float64) for n in ("q_vectors", "vectors"))
-            score = _scores(q, v, a, b)
-            order = np.lexsort((vid[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
-            # Rows of one id that score alike count once.
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (vid[b[1:]] != vid[b[:-1]]) | (score[1:] != score[:-1])
-            a, b, score = a[new], b[new], score[new]
-            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-            queries.append(qid[a[keep]])
-            found.append(vid[b[keep]])
-            scores.append(score[keep])
-        if queries:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (queries, found, scores)], names=["query_id", "vec_id", "score"])
+            held.append(_folded(qid[a], vid[b], _scores(q, v, a, b), k))
+            size += len(held[-1][0])
+            if size > FOLDED:
+                held = [fold()]
+                size = len(held[0][0])
+                if size > FOLDED // 2:
+                    yield out(held[0])
+                    held, size = [], 0
+    if held:
+        yield out(fold())
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
