@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import struct
 import zipfile
 
@@ -85,6 +86,28 @@ def test_b3dm(spark):
     assert gltf.glb_images(inner).count() == 3
 
 
+def test_broken_files_are_rows(spark):
+    """A file cut off anywhere, or of another kind, is a row with an error; good files beside it are read."""
+    glb, png, zipped, tile = make_glb(), write_png(np.zeros((2, 2, 4))), io.BytesIO(), make_tile()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a", "b" * 50)
+    readers = {
+        "glb": (glb, [gltf.read_glb, gltf.glb_images, gltf.glb_properties, gltf.glb_feature_ids]), "png": (png, [read_depth]), "zip": (zipped.getvalue(), [archives.zip_listing, archives.zip_members]),
+        "mvt": (tile, [mvt.read_mvt]), "subtree": (make_subtree({"bufferViews": [], "tileAvailability": {"constant": 1}}), [tilesets.read_subtrees]), "gml": (CITY.encode(), [xml_nodes.read_nodes]),
+    }
+    for good, decoders in readers.values():
+        cuts = {f"{n}": good[:n] for n in (0, 3, 9, 13, 21, len(good) // 2, len(good) - 7)} | {"good": good, "noise": bytes(range(256)) * 3}
+        files = contents(spark, cuts)
+        for decoder in decoders:
+            rows = decoder(files).collect()
+            name = "archive" if "archive" in rows[0].asDict() else "path"
+            assert any(r[name] == "good" and r.error is None for r in rows), decoder
+            assert all(r.error for r in rows if r[name] in ("9", "noise")) and {r[name] for r in rows if r.error} >= {"3", "9", "noise"}, decoder
+    bare = containers.build_glb(json.dumps({"meshes": [{"primitives": [{"attributes": {}}, {}]}]}), None)
+    assert gltf.glb_feature_ids(contents(spark, {"x": bare})).count() == 0
+    assert mvt.read_mvt(contents(spark, {"x": b""})).count() == 0
+
+
 # Tilesets
 
 
@@ -305,6 +328,10 @@ def test_zip(spark, tmp_path):
     read = lambda at, n: data[at : at + n]
     entries = {e[0]: e for e in archives.central_directory(read, len(data))}
     assert archives.range_member(read, entries["a/x.txt"]) == b"hello " * 100 and archives.range_member(read, entries["b/y.bin"]) == b"stored"
+    (tmp_path / "r.zip").write_bytes(data)
+    named = spark.createDataFrame([(f"file://{tmp_path}/r.zip",), (f"file://{tmp_path}/none.zip",)], "archive string")
+    remote = {(r.path, r.size, r.content and bytes(r.content), bool(r.error)) for r in archives.remote_members(named, r"\.bin$", archives.file_ranges).collect()}
+    assert remote == {("a/x.txt", 600, None, False), ("b/y.bin", 6, b"stored", False), (None, None, None, True)}
     packed = containers.zip_archives(archives.zip_members(files)).first()
     with zipfile.ZipFile(io.BytesIO(bytes(packed.content))) as z:
         assert sorted(z.namelist()) == ["a/x.txt", "b/y.bin"]
@@ -329,6 +356,44 @@ def test_logs(spark, tmp_path):
     assert reports.stack_lines(stacks).first()[0] == "outer;inner 5"
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    said = [("x" * (i % 90)) if i % 7 else "" for i in range(5000)]
+    (tmp_path / "a.txt").write_bytes("\r\n".join(said).encode() + b"\r\n")
+    (tmp_path / "b.txt").write_text("\n".join(said[:100]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = text_logs.numbered_lines(spark, str(tmp_path), "*.txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a.txt", 5000), ("b.txt", 100)):
+        assert [(r.line_no, r.value) for r in sorted(rows, key=lambda r: r.line_no) if r.path.endswith(name)] == [*enumerate(said[:n])]
+
+
+def test_one_feature_is_found_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{i % 3}", i, f'{{"n":{i}.50}}') for i in range(300)], "port string, line_no long, feature string")
+    text_logs.write_features(rows, str(tmp_path / "s"), lines=50)
+    found = text_logs.feature_at(spark, str(tmp_path / "s"), "p1", 100, lines=50)
+    assert [tuple(r) for r in found.collect()] == [("p1", 100, '{"n":100.50}')] and len(found.inputFiles()) > 0
+    assert text_logs.feature_at(spark, str(tmp_path / "s"), "p1", 101, lines=50).count() == 0
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "c.toml").write_text('name = "x"\n[filter.tree]\n"a/" = ["b"]\n')
+    assert text_logs.toml_config(spark, str(tmp_path / "c.toml")) == {"name": "x", "filter": {"tree": {"a/": ["b"]}}}
+
+
+def test_boxes_meet_over_cells(spark):
+    rng = np.random.default_rng(1)
+    at, size = rng.uniform(-50, 50, (400, 2)), rng.uniform(0, 30, (400, 2))
+    extents = [(i, [*p, *(p + s)]) for i, (p, s) in enumerate(zip(at, size, strict=True))]
+    boxes = [(j, [*p, *(p + s)]) for j, (p, s) in enumerate(zip(rng.uniform(-60, 60, (25, 2)), rng.uniform(0, 12, (25, 2)), strict=True))] + [(25, [0.0, 0.0, 0.0, 0.0])]
+    rows = spark.createDataFrame([(i, [float(x) for x in e], i % 5 > 0) for i, e in extents], "id long, extent array<double>, visible boolean")
+    got = sorted((r.id, r.sel) for r in vector_tiles.select_box(rows, spark.createDataFrame([(j, [float(x) for x in b]) for j, b in boxes], "sel long, box array<double>")).collect())
+    assert got == sorted((i, j) for i, e in extents for j, b in boxes if i % 5 and e[0] <= b[2] and e[2] >= b[0] and e[1] <= b[3] and e[3] >= b[1])
+    assert vector_tiles.select_box(rows, spark.createDataFrame([], "sel long, box array<double>")).count() == 0
+
+
 def test_feature_store(spark, tmp_path):
     store = tmp_path / "store"
     store.mkdir()
@@ -382,9 +447,16 @@ def test_packing(spark):
 
 
 def test_reports(spark):
-    ring = "array(array(0D,0D), array(10D,0D), array(10D,5D), array(0D,0D))"
-    svg = spark.range(1).select(reports.polygon_svg(F.expr(f"array({ring})"))).first()[0]
-    assert svg.startswith('<path d="M50.0,550.0 L750.0,550.0') and "lightblue" in svg
+    shapes = [("Polygon", "[[[0,0],[10,0],[10,5],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]"), ("Point", "[3,4]"), ("Point", "[]"), ("Unknown", "[]"), (None, None)]
+    drawn = [r[0] for r in spark.createDataFrame(shapes, "g string, c string").select(reports.geometry_svg(F.col("g"), F.col("c"))).collect()]
+    assert 'd="M50.0,550.0 L750.0,550.0' in drawn[0] and drawn[0].count("<path") == 2 and reports.STYLES["hole"] in drawn[0]
+    assert 'cx="50.0" cy="550.0"' in drawn[1] and drawn[2:] == ["", "", ""]
+    pages = reports.html_pages("t<", spark.range(25), ["id"], rows=4).orderBy("path").collect()
+    assert sum(r.rows for r in pages) == 25 and max(r.rows for r in pages) == 4 and b"t&lt;" in bytes(pages[0].content)
+    said = [int(x) for r in pages for x in re.findall(rb"<td>(\d+)</td>", bytes(r.content))]
+    assert said == [*range(25)]
+    toml = spark.createDataFrame([("c", "m", 1.0)], "codec string, metric string, mean double").withColumns({"n": F.lit(1), "std": F.lit(0.0), "min": F.lit(1.0), "max": F.lit(1.0)})
+    assert json.loads(reports.bench_json(toml).first()["value"]) == {"codec": "c", "metrics": {"m": {"n": 1, "mean": 1.0, "std": 0.0, "min": 1.0, "max": 1.0}}}
     page = reports.html_report("t<", {"x": spark.range(2)}, {"k": "</script>"})
     assert "t&lt;" in page and "</script>" in page and "<\\/script>" in page
     assert reports.fill_template("a {{X}}", {"X": [1]}) == "a [1]"

@@ -1,5 +1,7 @@
 """Streaming operators run to completion over small files."""
 
+import time
+
 from tilewright.streaming import samples
 
 
@@ -22,6 +24,23 @@ def test_idle(spark, tmp_path):
     assert sorted(tuple(r) for r in run(samples.detect_loaded(frames), "idle")) == [("a", 0, 34.0, "loaded"), ("c", 0, 900_001.0, "timeout")]
 
 
+def test_idle_times_out_without_frames(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "codec string, rep int, t double, pending int, processing int"
+    spark.createDataFrame([("a", 0, 10.0, 1, 0)], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    frames = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    q = samples.detect_loaded(frames, timeout_ms=1500.0, live=True).writeStream.format("memory").queryName("stops").outputMode("append").trigger(processingTime="1 second").start()
+    found = []
+    for _ in range(60):
+        time.sleep(1)
+        found = [tuple(r) for r in spark.table("stops").collect()]
+        if found or not q.isActive:
+            break
+    assert q.exception() is None
+    q.stop()
+    assert found == [("a", 0, 1500.0, "timeout")]
+
+
 def test_timers(spark, tmp_path):
     spark.sql("SELECT query, t, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,query) AS at FROM VALUES (1, 10.4D), (2, 20.6D) AS v(query, t)").write.parquet(str(tmp_path / "s"))
     spark.sql("SELECT query, ns, query = 2 AS disjoint, TIMESTAMP '2024-01-01 00:01:00' AS at FROM VALUES (1, 1500000L), (2, 3L) AS v(query, ns)").write.parquet(str(tmp_path / "e"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The picture's size, and how far a camera without a picked point looks.
 SVG_WIDTH, SVG_HEIGHT, SVG_PADDING = 800, 600, 50
 FALLBACK_DISTANCE = 500.0
 
@@ -24,23 +25,29 @@ def extents_overlap(a: Column, b: Column) -> Column:
 
 
 def ring_extent(points: Column) -> Column:
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    xs, ys = F.transform(points, lambda p: F.get(p, F.lit(0))), F.transform(points, lambda p: F.get(p, F.lit(1)))
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
 def svg_scale(extent: Column) -> Column:
-    """The scale that fits an extent into the padded picture."""
-    return F.least((SVG_WIDTH - 2 * SVG_PADDING) / (extent[2] - extent[0]), (SVG_HEIGHT - 2 * SVG_PADDING) / (extent[3] - extent[1]))
+    """The scale that fits an extent into the padded picture; 1 for an extent without width and height."""
+    fit = lambda room, size: F.when(size > 0, (room - 2 * SVG_PADDING) / size)
+    return F.coalesce(F.least(fit(SVG_WIDTH, extent[2] - extent[0]), fit(SVG_HEIGHT, extent[3] - extent[1])), F.lit(1.0))
 
 
-def svg_path(points: Column, extent: Column) -> Column:
-    """Closed SVG path of a ring, y turned downwards."""
+def svg_place(point: Column, extent: Column) -> Column:
+    """A point's place (x, y) in the picture, y turned downwards."""
     scale = svg_scale(extent)
+    x, y = F.get(point, F.lit(0)), F.get(point, F.lit(1))
+    return F.struct(((x - extent[0]) * scale + SVG_PADDING).alias("x"), (SVG_HEIGHT - ((y - extent[1]) * scale + SVG_PADDING)).alias("y"))
+
+
+def svg_path(points: Column, extent: Column) -> Column:
+    """Closed SVG path of a ring."""
 
     def place(p: Column, i: Column) -> Column:
-        x = (p[0] - extent[0]) * scale + SVG_PADDING
-        y = SVG_HEIGHT - ((p[1] - extent[1]) * scale + SVG_PADDING)
-        return F.concat(F.when(i == 0, "M").otherwise("L"), x.cast("string"), F.lit(","), y.cast("string"))
+        at = svg_place(p, extent)
+        return F.concat(F.when(i == 0, "M").otherwise("L"), at["x"].cast("string"), F.lit(","), at["y"].cast("string"))
 
     return F.concat(F.array_join(F.transform(points, place), " "), F.lit(" Z"))
 
@@ -68,6 +75,7 @@ def camera_toml(name: Column, position: Column, direction: Column, up: Column, f
     distance = F.when(picked.isNull(), F.lit(FALLBACK_DISTANCE)).otherwise(apart)
     fixed = lambda v, n: F.format_string(f"%.{n}f", v)
     vector = lambda v: F.concat(F.lit("["), fixed(v[0], 3), F.lit(", "), fixed(v[1], 3), F.lit(", "), fixed(v[2], 3), F.lit("]"))
+    # The table's keys in order, and the decimals of their numbers.
     rows = [("position", vector(position)), ("look_at", vector(target)), ("up", vector(up)), ("fov_y_deg", fixed(F.degrees(fov_y), 2)), ("near", fixed(F.greatest(F.lit(0.1), distance * 0.01), 2)), ("far", fixed(distance * 10, 2))]
     lines = [F.concat(F.lit(f"[{table}."), name, F.lit("]"))] + [F.concat(F.lit(f"{k} = "), v) for k, v in rows]
     return F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n"))

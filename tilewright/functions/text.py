@@ -71,6 +71,11 @@ def mixed_hue(s: Column) -> Column:
     return F.when(s != "", mixed_hash(s) % 360)
 
 
+def style_hue(doc: Column, path: str) -> Column:
+    """Hue by the value at a path of a feature's JSON: no style at all for a blank path, no colour for an empty value."""
+    return mixed_hue(dot_get(doc, path)) if path.strip() else F.lit(None).cast("long")
+
+
 def simple_hash(s: Column) -> Column:
     """31-multiplier string hash as a signed 32-bit number."""
     h = F.aggregate(_codes(s), F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(_U32)))

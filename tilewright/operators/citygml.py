@@ -51,13 +51,13 @@ def texture_targets(nodes: DataFrame) -> DataFrame:
 
 
 def textured_elements(nodes: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Elements with an id that contain a textured polygon: path, gml_id, pre, last, local and their polygons.
+    """Elements with an id that contain a textured polygon: path, gml_id, pre, last, local and how many.
 
     Of elements that share an id the last in document order stands for it.
     """
     own = nodes.where("local = 'Polygon' AND gml_id IS NOT NULL").join(polygons.select(F.col("path").alias("_p"), "polygon"), (F.col("path") == F.col("_p")) & (F.col("gml_id") == F.col("polygon")), "left_semi")
     found = below(nodes.where("gml_id IS NOT NULL"), own)
-    per_id = found.groupBy(F.col("a.path").alias("path"), F.col("a.gml_id").alias("gml_id")).agg(F.array_sort(F.collect_set("d.gml_id")).alias("polygons"))
+    per_id = found.groupBy(F.col("a.path").alias("path"), F.col("a.gml_id").alias("gml_id")).agg(F.countDistinct("d.gml_id").alias("polygons"))
     place = nodes.where("gml_id IS NOT NULL").groupBy("path", "gml_id").agg(F.max(F.struct("pre", "last", "local")).alias("at"))
     return per_id.join(place, ["path", "gml_id"]).select("path", "gml_id", "polygons", "at.pre", "at.last", "at.local")
 
@@ -68,6 +68,19 @@ def outermost_parents(elements: DataFrame) -> DataFrame:
     return found.groupBy(F.col("d.path").alias("path"), F.col("d.gml_id").alias("gml_id")).agg(F.min_by("a.gml_id", "a.pre").alias("parent"))
 
 
+def innermost(elements: DataFrame, parents: DataFrame, strict: bool = False) -> DataFrame:
+    """Elements that are nobody's outermost parent; ``strict`` leaves out all that contain another."""
+    outer = below(elements, elements).select(F.col("a.path").alias("path"), F.col("a.gml_id").alias("parent")) if strict else parents.select("path", "parent")
+    named = outer.distinct().select(F.col("path").alias("_p"), F.col("parent").alias("_id"))
+    return elements.join(named, (F.col("path") == F.col("_p")) & (F.col("gml_id") == F.col("_id")), "left_anti")
+
+
+def with_parents(elements: DataFrame, parents: DataFrame) -> DataFrame:
+    """(path, gml_id, feature_type, parent) of elements, by id; parent ``''`` at the top."""
+    named = elements.join(parents, ["path", "gml_id"], "left")
+    return named.select("path", "gml_id", F.col("local").alias("feature_type"), F.coalesce("parent", F.lit("")).alias("parent")).orderBy("path", "gml_id")
+
+
 def textured_features(nodes: DataFrame, target_from: str = "text", strict: bool = False) -> DataFrame:
     """(path, gml_id, feature_type, parent) of innermost textured elements, by id; parent ``''`` at the top.
 
@@ -76,9 +89,7 @@ def textured_features(nodes: DataFrame, target_from: str = "text", strict: bool
     """
     elements = textured_elements(nodes, textured_ids(nodes, target_from))
     parents = outermost_parents(elements)
-    outer = below(elements, elements).select(F.col("a.path").alias("path"), F.col("a.gml_id").alias("parent")) if strict else parents.select("path", "parent")
-    inner = elements.join(outer.distinct().select(F.col("path").alias("_p"), F.col("parent").alias("_id")), (F.col("path") == F.col("_p")) & (F.col("gml_id") == F.col("_id")), "left_anti")
-    return inner.join(parents, ["path", "gml_id"], "left").select("path", "gml_id", F.col("local").alias("feature_type"), F.coalesce("parent", F.lit("")).alias("parent")).orderBy("path", "gml_id")
+    return with_parents(innermost(elements, parents, strict), parents)
 
 
 def lod_polygons(nodes: DataFrame, widen: bool = False) -> DataFrame:
@@ -90,10 +101,15 @@ def lod_polygons(nodes: DataFrame, widen: bool = False) -> DataFrame:
     return found.select(F.col("a.path").alias("path"), F.col("a.object").alias("object"), F.col("a.lod").alias("lod"), F.col("d.gml_id").alias("polygon")).distinct()
 
 
+def texture_names(mapped: DataFrame, by: list[str]) -> DataFrame:
+    """(by, textures): sorted distinct texture names, comma-joined, empty where a group has none."""
+    return mapped.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("texture")), ", ").alias("textures"))
+
+
 def texture_mapping(nodes: DataFrame, widen: bool = False) -> DataFrame:
-    """(path, object, lod, textures): sorted distinct texture names, comma-joined, empty where a level has none."""
+    """(path, object, lod, textures) of each level of detail."""
     mapped = lod_polygons(nodes, widen).join(texture_targets(nodes), ["path", "polygon"], "left")
-    return mapped.groupBy("path", "object", "lod").agg(F.array_join(F.array_sort(F.collect_set("texture")), ", ").alias("textures")).orderBy("path", "object", "lod")
+    return texture_names(mapped, ["path", "object", "lod"]).orderBy("path", "object", "lod")
 
 
 # Alignment
@@ -151,12 +167,17 @@ def alignment_findings(nodes: DataFrame) -> DataFrame:
     return rows.unionByName(broken)
 
 
-def alignment_summary(nodes: DataFrame) -> DataFrame:
+def alignment_totals(findings: DataFrame, polygons: DataFrame) -> DataFrame:
     """Polygons, textures, errors and warnings per file, and over all files (path null); warnings are a severity that no rule uses."""
-    found = alignment_findings(nodes).select("path", F.lit(0).alias("polygon"), (F.col("finding") != "parse_error").cast("int").alias("texture"), (F.col("finding") != "ok").cast("int").alias("error"))
-    polygons = nodes.where("local LIKE '%Polygon' AND gml_id IS NOT NULL").select("path", "gml_id").distinct().select("path", F.lit(1).alias("polygon"), F.lit(0).alias("texture"), F.lit(0).alias("error"))
+    found = findings.select("path", F.lit(0).alias("polygon"), (F.col("finding") != "parse_error").cast("int").alias("texture"), (F.col("finding") != "ok").cast("int").alias("error"))
+    counted = polygons.select("path", "polygon").distinct().select("path", F.lit(1).alias("polygon"), F.lit(0).alias("texture"), F.lit(0).alias("error"))
     total = lambda c: F.sum(c).cast("long")
-    return found.unionByName(polygons).rollup("path").agg(total("polygon").alias("polygons"), total("texture").alias("textures"), total("error").alias("errors"), F.lit(0).cast("long").alias("warnings"))
+    return found.unionByName(counted).rollup("path").agg(total("polygon").alias("polygons"), total("texture").alias("textures"), total("error").alias("errors"), F.lit(0).cast("long").alias("warnings"))
+
+
+def alignment_summary(nodes: DataFrame) -> DataFrame:
+    """The totals of the alignment findings of documents."""
+    return alignment_totals(alignment_findings(nodes), nodes.where("local LIKE '%Polygon' AND gml_id IS NOT NULL").select("path", F.col("gml_id").alias("polygon")))
 
 
 # Subsets
@@ -168,7 +189,7 @@ def is_subfeature() -> Column:
 
 
 def keep_objects(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Nodes of a document cut down to the wanted ids (one column ``id``).
+    """Nodes of documents cut down to the wanted ids: rows (id), or (path, id) where each document has its own.
 
     A top-level city object that is wanted stays whole. Otherwise it stays if it
     holds a wanted element (the first in document order per id): the paths to
@@ -176,16 +197,17 @@ def keep_objects(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     the path that hold one go, also below a wanted element. Other members of the
     model stay here; ``keep_appearances`` treats those that are appearances.
     """
-    wanted = ids.select(F.col("id").alias("_id")).distinct()
-    members = nodes.where("depth = 1 AND local = 'cityObjectMember'").select(F.col("path").alias("m_path"), F.col("pre").alias("m_pre"), F.col("last").alias("m_last"))
+    by = ["path", "id"] if "path" in ids.columns else ["id"]
+    wanted = ids.select(*by).distinct().withColumnsRenamed({"path": "_path", "id": "_id"})
+    members = nodes.where("depth = 1 AND local = 'cityObjectMember'")
     # Steps that several later ones read are written once, so that the plan does not multiply.
-    inside = cut(nodes.where("depth >= 2").join(members, (F.col("path") == F.col("m_path")) & (F.col("pre") > F.col("m_pre")) & (F.col("pre") <= F.col("m_last"))), "members")
-    hits = inside.join(F.broadcast(wanted), F.col("gml_id") == F.col("_id"))
+    inside = cut(below(members, nodes).select("d.*", F.col("a.pre").alias("m_pre")).drop("_bin"), "members")
+    same = F.col("gml_id") == F.col("_id")
+    hits = inside.join(wanted, same & (F.col("path") == F.col("_path")) if "path" in by else same)
     first = cut(hits.groupBy("path", "m_pre", "gml_id").agg(F.min(F.struct("pre", "last", "depth")).alias("h")).select("path", "m_pre", "h.pre", "h.last", "h.depth"), "wanted")
     whole = first.where("depth = 2").select("path", "m_pre").distinct().withColumn("whole", F.lit(True))
     touched = first.select("path", "m_pre").distinct().join(whole, ["path", "m_pre"], "left")
-    state = inside.drop("m_path", "m_last").join(touched.withColumnsRenamed({"path": "t_path", "m_pre": "t_pre"}), (F.col("path") == F.col("t_path")) & (F.col("m_pre") == F.col("t_pre"))).drop("t_path", "t_pre")
-    state = cut(state, "touched")
+    state = cut(inside.join(touched, ["path", "m_pre"]), "touched")
     partly = state.where("whole IS NULL")
     on_path = below(partly.select("path", "pre", "last", "m_pre"), first.select("path", "pre", "last")).select("a.path", "a.pre").unionByName(first.select("path", "pre")).distinct().withColumn("on_path", F.lit(True))
     subs = partly.where(is_subfeature())
@@ -193,9 +215,9 @@ def keep_objects(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     marked = partly.join(on_path, ["path", "pre"], "left").join(holds, ["path", "pre"], "left")
     cut_roots = cut(marked.where("on_path IS NULL AND holds").select("path", "pre", "last"), "off-path")
     gone = below(cut_roots, partly.select("path", "pre", "last")).select("d.path", "d.pre").unionByName(cut_roots.select("path", "pre")).distinct()
-    stay = partly.join(gone, ["path", "pre"], "left_anti").unionByName(state.where("whole")).select("path", "pre")
+    stay = partly.join(gone, ["path", "pre"], "left_anti").unionByName(state.where("whole").select(*partly.columns)).select("path", "pre")
     kept_members = touched.select("path", F.col("m_pre").alias("pre"))
-    other = nodes.join(members, (F.col("path") == F.col("m_path")) & (F.col("pre") >= F.col("m_pre")) & (F.col("pre") <= F.col("m_last")), "left_anti").select("path", "pre")
+    other = nodes.join(inside.select("path", "pre").unionByName(members.select("path", "pre")), ["path", "pre"], "left_anti").select("path", "pre")
     return cut(nodes.join(stay.unionByName(kept_members).unionByName(other).distinct(), ["path", "pre"], "left_semi"), "subset")
 
 
@@ -230,6 +252,15 @@ def referenced_images(kept: DataFrame) -> DataFrame:
 
 
 def included(members: DataFrame, tree: DataFrame, path_col: str = "path") -> DataFrame:
-    """Members whose path starts with a prefix and goes on with one of its items; tree rows are (prefix, item)."""
-    heads = F.broadcast(tree.select(F.concat("prefix", "item").alias("_head")).distinct())
-    return members.join(heads, F.col(path_col).startswith(F.col("_head")), "left_semi")
+    """Members whose path starts with a prefix and goes on with one of its items; tree rows are (prefix, item).
+
+    A path's beginnings of the lengths that heads have are joined with the heads
+    by equality; there are at most as many lengths as a path has characters.
+    """
+    heads = tree.select(F.concat("prefix", "item").alias("_head")).distinct()
+    lengths = [r[0] for r in heads.select(F.length("_head")).distinct().collect()]
+    if not lengths:
+        return members.limit(0)
+    begins = F.explode(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col("_path"), F.lit(1), n)))
+    found = members.select(F.col(path_col).alias("_path")).distinct().withColumn("_head", begins).join(heads, "_head", "left_semi").select("_path").distinct()
+    return members.join(found, F.col(path_col) == F.col("_path"), "left_semi")

@@ -80,11 +80,25 @@ def search_columns(features: DataFrame, fields: list[str] = SEARCH_FIELDS, col:
     return features.select("*", *(dot_get(F.col(col), f).alias(f.rsplit(".", 1)[-1]) for f in fields))
 
 
-def port_index(features: DataFrame, fields: list[str] = SEARCH_FIELDS) -> DataFrame:
-    """(port, count, features): entries in line order, each its line and search fields; ports without lines are left out."""
+def port_entries(features: DataFrame, fields: list[str] = SEARCH_FIELDS) -> DataFrame:
+    """(port, _idx, search fields): an entry per line of a store; ports without lines have none."""
     names = [f.rsplit(".", 1)[-1] for f in fields]
-    entry = F.struct(F.col("line_no").alias("_idx"), *names)
-    return search_columns(features, fields).groupBy("port").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(entry)).alias("features"))
+    return search_columns(features, fields).select("port", F.col("line_no").alias("_idx"), *names)
+
+
+def port_counts(features: DataFrame) -> DataFrame:
+    """(port, count) of the lines of each store."""
+    return features.groupBy("port").agg(F.count("*").alias("count"))
+
+
+def port_index(features: DataFrame, fields: list[str] = SEARCH_FIELDS) -> DataFrame:
+    """(port, count, features) as a page's script reads it: a port's entries in line order as one value.
+
+    For stores that a page can hold; larger ones stay in the rows of ``port_entries``.
+    """
+    entries = port_entries(features, fields)
+    entry = F.struct(*(c for c in entries.columns if c != "port"))
+    return entries.groupBy("port").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(entry)).alias("features"))
 
 
 def matching(features: DataFrame, filters: list[tuple[str, str]]) -> DataFrame:

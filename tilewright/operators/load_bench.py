@@ -1,4 +1,9 @@
-"""Load benchmarks: network, frame and GPU samples of runs, keyed by codec and repetition."""
+"""Load benchmarks: network, frame and GPU samples of runs, keyed by codec and repetition.
+
+Frames are ordered within a run by one task per run: a run ends with its
+timeout, so its frames are bounded. Requests and percentiles may be grouped by
+anything and are counted before any task orders them.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from pyspark.sql import functions as F
 
 RUN = ["codec", "rep"]
 IDLE_FRAMES, BUCKET_MS, LOAD_TIMEOUT_MS = 30, 250, 900_000
+TIME_BINS = 1000
 
 
 def of_folder(requests: DataFrame, folder: str, since: float) -> DataFrame:
@@ -14,11 +20,22 @@ def of_folder(requests: DataFrame, folder: str, since: float) -> DataFrame:
     return requests.where(F.contains("name", F.lit(folder)) & (F.col("start_time") >= since - 1))
 
 
-def peak_concurrency(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Most spans open at once per group; an end goes before a start at the same instant."""
-    events = spans.select(*by, F.inline(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))))
-    order = Window.partitionBy(*by).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("open", F.sum("d").over(order)).groupBy(*by).agg(F.greatest(F.max("open"), F.lit(0)).alias("peak"))
+def peak_concurrency(spans: DataFrame, by: list[str], start: str, end: str, bins: int = TIME_BINS) -> DataFrame:
+    """Most spans open at once per group; an end goes before a start at the same instant.
+
+    Starts and ends are counted per instant, and instants summed within and over
+    ``bins`` stretches of a group's time, so that no task sorts a whole group.
+    """
+    events = spans.select(*by, F.inline(F.array(F.struct(F.col(start).cast("double").alias("_t"), F.lit(1).alias("_up"), F.lit(0).alias("_down")), F.struct(F.col(end).cast("double").alias("_t"), F.lit(0).alias("_up"), F.lit(1).alias("_down")))))
+    instants = events.groupBy(*by, "_t").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
+    span = instants.groupBy(*by).agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))
+    binned = instants.join(span, by).withColumn("_bin", F.when(F.col("_b") > F.col("_a"), F.floor((F.col("_t") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)).otherwise(0)).drop("_a", "_b")
+    sums = binned.groupBy(*by, "_bin").agg(F.sum(F.col("_up") - F.col("_down")).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_carried", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*by, "_bin").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = F.col("_carried") + F.sum(F.col("_up") - F.col("_down")).over(within)
+    return binned.join(carried, [*by, "_bin"]).withColumn("_open", open_).groupBy(*by).agg(F.greatest(F.max("_open"), F.lit(0)).alias("peak"))
 
 
 def network_stats(requests: DataFrame, by: list[str] = RUN) -> DataFrame:
@@ -34,11 +51,22 @@ def network_stats(requests: DataFrame, by: list[str] = RUN) -> DataFrame:
     return stats.join(peak_concurrency(requests, by, "fetch_start", "response_end").withColumnRenamed("peak", "peak_concurrency"), by)
 
 
+def percentiles_down(rows: DataFrame, by: list[str], value: str, named: dict[str, float], digits: int = 1) -> DataFrame:
+    """Per group and name the value at floor((n - 1) * p) of its sorted values, rounded; groups without values are null.
+
+    Equal values are counted first, so that a task walks a group's distinct values.
+    """
+    counted = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_m"))
+    sorted_ = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    walked = counted.withColumn("_upto", F.sum("_m").over(sorted_)).withColumn("_n", F.sum("_m").over(Window.partitionBy(*by)))
+    place = lambda p: F.floor((F.col("_n") - 1) * p)
+    at = lambda p: (F.col("_m") > 0) & (F.col("_upto") > place(p)) & (F.col("_upto") - F.col("_m") <= place(p))
+    return walked.groupBy(*by).agg(*(F.round(F.max(F.when(at(p), F.col("_v"))), digits).alias(name) for name, p in named.items()))
+
+
 def percentile_down(rows: DataFrame, by: list[str], value: str, p: float, digits: int = 1) -> DataFrame:
-    """Per group the value at floor((n - 1) * p) of its sorted values, rounded; groups without values are null."""
-    sorted_ = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    place = rows.withColumn("_nth", F.row_number().over(sorted_) - 1).withColumn("_n", F.count(value).over(Window.partitionBy(*by)))
-    return place.groupBy(*by).agg(F.round(F.max(F.when(F.col("_nth") == F.floor((F.col("_n") - 1) * p), F.col(value))), digits).alias("value"))
+    """One such percentile as ``value``."""
+    return percentiles_down(rows, by, value, {"value": p}, digits)
 
 
 def frame_durations(frames: DataFrame, by: list[str] = RUN, t: str = "t") -> DataFrame:
@@ -74,10 +102,8 @@ def frame_summary(frames: DataFrame, gpu: DataFrame, by: list[str] = RUN) -> Dat
         F.round(F.min(F.when(F.col("ready") > 0, F.col("t")))).cast("long").alias("first_content_ms"), last("pending").alias("requests_done_ms"), last("processing").alias("processing_done_ms"),
         F.greatest(F.max("pending"), F.lit(0)).alias("max_pending"), F.greatest(F.max("processing"), F.lit(0)).alias("max_processing"), F.count("*").alias("frames"),
     )
-    parts = [(without_first(frames, by), "frame_ms", "frame"), (gpu, "gpu_ms", "gpu")]
-    for rows, value, name in parts:
-        for p, tag in ((0.5, "p50"), (0.95, "p95"), (1.0, "max")):
-            base = base.join(percentile_down(rows, by, value, p).withColumnRenamed("value", f"{name}_ms_{tag}"), by, "left")
+    for rows, value, name in ((without_first(frames, by), "frame_ms", "frame"), (gpu, "gpu_ms", "gpu")):
+        base = base.join(percentiles_down(rows, by, value, {f"{name}_ms_p50": 0.5, f"{name}_ms_p95": 0.95, f"{name}_ms_max": 1.0}), by, "left")
     total = gpu.groupBy(*by).agg(F.round(F.sum("gpu_ms"), 1).alias("gpu_ms_total"))
     return base.join(total, by, "left").withColumn("gpu_supported", F.col("gpu_ms_total").isNotNull())
 

@@ -27,7 +27,7 @@ def labelled(nodes: DataFrame) -> DataFrame:
 def edge_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge) ids of all edges, those of a subgraph once per node of the entry graph that stands for it; one level deep."""
     instances = nodes.where("is_entry AND type = 'subGraph'").select(F.col("subgraph").alias("_sub"), F.col("id").alias("_instance"))
-    inner = edges.where("NOT is_entry").join(F.broadcast(instances), F.col("graph") == F.col("_sub"))
+    inner = edges.where("NOT is_entry").join(instances, F.col("graph") == F.col("_sub"))
     return edges.where("is_entry").select(F.col("id").alias("edge")).unionByName(inner.select(F.concat_ws(".", "_instance", "id").alias("edge")))
 
 

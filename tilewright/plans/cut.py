@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 _local: list[tempfile.TemporaryDirectory] = []
 
 
@@ -31,22 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the files go when the driver exits."""
+    """Write ``df`` to the shared folder and read it back; the files go with ``forget`` or when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete the files of DataFrames that ``cut`` returned; for tables whose every reader has been written itself."""
+    for df in cuts:
+        if spark := _written.pop(df._cut_path, None):
+            _delete(spark, df._cut_path)
 
 
 @atexit.register
 def sweep() -> None:
     """Delete what ``cut`` has written, as far as its session still runs."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the gateway is gone: the cluster's own clean-up takes over
             return

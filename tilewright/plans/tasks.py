@@ -20,28 +20,25 @@ def subset_citygml(spark: SparkSession, archive: DataFrame, tree: dict[str, list
     Shared folders go to ``artifacts``. A file that ``tree`` names keeps the
     objects with the listed ids and goes to ``testcase`` with the images that
     its appearances still use; other files go there if their path starts with
-    a prefix of ``tree`` and goes on with one of its items.
+    a prefix of ``tree`` and goes on with one of its items. All named models are
+    cut down together, each by its own ids; the archive is unpacked once.
     """
-    members = archives.zip_members(archive)
+    members = cut(archives.zip_members(archive).where("error IS NULL"), "members")
     lists = {k: v for k, v in tree.items() if isinstance(v, list) and all(isinstance(i, str) for i in v)}
-    shared = members.where(F.col("path").startswith(SHARED[0]) | F.col("path").startswith(SHARED[1])).select(F.lit("artifacts").alias("place"), "path", "content")
-    rest = members.where(~(F.col("path").startswith(SHARED[0]) | F.col("path").startswith(SHARED[1])))
-    wanted = spark.createDataFrame([(p, i) for p, ids in lists.items() for i in ids], "_path string, id string")
-    models_ = rest.join(F.broadcast(wanted.select("_path").distinct()), F.col("path") == F.col("_path"), "left_semi")
-    nodes = cut(xml_nodes.read_nodes(models_), "nodes")
-    out = [shared]
-    for path in sorted(p for p in lists if p.endswith(".gml")):  # one step per model that the configuration names
-        kept = citygml.keep_appearances(citygml.keep_objects(nodes.where(F.col("path") == path), wanted.where(F.col("_path") == path).select("id")))
-        images = rest.join(citygml.referenced_images(kept).select(F.col("image").alias("_image")).distinct(), F.col("path") == F.col("_image"), "left_semi")
-        text = containers.write_xml(kept, xml_nodes.read_namespaces(models_.where(F.col("path") == path)))
-        out += [df.select(F.lit("testcase").alias("place"), "path", "content") for df in (text, images)]
+    is_shared = F.col("path").startswith(SHARED[0]) | F.col("path").startswith(SHARED[1])
+    shared, rest = members.where(is_shared), members.where(~is_shared)
+    wanted = spark.createDataFrame([(p, i) for p, ids in lists.items() for i in ids], "path string, id string")
+    named = rest.join(wanted.select("path").distinct(), "path", "left_semi")
+    models_ = named.where(F.col("path").endswith(".gml"))
+    kept = citygml.keep_appearances(citygml.keep_objects(cut(xml_nodes.read_nodes(models_), "nodes"), wanted))
+    images = rest.join(citygml.referenced_images(kept).select(F.col("image").alias("path")).distinct(), "path", "left_semi")
+    texts = containers.write_xml(kept, xml_nodes.read_namespaces(models_))
     heads = spark.createDataFrame([(p, i) for p, items in lists.items() for i in items], "prefix string, item string")
-    others = citygml.included(rest.join(F.broadcast(wanted.select("_path").distinct()), F.col("path") == F.col("_path"), "left_anti"), heads)
-    out.append(others.select(F.lit("testcase").alias("place"), "path", "content"))
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
-    return result.dropDuplicates(["place", "path"])
+    others = citygml.included(rest.join(wanted.select("path").distinct(), "path", "left_anti"), heads)
+    made = shared.select(F.lit("artifacts").alias("place"), "path", "content")
+    for df in (texts, images, others):
+        made = made.unionByName(df.select(F.lit("testcase").alias("place"), "path", "content"))
+    return made.dropDuplicates(["place", "path"])
 
 
 def mask_glbs(contents: DataFrame, types: list[str]) -> DataFrame:
@@ -78,7 +75,8 @@ def tileset_report(spark: SparkSession, base: str, levels: tuple[int, int] = (0,
 def mvt_report(contents: DataFrame) -> dict[str, DataFrame]:
     """Type counts and invalid features of vector tiles."""
     features = cut(tile_source.read_mvt(contents), "features")
-    return {"types": vector_tiles.type_counts(features), "invalid": vector_tiles.invalid_counts(vector_tiles.mvt_findings(features)), "errors": features.where("error IS NOT NULL").select("path", "error")}
+    findings = vector_tiles.mvt_findings(features)
+    return {"types": vector_tiles.type_counts(features), "findings": findings, "invalid": vector_tiles.invalid_counts(findings), "errors": features.where("error IS NOT NULL").select("path", "error")}
 
 
 def raster_report(truth: DataFrame, flow: DataFrame, name: str, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +97,7 @@ def pack_outputs(rows: DataFrame, base: str) -> DataFrame:
     kinds = packing.directory_formats(rows.select("dir", "path"))
     metadata = rows.where(F.col("path").rlike(r"(^|/)metadata\.json$")).withColumn("value", F.decode("content", "utf-8"))
     made = packing.to_tilejson(metadata).where("tilejson IS NOT NULL").select("dir", F.regexp_replace("path", r"metadata\.json$", "tilejson.json").alias("path"), F.encode("tilejson", "utf-8").alias("content"))
-    packed = packing.packed_files(rows).unionByName(made).join(F.broadcast(kinds), "dir")
+    packed = packing.packed_files(rows).unionByName(made).join(kinds, "dir")
     named = packed.where("format IS NOT NULL").select(packing.archive_name(F.lit(base), F.col("dir"), F.col("format")).alias("archive"), "path", "content")
     return containers.zip_archives(named)
 

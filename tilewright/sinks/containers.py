@@ -114,26 +114,28 @@ def diff_pictures(pixels: DataFrame) -> DataFrame:
 
 
 def serialize(rows: list[dict], header: str = '<?xml version="1.0" encoding="UTF-8"?>') -> str:
-    """XML of node rows in document order: elements that hold text alone on one line, a line end after each close."""
-    children: dict[int, int] = {}
-    for r in rows:
-        children[r["parent_pre"]] = children.get(r["parent_pre"], 0) + 1
+    """XML of node rows in document order: elements that hold text alone on one line, a line end after each close.
+
+    Text after an element (``tail``) follows its close, so that mixed content keeps its order.
+    """
+    parents = {r["parent_pre"] for r in rows}
     out, open_ = [header + "\n"], []
+    after = lambda r: escape((r.get("tail") or "").strip())
 
     def close(until: int | None) -> None:
-        while open_ and open_[-1][0] != until:
-            out.append(f"</{open_.pop()[1]}>\n")
+        while open_ and open_[-1]["pre"] != until:
+            r = open_.pop()
+            out.append(f"</{r['qname']}>\n{after(r)}")
 
     for r in rows:
         close(r["parent_pre"])
         attrs = "".join(f" {k}={quoteattr(v)}" for k, v in (dict(r["attrs"]) if r["attrs"] is not None else {}).items())
-        text = escape((r["text"] or "").strip())
-        out.append(f"<{r['qname']}{attrs}>{text}")
-        if children.get(r["pre"]):
+        out.append(f"<{r['qname']}{attrs}>{escape((r['text'] or '').strip())}")
+        if r["pre"] in parents:
             out.append("\n")
-            open_.append((r["pre"], r["qname"]))
+            open_.append(r)
         else:
-            out.append(f"</{r['qname']}>\n")
+            out.append(f"</{r['qname']}>\n{after(r)}")
     close(None)
     return "".join(out)
 
@@ -146,7 +148,7 @@ def _xml(key: tuple, frame: pd.DataFrame, header: str) -> pd.DataFrame:
 def write_xml(nodes: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
     """(path, content) of documents from their nodes; with namespaces, the root declares them again."""
     ship(nodes.sparkSession)
-    rows = nodes.where("error IS NULL").select("path", "pre", "parent_pre", "qname", "attrs", "text")
+    rows = nodes.where("error IS NULL").select("path", "pre", "parent_pre", "qname", "attrs", "text", "tail")
     if namespaces is not None:
         declared = F.transform_keys("namespaces", lambda k, _: F.when(k == "_default", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), k)))
         rows = rows.join(namespaces.select("path", declared.alias("_ns")), "path", "left").withColumn("attrs", F.when(F.col("parent_pre").isNull(), F.map_concat(F.coalesce("_ns", F.create_map().cast("map<string,string>")), F.col("attrs"))).otherwise(F.col("attrs"))).drop("_ns")

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tilewright.sources.decode import decoded
+from tilewright.plans import map_arrow
+from tilewright.sources.decode import FAULTS, Guarded, decoded
 
-MEMBER_SCHEMA = "path string, member string, nth int, size long, compressed long, method int, crc long, offset long"
-CONTENT_SCHEMA = "archive string, path string, content binary"
+MEMBER_SCHEMA = "path string, member string, nth int, size long, compressed long, method int, crc long, offset long, error string"
+CONTENT_SCHEMA = "archive string, path string, content binary, error string"
 _END, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
 
 
@@ -32,13 +35,16 @@ def _read(path: str, data: bytes, prefixes: list[str] | None) -> Iterator[dict]:
 
 
 def zip_listing(contents: DataFrame) -> DataFrame:
-    """One row per member that is no folder; nothing is unpacked."""
-    return decoded(contents, _list, MEMBER_SCHEMA)
+    """One row per member that is no folder; nothing is unpacked. An archive that cannot be read is one row with an error."""
+    return decoded(contents, Guarded(_list), MEMBER_SCHEMA)
 
 
 def zip_members(contents: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
-    """Unpacked members; with ``prefixes``, those whose name starts with any of them, chosen before unpacking."""
-    return decoded(contents, partial(_read, prefixes=prefixes), CONTENT_SCHEMA)
+    """Unpacked members; with ``prefixes``, those whose name starts with any of them, chosen before unpacking.
+
+    An archive with a fault is one row with an error: none of its members is trusted then.
+    """
+    return decoded(contents, Guarded(partial(_read, prefixes=prefixes), "archive"), CONTENT_SCHEMA)
 
 
 def central_directory(read: Callable[[int, int], bytes], size: int, tail: int = 65_536) -> Iterator[tuple[str, int, int, int, int, int]]:
@@ -89,3 +95,61 @@ def range_member(read: Callable[[int, int], bytes], entry: tuple[str, int, int,
     if zlib.crc32(out) != crc:
         raise ValueError(f"{name}: checksum")
     return out
+
+
+def _remote(batches: Iterator[pa.RecordBatch], opener: Callable[[str], tuple[Callable[[int, int], bytes], int]], wanted: str | None) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+    for batch in batches:
+        for url in batch.column("archive").to_pylist():
+            try:
+                read, size = opener(url)
+                entries = [e for e in central_directory(read, size) if not e[0].endswith("/")]
+            except (OSError, *FAULTS) as wrong:
+                yield pa.RecordBatch.from_pylist([{"archive": url, "error": f"{type(wrong).__name__}: {wrong}"}], schema=schema)
+                continue
+            for e in entries:  # a member at a time, so that a task holds one
+                row = {"archive": url, "path": e[0], "size": e[3]}
+                if wanted is not None and re.search(wanted, e[0]):
+                    try:
+                        row["content"] = range_member(read, e)
+                    except (OSError, *FAULTS) as wrong:
+                        row["error"] = f"{type(wrong).__name__}: {wrong}"
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+
+def http_ranges(url: str) -> tuple[Callable[[int, int], bytes], int]:
+    """Byte ranges of a file on a web server, and its size."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, method="HEAD")) as answer:  # noqa: S310
+        size = int(answer.headers["Content-Length"])
+
+    def read(start: int, length: int) -> bytes:
+        with urlopen(Request(url, headers={"Range": f"bytes={start}-{start + length - 1}"})) as answer:  # noqa: S310
+            return answer.read()
+
+    return read, size
+
+
+def file_ranges(uri: str) -> tuple[Callable[[int, int], bytes], int]:
+    """Byte ranges of a file in any file system that Arrow reaches, and its size."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    file = system.open_input_file(path)
+
+    def read(start: int, length: int) -> bytes:
+        file.seek(start)
+        return file.read(length)
+
+    return read, file.size()
+
+
+def remote_members(archives: DataFrame, wanted: str | None = None, opener: Callable[[str], tuple[Callable[[int, int], bytes], int]] = http_ranges) -> DataFrame:
+    """Members of the archives that ``archive`` names, without fetching them whole: (archive, path, size, content, error).
+
+    Only the end of each archive and its directory are read, and of members whose
+    name matches ``wanted`` their own bytes; others have no content. ``opener``
+    gives a function of (start, length) and the size of a named archive.
+    """
+    return map_arrow(archives.select("archive"), partial(_remote, opener=opener, wanted=wanted), "archive string, path string, size long, content binary, error string")

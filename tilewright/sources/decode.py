@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -13,6 +16,8 @@ from pyspark.sql import types as T
 from tilewright.plans import map_arrow
 
 ROWS = 4096
+#: What a broken file can raise; ValueError covers text that is no UTF-8 or no JSON.
+FAULTS = (ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError, EOFError, NotImplementedError, RuntimeError, struct.error, zlib.error, zipfile.BadZipFile)
 
 
 def files(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
@@ -43,6 +48,19 @@ def _rows(batches: Iterator[pa.RecordBatch], decoder: Callable[[str, bytes], Ite
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
+class Guarded:
+    """A decoder whose faults become one row with the path and an ``error``, in place of the file's rows; it never ends a job."""
+
+    def __init__(self, decoder: Callable[[str, bytes], Iterable[dict]], name: str = "path"):
+        self.decoder, self.name = decoder, name
+
+    def __call__(self, path: str, data: bytes) -> list[dict]:
+        try:
+            return list(self.decoder(path, data))
+        except FAULTS as wrong:
+            return [{self.name: path, "error": f"{type(wrong).__name__}: {wrong}"}]
+
+
 def decoded(contents: DataFrame, decoder: Callable[[str, bytes], Iterable[dict]], schema: str) -> DataFrame:
     """Rows that ``decoder(path, content)`` yields for each (path, content) row."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -9,16 +9,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from tilewright.sources.decode import decoded
+from tilewright.sources.decode import Guarded, decoded
 
 GLB_MAGIC, JSON_CHUNK, BIN_CHUNK = 0x46546C67, 0x4E4F534A, 0x004E4942
 #: Struct codes by glTF component type.
 COMPONENTS = {5120: "b", 5121: "B", 5122: "h", 5123: "H", 5125: "I", 5126: "f"}
 GLB_SCHEMA = "path string, version long, json string, bin binary, error string"
 B3DM_SCHEMA = "path string, version long, byte_length long, feature_json_length long, feature_bin_length long, batch_json_length long, batch_bin_length long, gltf_length long, feature_json string, batch_json string, glb binary, error string"
-IMAGE_SCHEMA = "path string, nth int, name string, mime string, uri string, data binary"
-PROPERTY_SCHEMA = "path string, table_idx int, feature_id long, property string, value string"
-VERTEX_SCHEMA = "path string, mesh int, primitive int, vertex long, offset long, component int, feature_id long"
+IMAGE_SCHEMA = "path string, nth int, name string, mime string, uri string, data binary, error string"
+PROPERTY_SCHEMA = "path string, table_idx int, feature_id long, property string, value string, error string"
+VERTEX_SCHEMA = "path string, mesh int, primitive int, vertex long, offset long, component int, feature_id long, error string"
 
 
 def chunks(data: bytes) -> tuple[int, bytes, bytes | None]:
@@ -45,7 +45,7 @@ def _glb(path: str, data: bytes) -> Iterator[dict]:
         version, text, binary = chunks(data)
         yield {"path": path, "version": version, "json": text.decode().rstrip("\x00 "), "bin": binary, "error": None}
     except (ValueError, struct.error) as wrong:
-        yield {"path": path, "version": None, "json": None, "bin": None, "error": str(wrong)}
+        yield {"path": path, "version": None, "json": None, "bin": None, "error": str(wrong) or "not a GLB"}
 
 
 def _glb_json(path: str, data: bytes) -> Iterator[dict]:
@@ -110,15 +110,18 @@ def _images(path: str, data: bytes) -> Iterator[dict]:
 
 
 def glb_images(contents: DataFrame) -> DataFrame:
-    """Images by buffer view (offset 0 where absent) or data URI; for files beside the GLB, ``uri`` is their path and data null."""
-    return decoded(contents, _images, IMAGE_SCHEMA)
+    """Images by buffer view (offset 0 where absent) or data URI; for files beside the GLB, ``uri`` is their path and data null.
+
+    A file that cannot be read is one row with an error, here and in the two decoders below.
+    """
+    return decoded(contents, Guarded(_images), IMAGE_SCHEMA)
 
 
 def with_external_images(images: DataFrame, contents: DataFrame) -> DataFrame:
     """Fills the data of images that are files of their own from (path, content) rows."""
     beside = contents.selectExpr("path AS _path", "content AS _content")
     joined = images.join(beside, images["uri"] == beside["_path"], "left")
-    return joined.selectExpr("path", "nth", "name", "mime", "uri", "coalesce(data, _content) AS data")
+    return joined.selectExpr("path", "nth", "name", "mime", "uri", "coalesce(data, _content) AS data", "error")
 
 
 def _values(binary: bytes, view: dict, component: int, count: int, extra: int = 0) -> list:
@@ -145,7 +148,7 @@ def _properties(path: str, data: bytes) -> Iterator[dict]:
 
 def glb_properties(contents: DataFrame) -> DataFrame:
     """One row per feature and property of the property tables; numbers as text."""
-    return decoded(contents, _properties, PROPERTY_SCHEMA)
+    return decoded(contents, Guarded(_properties), PROPERTY_SCHEMA)
 
 
 def _vertices(path: str, data: bytes) -> Iterator[dict]:
@@ -153,6 +156,8 @@ def _vertices(path: str, data: bytes) -> Iterator[dict]:
     doc = json.loads(text)
     for m, mesh in enumerate(doc.get("meshes", [])):
         for p, primitive in enumerate(mesh.get("primitives", [])):
+            if "_FEATURE_ID_0" not in primitive.get("attributes", {}):
+                continue
             accessor = doc["accessors"][primitive["attributes"]["_FEATURE_ID_0"]]
             view, code = doc["bufferViews"][accessor["bufferView"]], COMPONENTS[accessor["componentType"]]
             size = struct.calcsize(code)
@@ -162,5 +167,5 @@ def _vertices(path: str, data: bytes) -> Iterator[dict]:
 
 
 def glb_feature_ids(contents: DataFrame) -> DataFrame:
-    """Feature id of each vertex, with the place of its bytes in BIN."""
-    return decoded(contents, _vertices, VERTEX_SCHEMA)
+    """Feature id of each vertex, with the place of its bytes in BIN; primitives without feature ids have none."""
+    return decoded(contents, Guarded(_vertices), VERTEX_SCHEMA)

@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tilewright.sources.decode import decoded
+from tilewright.sources.decode import FAULTS, Guarded, decoded
 
-PIXEL_SCHEMA = "path string, height int, width int, y int, x int, depth float"
+PIXEL_SCHEMA = "path string, height int, width int, y int, x int, depth float, error string"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -33,6 +33,8 @@ def read_png(data: bytes) -> np.ndarray:
             header = struct.unpack(">IIBBBBB", chunk)
         elif kind == b"IDAT":
             body += chunk
+    if header is None:
+        raise ValueError("no header")
     width, height, depth, colour, _, _, interlace = header
     if depth != 8 or colour not in (2, 6) or interlace:
         raise ValueError(f"unsupported PNG: depth {depth}, colour {colour}, interlace {interlace}")
@@ -73,16 +75,22 @@ def write_png(pixels: np.ndarray) -> bytes:
 
 
 def _pixels(path: str, data: bytes) -> Iterator[dict]:
-    rgba = read_png(data)
+    try:
+        rgba = read_png(data)
+        if rgba.shape[2] != 4:
+            raise ValueError("a depth raster has four bytes a pixel")
+    except FAULTS as wrong:
+        yield {"path": path, "error": f"{type(wrong).__name__}: {wrong}"}
+        return
     height, width, _ = rgba.shape
     depth = np.ascontiguousarray(rgba).view("<f4").reshape(height, width)
     for y in range(height):
         for x in range(width):
-            yield {"path": path, "height": height, "width": width, "y": y, "x": x, "depth": float(depth[y, x])}
+            yield {"path": path, "height": height, "width": width, "y": y, "x": x, "depth": float(depth[y, x]), "error": None}
 
 
 def read_depth(contents: DataFrame) -> DataFrame:
-    """One row per pixel; a depth that is not finite means no hit."""
+    """One row per pixel; a depth that is not finite means no hit. A file that cannot be read is one row with an error."""
     return decoded(contents, _pixels, PIXEL_SCHEMA)
 
 
@@ -117,4 +125,4 @@ def _payload(path: str, data: bytes) -> Iterator[dict]:
 
 def image_headers(contents: DataFrame) -> DataFrame:
     """path, bytes, width, height of each image payload, or an error."""
-    return decoded(contents, _payload, "path string, bytes long, width int, height int, error string")
+    return decoded(contents, Guarded(_payload), "path string, bytes long, width int, height int, error string")

@@ -1,7 +1,6 @@
 """Line-based sources: feature stores, repository logs, stacks, dependency blocks, commands.
 
-Order matters in most of these, so a line's number comes from the reader: a
-file is read whole and its lines are numbered where they are split.
+Order matters in most of these, so a line's number comes from the reader.
 """
 
 from __future__ import annotations
@@ -17,12 +16,16 @@ from tilewright.functions.text import branch_name, frame_name
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, line_no (from 0, blank lines count) and value of the text files below a folder, or of one file.
 
-    A file is one row before it is split; feature stores are many files of bounded size.
+    Files are read in splits, each of which one task reads in order; lines are
+    numbered within a split, and on from the lines of the splits before it.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    rows = whole.select("path", F.posexplode(lines).alias("line_no", "line"), (F.size(lines) - 1).alias("_end"))
-    return rows.where(~((F.col("line_no") == F.col("_end")) & (F.col("line") == ""))).select("path", "line_no", F.col("line").alias("value"))
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    blocks = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block")).agg(F.count("*").alias("_lines"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "_block", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_at")) - 1
+    return rows.withColumn("_own", own).join(starts, ["path", "_block"]).select("path", (F.col("_before") + F.col("_own")).alias("line_no"), "value")
 
 
 def feature_lines(lines: DataFrame) -> DataFrame:
@@ -31,6 +34,18 @@ def feature_lines(lines: DataFrame) -> DataFrame:
     return lines.select(port.alias("port"), "line_no", F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("feature")).where("feature <> ''")
 
 
+def write_features(features: DataFrame, out: str, lines: int = 10_000) -> None:
+    """Writes (port, line_no, feature) so that one feature can be found again without reading the others: by port and stretch of lines."""
+    rows = features.withColumn("stretch", F.floor(F.col("line_no") / lines)).repartition("port", "stretch")
+    rows.write.mode("overwrite").partitionBy("port", "stretch").parquet(out)
+
+
+def feature_at(spark: SparkSession, out: str, port: str, line_no: int, lines: int = 10_000) -> DataFrame:
+    """The feature of a port's line, numbers with the digits that they were written with; other files are not opened."""
+    rows = spark.read.schema("line_no long, feature string, port string, stretch long").parquet(out)
+    return rows.where((F.col("port") == port) & (F.col("stretch") == line_no // lines) & (F.col("line_no") == line_no)).select("port", "line_no", "feature")
+
+
 def tree_rows(lines: DataFrame) -> DataFrame:
     """mode, type, sha, size (null for ``-``) and file of a tree listing's lines."""
     part = lambda n: F.regexp_extract("value", r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$", n)

@@ -14,18 +14,23 @@ from tilewright.sources.decode import decoded
 SUBTREE_SCHEMA = "path string, kind string, slot int, constant int, bits binary, error string"
 
 
-def read_tileset(spark: SparkSession, path: str) -> DataFrame:
-    """region (west, south, east, north in radians), subtree_levels, subtree_uri and content_uris of a tileset."""
+def parse_tileset(texts: DataFrame, col: str = "value") -> DataFrame:
+    """region (west, south, east, north in radians), subtree_levels, subtree_uri and content_uris of tilesets' JSON."""
     root = "$.root"
-    get = lambda p: F.get_json_object("value", root + p)
+    get = lambda p: F.get_json_object(col, root + p)
     region = F.slice(F.from_json(get(".boundingVolume.region"), "array<double>"), 1, 4)
     many = F.transform(F.from_json(get(".contents"), "array<struct<uri:string>>"), lambda c: c["uri"])
-    return spark.read.text(path, wholetext=True).select(
+    return texts.select(
         region.alias("region"), get(".implicitTiling.subtreeLevels").cast("int").alias("subtree_levels"),
         get(".implicitTiling.subtrees.uri").alias("subtree_uri"), F.coalesce(many, F.array(get(".content.uri"))).alias("content_uris"),
     )
 
 
+def read_tileset(spark: SparkSession, path: str) -> DataFrame:
+    """The parsed tileset of a file."""
+    return parse_tileset(spark.read.text(path, wholetext=True))
+
+
 def _subtree(path: str, data: bytes) -> Iterator[dict]:
     row = {"path": path, "kind": None, "slot": None, "constant": None, "bits": None, "error": None}
     try:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tilewright.sources.decode import decoded
 
-NODE_SCHEMA = "path string, pre int, last int, parent_pre int, depth int, ns string, prefix string, local string, qname string, gml_id string, attrs map<string,string>, text string, error string"
+NODE_SCHEMA = "path string, pre int, last int, parent_pre int, depth int, ns string, prefix string, local string, qname string, gml_id string, attrs map<string,string>, text string, tail string, error string"
 NAMESPACE_SCHEMA = "path string, nth int, prefix string, uri string"
 
 
@@ -24,7 +24,9 @@ def _parse(data: bytes) -> tuple[list[dict], list[tuple[str, str]]]:
     stack: list[int] = []
     scopes: list[dict[str, str]] = [{"xml": "http://www.w3.org/XML/1998/namespace"}]
     declared: list[tuple[str, str]] = []
-    texts: list[list[str]] = []
+    # Text goes to the element that began last, or, after an element's end, to its tail.
+    into: list = [0, "text"]
+    said: dict[tuple[int, str], list[str]] = {}
 
     def start(name: str, attrs: dict) -> None:
         scope = dict(scopes[-1])
@@ -38,33 +40,35 @@ def _parse(data: bytes) -> tuple[list[dict], list[tuple[str, str]]]:
         plain = {k: v for k, v in attrs.items() if k != "xmlns" and not k.startswith("xmlns:")}
         rows.append({
             "pre": len(rows), "last": None, "parent_pre": stack[-1] if stack else None, "depth": len(stack), "ns": scope.get(prefix or "_default"), "prefix": prefix, "local": local,
-            "qname": name, "gml_id": attrs.get("gml:id") or next((v for k, v in plain.items() if k.endswith(":id") and "/gml" in scope.get(k[:-3], "")), None), "attrs": [*plain.items()], "text": None, "error": None,
+            "qname": name, "gml_id": attrs.get("gml:id") or next((v for k, v in plain.items() if k.endswith(":id") and "/gml" in scope.get(k[:-3], "")), None), "attrs": [*plain.items()], "text": None, "tail": None, "error": None,
         })
         stack.append(len(rows) - 1)
-        texts.append([])
+        into[:] = [len(rows) - 1, "text"]
 
     def end(_: str) -> None:
-        row = rows[stack.pop()]
-        row["last"] = len(rows) - 1
-        text = "".join(texts.pop())
-        row["text"] = text if text.strip() else None
+        at = stack.pop()
+        rows[at]["last"] = len(rows) - 1
+        into[:] = [at, "tail"]
         scopes.pop()
 
     def characters(text: str) -> None:
-        if texts:
-            texts[-1].append(text)
+        if stack:
+            said.setdefault((into[0], into[1]), []).append(text)
 
     parser = expat.ParserCreate()
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
     parser.Parse(data.lstrip(), True)
+    for (at, part), pieces in said.items():
+        if (text := "".join(pieces)).strip():
+            rows[at][part] = text
     return rows, declared
 
 
 def _nodes(path: str, data: bytes) -> Iterator[dict]:
     try:
         rows, _ = _parse(data)
-    except expat.ExpatError as wrong:
+    except (expat.ExpatError, ValueError, LookupError) as wrong:
         yield dict.fromkeys(c.split()[0] for c in NODE_SCHEMA.split(", ")) | {"path": path, "error": f"cannot parse: {wrong}"}
         return
     for row in rows:
@@ -74,14 +78,14 @@ def _nodes(path: str, data: bytes) -> Iterator[dict]:
 def _namespaces(path: str, data: bytes) -> Iterator[dict]:
     try:
         _, declared = _parse(data)
-    except expat.ExpatError:
+    except (expat.ExpatError, ValueError, LookupError):
         return
     for nth, (prefix, uri) in enumerate(declared):
         yield {"path": path, "nth": nth, "prefix": prefix, "uri": uri}
 
 
 def read_nodes(contents: DataFrame) -> DataFrame:
-    """Elements of each document; text is an element's own, null if blank; a document that cannot be parsed is one row with an error."""
+    """Elements of each document; text stands before an element's first child and tail after the element, null if blank; a document that cannot be parsed is one row with an error."""
     return decoded(contents, _nodes, NODE_SCHEMA)
 
 
