@@ -145,17 +145,21 @@ def place_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.unionByName(nations).unionByName(leaves)
 
 
+def status_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a pending order, as textured polygons."""
+    polygon = F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("polygon")
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.lit("doc").alias("path"), polygon).distinct()
+
+
 @query("""
 WITH t AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus = 'P'), p AS (SELECT c_custkey, n_nationkey, n_regionkey FROM t JOIN customer ON c = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT 'R' || n_regionkey AS gml_id, 'Region' AS feature_type, '' AS parent, count(*) AS polygons FROM p GROUP BY ALL
 UNION ALL SELECT 'N' || n_nationkey, 'Nation', 'R' || n_regionkey, count(*) FROM p GROUP BY ALL
 """)
 def textured_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = place_tree(spark, sf_dir)
-    wanted = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.lit("doc").alias("path"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("polygon")).distinct()
-    elements = citygml.textured_elements(nodes, wanted)
-    parents = citygml.outermost_parents(elements)
-    return elements.join(parents, ["path", "gml_id"], "left").select("gml_id", F.col("local").alias("feature_type"), F.coalesce("parent", F.lit("")).alias("parent"), F.size("polygons").cast("long").alias("polygons"))
+    elements = citygml.textured_elements(place_tree(spark, sf_dir), status_polygons(spark, sf_dir))
+    named = citygml.with_parents(elements, citygml.outermost_parents(elements))
+    return named.join(elements.select("path", "gml_id", "polygons"), ["path", "gml_id"]).drop("path")
 
 
 @query("""
@@ -163,37 +167,26 @@ WITH t AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus = 'P')
 SELECT DISTINCT 'N' || n_nationkey AS gml_id, 'R' || n_regionkey AS parent FROM t JOIN customer ON c = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """)
 def innermost_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = textured_containers(spark, sf_dir)
-    outer = found.select(F.col("parent").alias("_parent")).distinct()
-    return found.join(outer, F.col("gml_id") == F.col("_parent"), "left_anti").select("gml_id", "parent")
-
-
-@query("""
-WITH k AS (SELECT l_orderkey, count(*) FILTER (p_brand IS NOT NULL) AS kept, count(*) FILTER (p_brand IS NULL) AS removed FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)) ON l_partkey = p_partkey GROUP BY 1)
-SELECT o_orderpriority, CAST(sum(kept) AS BIGINT) AS kept_targets, CAST(sum(removed) AS BIGINT) AS removed_targets, count(*) FILTER (kept > 0) AS kept_members, count(*) FILTER (kept = 0) AS removed_members FROM k JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
-""")
-def subset_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    brand = part.join(F.broadcast(part.agg(F.min("p_brand").alias("_b"))), F.col("p_brand") == F.col("_b"), "left_semi").select("p_partkey", F.lit(True).alias("_kept"))
-    members = line.join(brand, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("l_orderkey").agg(F.count_if("_kept").alias("kept"), F.count_if(F.col("_kept").isNull()).alias("removed"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return members.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(
-        F.sum("kept").alias("kept_targets"), F.sum("removed").alias("removed_targets"), F.count_if(F.col("kept") > 0).alias("kept_members"), F.count_if(F.col("kept") == 0).alias("removed_members")
-    )
+    elements = citygml.textured_elements(place_tree(spark, sf_dir), status_polygons(spark, sf_dir))
+    parents = citygml.outermost_parents(elements)
+    return citygml.with_parents(citygml.innermost(elements, parents), parents).select("gml_id", "parent")
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ', ' ORDER BY l_returnflag || l_linestatus) AS textures FROM lineitem GROUP BY 1")
 def texture_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ", ").alias("textures"))
+    mapped = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("texture"))
+    return citygml.texture_names(mapped, ["l_orderkey"])
 
 
 @query("""
-SELECT o_orderstatus AS path, count(*) AS polygons, CAST(sum(n) AS BIGINT) AS textures, CAST(sum(bad) AS BIGINT) AS errors FROM orders JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity > 45) AS bad FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_orderstatus)
+SELECT o_orderstatus AS path, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS polygons, count(*) AS textures, count(*) FILTER (l_quantity > 45) AS errors, CAST(0 AS BIGINT) AS warnings
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_orderstatus)
 """)
 def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_order = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 45).alias("bad"))
-    met = table(spark, sf_dir, "orders").join(per_order, F.col("l_orderkey") == F.col("o_orderkey"))
-    return met.rollup(F.col("o_orderstatus").alias("path")).agg(F.count("*").alias("polygons"), F.sum("n").alias("textures"), F.sum("bad").alias("errors"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 45, "count_mismatch").otherwise("ok").alias("finding"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("path"))
+    met = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return citygml.alignment_totals(met.select("path", "finding"), met.select("path", F.col("l_orderkey").alias("polygon")))
 
 
 @query("""
@@ -260,23 +253,41 @@ def box_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tiles.select_box(rows, boxes).groupBy("sel").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("ids"))
 
 
-@query("""
-WITH a AS (SELECT o_orderkey AS y, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST('nan' AS DOUBLE) ELSE o_totalprice END AS d FROM orders WHERE o_orderstatus <> 'P'),
-b AS (SELECT l_orderkey AS y, CASE WHEN max(l_quantity) >= 48 THEN CAST('inf' AS DOUBLE) ELSE max(l_extendedprice) END AS d FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey),
+_RASTERS = """
+WITH a AS (SELECT o_orderkey AS y, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST('nan' AS DOUBLE) ELSE o_totalprice END AS d FROM orders),
+b AS (SELECT l_orderkey + CASE WHEN l_orderkey % 10 = 0 THEN 100000000000 ELSE 0 END AS y, CASE WHEN max(l_quantity) >= 48 THEN CAST('inf' AS DOUBLE) ELSE max(l_extendedprice) END AS d FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT coalesce(a.y, b.y) AS y, a.d AS t, b.d AS f, coalesce(isfinite(a.d), false) AS ta, coalesce(isfinite(b.d), false) AS fb FROM a FULL JOIN b ON a.y = b.y),
 k AS (SELECT *, CASE WHEN ta AND fb THEN 'both' WHEN ta THEN 'only_truth' WHEN fb THEN 'only_flow' ELSE 'neither' END AS kind, CASE WHEN ta AND fb THEN CAST(floor(least(1.0, abs(f - t) / 100000.0) * 255) AS BIGINT) END AS shade FROM m)
+"""
+
+
+def order_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a raster against their lines as another; each tenth order's lines lie on a pixel of their own."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("d"), F.max("l_quantity").alias("q"))
+    truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("y"), F.when(F.col("o_orderpriority") == "1-URGENT", float("nan")).otherwise(F.col("o_totalprice")).alias("depth"))
+    y = F.col("l_orderkey") + F.when(F.col("l_orderkey") % 10 == 0, 100_000_000_000).otherwise(0)
+    flow = line.select(y.alias("y"), F.when(F.col("q") >= 48, float("inf")).otherwise(F.col("d")).alias("depth"))
+    return rasters.diff_pixels(truth, flow, 100_000.0, ["y"])
+
+
+@query(_RASTERS + """
 SELECT kind, count(*) AS n, CAST(sum(CASE WHEN kind = 'only_truth' THEN 255 WHEN kind = 'both' AND NOT f - t > 0 THEN shade ELSE 0 END) AS BIGINT) AS red, CAST(sum(CASE WHEN kind = 'only_flow' THEN 255 WHEN kind = 'both' AND f - t > 0 THEN shade ELSE 0 END) AS BIGINT) AS green,
   round(max(CASE WHEN kind = 'both' THEN abs(f - t) ELSE 0 END), 2) AS gap FROM k GROUP BY kind
 """)
 def raster_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("d"), F.max("l_quantity").alias("q"))
-    truth = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("y"), F.when(F.col("o_orderpriority") == "1-URGENT", float("nan")).otherwise(F.col("o_totalprice")).alias("depth"))
-    flow = line.select(F.col("l_orderkey").alias("y"), F.when(F.col("q") >= 48, float("inf")).otherwise(F.col("d")).alias("depth"))
-    pixels = rasters.diff_pixels(truth, flow, 100_000.0, ["y"])
+    pixels = order_pixels(spark, sf_dir)
     gap = F.round(F.max(F.when(F.col("kind") == "both", F.abs(F.col("flow") - F.col("truth"))).otherwise(0.0)), 2)
     return pixels.groupBy("kind").agg(F.count("*").alias("n"), F.sum("red").alias("red"), F.sum("green").alias("green"), gap.alias("gap"))
 
 
+@query(_RASTERS + """
+SELECT count(*) FILTER (kind = 'both') AS both, count(*) FILTER (kind = 'only_truth') AS only_truth, count(*) FILTER (kind = 'only_flow') AS only_flow,
+  round(coalesce(max(abs(f - t)) FILTER (kind = 'both'), 0), 2) AS max_abs_diff FROM k
+""")
+def raster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.diff_summary(order_pixels(spark, sf_dir)).withColumn("max_abs_diff", F.round("max_abs_diff", 2))
+
+
 # Features and workflows
 
 
@@ -287,13 +298,21 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT event_type AS port, event_id, CASE WHEN coalesce(props::JSON->>'$.k', '0') IN ('0', '', 'false') THEN '' ELSE props::JSON->>'$.k' END AS k FROM events)
-SELECT port, count(*) AS count, string_agg(CAST(event_id AS VARCHAR) || '=' || k, ',' ORDER BY event_id) AS entries FROM f GROUP BY port
+SELECT event_type AS port, event_id AS _idx, CASE WHEN coalesce(props::JSON->>'$.k', '0') IN ('0', '', 'false') THEN '' ELSE props::JSON->>'$.k' END AS k, count(*) OVER (PARTITION BY event_type) AS count FROM events
 """)
 def feature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = features.port_index(event_features(spark, sf_dir), [".attributes.k"])
-    entries = F.array_join(F.transform("features", lambda e: F.concat(e["_idx"].cast("string"), F.lit("="), e["k"])), ",")
-    return index.select("port", "count", entries.alias("entries"))
+    rows = event_features(spark, sf_dir)
+    return features.port_entries(rows, [".attributes.k"]).join(features.port_counts(rows), "port")
+
+
+@query("""
+SELECT 'u' || user_id AS port, count(*) AS count, string_agg(event_id || '=' || (CASE WHEN coalesce(props::JSON->>'$.k', '0') IN ('0', '', 'false') THEN '' ELSE props::JSON->>'$.k' END), ',' ORDER BY event_id) AS entries FROM events GROUP BY user_id
+""")
+def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"))
+    rows = event_features(spark, sf_dir).join(users, F.col("line_no") == F.col("event_id")).withColumn("port", F.col("user"))
+    index = features.port_index(rows, [".attributes.k"])
+    return index.select("port", "count", F.array_join(F.transform("features", lambda e: F.concat(e["_idx"].cast("string"), F.lit("="), e["k"])), ",").alias("entries"))
 
 
 @query("""
@@ -450,14 +469,16 @@ def peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH q AS (SELECT o_orderpriority AS codec, o_orderkey % 3 AS rep, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_custkey + 3.0 END AS rs, o_custkey::DOUBLE AS fs, o_custkey + (o_orderkey % 9)::DOUBLE AS s, o_custkey + (o_orderkey % 20)::DOUBLE AS e, o_totalprice AS tr FROM orders),
-p AS (SELECT *, greatest(0, (CASE WHEN rs = 0 THEN fs ELSE rs END) - fs) AS queued, greatest(0, s - (CASE WHEN rs = 0 THEN fs ELSE rs END)) AS ttfb, greatest(0, e - s) AS dl FROM q)
-SELECT codec, rep, count(*) AS requests, round(sum(tr) / 1048576, 1) AS transfer_mb, CAST(round(sum(queued)) AS BIGINT) AS total_queued_ms, CAST(round(sum(ttfb)) AS BIGINT) AS total_ttfb_ms, CAST(round(sum(dl)) AS BIGINT) AS total_download_ms FROM p GROUP BY ALL
+p AS (SELECT *, greatest(0, (CASE WHEN rs = 0 THEN fs ELSE rs END) - fs) AS queued, greatest(0, s - (CASE WHEN rs = 0 THEN fs ELSE rs END)) AS ttfb, greatest(0, e - s) AS dl FROM q),
+i AS (SELECT codec, rep, fs AS t, 1 AS d FROM q UNION ALL SELECT codec, rep, e, -1 FROM q), m AS (SELECT codec, rep, CAST(greatest(max(o), 0) AS BIGINT) AS peak FROM (SELECT codec, rep, sum(d) OVER (PARTITION BY codec, rep ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS o FROM i) GROUP BY ALL)
+SELECT codec, rep, count(*) AS requests, round(sum(tr) / 1048576, 1) AS transfer_mb, CAST(round(sum(queued)) AS BIGINT) AS total_queued_ms, CAST(round(sum(ttfb)) AS BIGINT) AS total_ttfb_ms, CAST(round(sum(dl)) AS BIGINT) AS total_download_ms,
+  round(avg(queued), 2) AS avg_queued_ms, round(avg(ttfb), 2) AS avg_ttfb_ms, round(avg(dl), 2) AS avg_download_ms, any_value(peak) AS peak_concurrency FROM p JOIN m USING (codec, rep) GROUP BY ALL
 """)
 def network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetch = F.col("o_custkey").cast("double")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("codec"), (F.col("o_orderkey") % 3).alias("rep"), F.when(F.col("o_orderkey") % 4 == 0, 0.0).otherwise(fetch + 3).alias("request_start"), fetch.alias("fetch_start"),
                                                  (fetch + F.col("o_orderkey") % 9).alias("response_start"), (fetch + F.col("o_orderkey") % 20).alias("response_end"), F.col("o_totalprice").alias("transfer_size"), F.lit(None).cast("double").alias("encoded_size"))
-    return load_bench.network_stats(rows).select("codec", "rep", "requests", "transfer_mb", "total_queued_ms", "total_ttfb_ms", "total_download_ms")
+    return load_bench.network_stats(rows).drop("encoded_mb")
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,15 +512,17 @@ def frame_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT event_type AS codec, event_id AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth, event_id - lag(event_id, 1, 0) OVER (PARTITION BY event_type ORDER BY event_id) AS ms FROM events),
-s AS (SELECT codec, list_sort(list(ms) FILTER (nth > 1)) AS ms FROM f GROUP BY 1)
+s AS (SELECT codec, list_sort(list(ms) FILTER (nth > 1)) AS ms, list_sort(list(round(value, 2))) AS gpu FROM f GROUP BY 1)
 SELECT f.codec, min(t) FILTER (value > 95) AS first_content_ms, coalesce(max(t) FILTER (value > 20), 0) AS requests_done_ms, coalesce(max(t) FILTER (value > 60), 0) AS processing_done_ms, max(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS max_pending, max(CASE WHEN value > 60 THEN 2 ELSE 0 END) AS max_processing, count(*) AS frames,
-  any_value(s.ms[CAST(floor((len(s.ms) - 1) * 0.5) AS INTEGER) + 1])::DOUBLE AS frame_ms_p50, any_value(s.ms[CAST(floor((len(s.ms) - 1) * 0.95) AS INTEGER) + 1])::DOUBLE AS frame_ms_p95, round(sum(round(value, 2)), 1) AS gpu_ms_total
+  any_value(s.ms[CAST(floor((len(s.ms) - 1) * 0.5) AS INTEGER) + 1])::DOUBLE AS frame_ms_p50, any_value(s.ms[CAST(floor((len(s.ms) - 1) * 0.95) AS INTEGER) + 1])::DOUBLE AS frame_ms_p95, any_value(s.ms[len(s.ms)])::DOUBLE AS frame_ms_max,
+  any_value(round(s.gpu[CAST(floor((len(s.gpu) - 1) * 0.5) AS INTEGER) + 1], 1)) AS gpu_ms_p50, any_value(round(s.gpu[CAST(floor((len(s.gpu) - 1) * 0.95) AS INTEGER) + 1], 1)) AS gpu_ms_p95, any_value(round(s.gpu[len(s.gpu)], 1)) AS gpu_ms_max,
+  round(sum(round(value, 2)), 1) AS gpu_ms_total
 FROM f JOIN s ON f.codec = s.codec GROUP BY f.codec
 """)
 def frame_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = load_bench.frame_durations(event_frames(spark, sf_dir))
     gpu = table(spark, sf_dir, "events").select(F.col("event_type").alias("codec"), F.lit(0).alias("rep"), F.round("value", 2).alias("gpu_ms"))
-    return load_bench.frame_summary(frames, gpu).select("codec", "first_content_ms", "requests_done_ms", "processing_done_ms", "max_pending", "max_processing", "frames", "frame_ms_p50", "frame_ms_p95", "gpu_ms_total")
+    return load_bench.frame_summary(frames, gpu).drop("rep", "gpu_supported")
 
 
 @query("SELECT CAST(sum(event_id % 50) FILTER (event_id > 100 AND event_id <= 5000) AS DOUBLE) AS blocking_ms, count(*) FILTER (event_id % 3 = 0) AS done, count(*) AS total FROM events")
@@ -701,13 +724,12 @@ def xml_texture_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citygml.texture_mapping(cut(read_nodes(nation_documents(spark, sf_dir)), "nodes"))
 
 
-@query("SELECT source || '-' || (doc_id // 500) || '.zip' AS archive, 'd/' || doc_id || '.txt' AS path, strlen(text) AS size FROM documents WHERE text IS NOT NULL")
+@query("SELECT source || '-' || (doc_id // 500) || '.zip' AS archive, 'd/' || doc_id || '.txt' AS path, strlen(coalesce(text, '')) AS size FROM documents")
 def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.sinks.containers import zip_archives
     from tilewright.sources.archives import zip_listing
 
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    rows = docs.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    rows = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     return zip_listing(zip_archives(rows)).select(F.col("path").alias("archive"), F.col("member").alias("path"), "size")
 
 
