@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.plans import cut
+from tilewright.plans import cut, forget
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One step on (a, b) edges: each node's larger (or smaller) neighbours move to its least neighbour."""
+    """One step on (a, b) edges, which are deleted: each node's larger (or smaller) neighbours move to its least neighbour."""
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if not small:
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +25,9 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         moved = met.select(F.col("v").alias("a"), F.col("low").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("low").alias("b")))
     else:
         moved = met.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
-    return cut(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    made = cut(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    forget(edges, least)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
