@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
-A text's words are cut into blocks of 2 x STRIDE words, one every STRIDE words,
-so that any passage of up to STRIDE + 1 words stands whole in a block. A block
+A text's words are cut into blocks of 2 x stride words, one every stride words,
+so that any passage of up to stride + 1 words stands whole in a block; the stride
+is STRIDE, or as long as the longest template needs. A block
 meets a template if it holds at least the template's threshold share of the
 template's distinct words. Templates are few and fixed, so they are sent to the
 tasks with the order of their words by frequency in all documents; blocks are
@@ -156,9 +157,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: list[Template], counts:
 
 def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE) -> DataFrame:
     """One row per input row: id, n_words, matches (label, phrase, template, block, start, containment)."""
-    longest = max(len(words(t.text)) for t in templates)
-    if longest > stride + 1:
-        raise ValueError(f"a template has {longest} words; blocks hold passages of up to {stride + 1}")
+    stride = max(stride, max(len(words(t.text)) for t in templates) - 1)
     kind = docs.schema[id_col].dataType.simpleString()
     made = map_arrow(
         docs.select(id_col, text_col), partial(_scan, templates=templates, counts=word_counts(docs, templates, text_col), stride=stride),
