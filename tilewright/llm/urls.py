@@ -8,7 +8,10 @@ operations whatever the number of rules.
 
 ``*`` stands for any bytes but ``/`` and ``**`` for any bytes; a glob covers the
 whole canonical URL, host (A-Z lower-cased) and then path. Of the base rules
-that fit, the longest decides; where none fits, the method's own globs decide.
+that fit, the longest decides, of equally long ones a block before an allow, and
+else the first by verdict, host and path; where none fits, the method's own globs
+decide. So many URLs step together that states take a bounded memory, whatever
+the number of rules; one very long URL steps on alone.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and is allowed; null ids and repeated rows are kept; an empty table gives an
@@ -31,6 +34,7 @@ from tilewright.plans import map_arrow
 BASE_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: The method's own globs over hosts, for URLs that no base rule fits: advertising, spam and trackers.
 HOST_BLOCKS = ["*cheap-pills*", "*free-bets*", "*spam-farm*", "ads-*", "ads.*", "*.ads-*", "*.ads.*", "*-casino.*", "*.doubleclick.net"]
+STATE_BYTES = 32_000_000
 _PARTS = re.compile(r"(?s).*?://([^/?#]*)([^?#]*)")
 
 
@@ -103,11 +107,13 @@ def _globs(rules: list[tuple[str, str, str]], host_blocks: list[str]) -> tuple[l
     return globs, of
 
 
-def _judge(batches: Iterator[pa.RecordBatch], rules: list[tuple[str, str, str]], host_blocks: list[str], step: int = 4096) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], rules: list[tuple[str, str, str]], host_blocks: list[str]) -> Iterator[pa.RecordBatch]:
+    # Longest first; a block goes before an allow of the same length.
+    rules = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r))
     globs, of = _globs(rules, host_blocks)
     automaton = GlobAutomaton(globs)
-    # Longest first; a block goes before an allow of the same length.
-    ranked = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1] + rules[k][2]), rules[k][0] != "block", rules[k]))
+    step = max(16, min(4096, STATE_BYTES // (8 * automaton.words), STATE_BYTES // max(1, len(globs))))
+    names, verdicts = np.array([None, *(h + p for _, h, p in rules)], object), np.array(["", *(v for v, _, _ in rules)], object)
     for whole in batches:
         for at in range(0, whole.num_rows, step):
             batch = whole.slice(at, step)
@@ -116,15 +122,14 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: list[tuple[str, str, str]],
             fits = np.zeros((len(parts), len(rules) + len(host_blocks)), bool)
             for k, r in enumerate(of):
                 fits[:, r] |= found[:, k]
-            names, verdicts, globbed = [], [], []
-            for row in fits:
-                best = next((k for k in ranked if row[k]), None)
-                own = [host_blocks[k - len(rules)] for k in np.flatnonzero(row[len(rules) :]) + len(rules)]
-                names.append(None if best is None else rules[best][1] + rules[best][2])
-                verdicts.append(rules[best][0] if best is not None else "block" if own else "allow")
-                globbed.append(",".join(own))
+            ruled, own = fits[:, : len(rules)], fits[:, len(rules) :]
+            first = np.where(ruled.any(axis=1), ruled.argmax(axis=1) + 1, 0) if len(rules) else np.zeros(len(parts), int)
+            globbed = [""] * len(parts)
+            for i in np.flatnonzero(own.any(axis=1)):
+                globbed[i] = ",".join(host_blocks[k] for k in np.flatnonzero(own[i]))
+            verdict = np.where(first > 0, verdicts[first], np.where(own.any(axis=1), "block", "allow"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(names, pa.string()), pa.array(verdicts, pa.string()), pa.array(globbed, pa.string())],
+                [batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(names[first], pa.string()), pa.array(verdict, pa.string()), pa.array(globbed, pa.string())],
                 names=["id", "host", "path", "rule", "verdict", "globs"],
             )
 
