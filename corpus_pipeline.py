@@ -3,9 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 rows that its predecessor kept, and its decisions take effect: all but the last
 return the columns of ``documents``. Languages are told row by row, so documents
-pass through that stage as they are; the next three return decisions by id, which
-a merge join with the documents applies at every size: kept ids grow with the
-corpus and are never broadcast. Rows that share an id share its decision.
+pass through that stage as they are; the next three return decisions, which a
+merge join with the documents applies at every size: kept ids grow with the
+corpus and are never broadcast. Both dedup stages decide by id and text, so rows
+that share an id are told apart; in the mix they share the greatest of their
+counts. Null ids are ids like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,14 +19,21 @@ from tilewright.llm import catalog, exact_dedup, langid, mixing, simhash
 from tilewright.plans import cut, ship, table
 
 
-def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts of no language (null, or without a letter); ``lang`` stays the label that came with a document."""
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: frozenset[str] | None = None) -> DataFrame:
+    """Drops texts of no language (null, or without a letter) or of none of ``languages``; unlabelled texts get the one found.
+
+    ``languages`` are those that stay, all that labels name where it is None.
+    Without a label to learn from no language can be told, and only the texts
+    that can have none go.
+    """
     model = langid.fit(langid.training_sample(docs))
-    if model is None:  # no label to learn from, so that no language can be told
+    if model is None:
         ship(spark)
         return docs.where(F.udf(langid.has_letter, "boolean")("text"))
-    said = langid.predict(docs, model, carry=True)
-    return said.where("lang_pred <> 'und'").select("row.*")
+    said = langid.predict(docs, model, carry=True).where("lang_pred <> 'und'").select("row.*", F.col("lang_pred").alias("_said"))
+    if languages is not None:
+        said = said.where(F.col("_said").isin(*languages))
+    return said.select(*(F.coalesce("lang", "_said").alias(c) if c == "lang" else c for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts the document with the smallest id stays."""
-    return _only(docs, simhash.near_dedup(docs).where("doc_id <=> component_id"))
+    """Of linked texts the document with the smallest id stays; of rows that share it, that of the least text mark, once."""
+    text = F.coalesce("text", F.lit(""))
+    # An id can stand for several texts, so a row's name holds a mark of its text; null ids come last.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("mark"), F.length(text).alias("chars"))
+    named = docs.withColumn("_row", row)
+    groups = simhash.near_dedup(named.select("_row", "text"), id_col="_row")
+    kept = cut(groups.where("_row = component_id").groupBy("_row").count(), "near-kept")
+    once, often = kept.where("count = 1").alias("k"), kept.where("count > 1").alias("k")
+    of = lambda ids: named.alias("n").join(ids.hint("merge"), F.col("n._row") == F.col("k._row"), "left_semi")
+    found = of(once)
+    if not often.isEmpty():
+        found = found.unionByName(of(often).dropDuplicates(["_row"]))
+    return found.drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +79,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return catalog.bpe_digest(docs)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose ids are kept; ids are written first, so that the operator's plan ends there."""
-    ids = cut(kept.select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-
 STAGES = [
     ("language ID", keep_language),
     ("exact dedup", drop_copies),
