@@ -52,12 +52,17 @@ def test_glb(spark):
     counts = dict(gltf.read_glb(files).select("path", tiles.feature_count()).collect())
     assert counts["d/a.glb"] == 3 and counts["d/bad.glb"] is None
     images = gltf.with_external_images(gltf.glb_images(files.where("path = 'd/a.glb'")), files)
-    assert {(r.nth, r.name, r.mime, bytes(r.data)) for r in images.collect()} == {(0, "a", "image/png", b"\x89PNGdata"), (1, "texture_1", "image/webp", b"ABC"), (2, "texture_2", "image/jpeg", b"JPEG")}
+    assert {(r.nth, r.name, r.mime, bytes(r.data)) for r in images.collect()} == {
+        (0, "a", "image/png", b"\x89PNGdata"), (1, "texture_1", "image/webp", b"ABC"), (2, "texture_2", "image/jpeg", b"JPEG")
+    }
     assert {r.path for r in containers.image_files(images).collect()} == {"a-a.png", "a-texture_1.webp", "a-texture_2.jpeg"}
     assert {r.path for r in containers.image_files(images, by_mime=True).collect()} == {"a.png", "texture_1.webp", "texture_2.jpg"}
     assert [r.b64 for r in reports.image_payloads(images.where("nth = 1")).collect()] == ["QUJD"]
     props = gltf.glb_properties(files.where("path = 'd/a.glb'"))
-    assert {(r.feature_id, r.property, r.value) for r in props.collect()} == {(0, "feature_type", "wall"), (1, "feature_type", "roof"), (2, "feature_type", "wall"), (0, "height", "1.5"), (1, "height", "2.5"), (2, "height", "-1.0")}
+    assert {(r.feature_id, r.property, r.value) for r in props.collect()} == {
+        (0, "feature_type", "wall"), (1, "feature_type", "roof"), (2, "feature_type", "wall"), (0, "height", "1.5"), (1, "height", "2.5"),
+        (2, "height", "-1.0")
+    }
     assert models.pooled_tables(props).count() == 0
 
     masked = models.mask_features(gltf.glb_feature_ids(files.where("path = 'd/a.glb'")), models.excluded_ids(props, ["roof"]))
@@ -65,7 +70,10 @@ def test_glb(spark):
     written = containers.masked_glbs(gltf.read_glb(files.where("path = 'd/a.glb'")), masked)
     again = gltf.glb_feature_ids(written).orderBy("vertex").collect()
     assert [r.feature_id for r in again] == [0, 65535, 2, 65535]
-    unchanged = containers.masked_glbs(gltf.read_glb(files.where("path = 'd/a.glb'")), models.mask_features(gltf.glb_feature_ids(files.where("path = 'd/a.glb'")), models.excluded_ids(props, ["none"])))
+    unchanged = containers.masked_glbs(
+        gltf.read_glb(files.where("path = 'd/a.glb'")),
+        models.mask_features(gltf.glb_feature_ids(files.where("path = 'd/a.glb'")), models.excluded_ids(props, ["none"]))
+    )
     assert bytes(unchanged.first().content) == good
     replaced = gltf.read_glb(files.where("path = 'd/a.glb'")).withColumn("json", F.lit('{"x": 1}'))
     new = gltf.chunks(bytes(containers.write_glb(replaced).first().content))
@@ -122,11 +130,24 @@ def test_walk(spark, tmp_path):
     root = make_subtree({"bufferViews": [{"byteOffset": 0, "byteLength": 1}, {"byteOffset": 8, "byteLength": 1}, {"byteOffset": 16, "byteLength": 2}], "tileAvailability": {"constant": 1}, "contentAvailability": [{"bitstream": 0}, {"bitstream": 1}], "childSubtreeAvailability": {"bitstream": 2}},
                         bytes([0b00011]) + b"\0" * 7 + bytes([0b00010]) + b"\0" * 7 + bytes([0b10000010, 0]))
     leaf = make_subtree({"bufferViews": [], "tileAvailability": {"constant": 1}, "contentAvailability": [{"constant": 1}, {"constant": 0}]})
-    (tmp_path / "tileset.json").write_text(json.dumps({"root": {"boundingVolume": {"region": [0.0, 0.0, 0.4, 0.4, -1, 9]}, "contents": [{"uri": "c/{level}/{x}/{y}.glb"}, {"uri": "d/{level}/{x}/{y}.glb"}], "implicitTiling": {"subtreeLevels": 2, "subtrees": {"uri": "s/{level}.{x}.{y}.subtree"}}}}))
+    (tmp_path / "tileset.json").write_text(
+        json.dumps(
+            {
+                "root": {
+                    "boundingVolume": {"region": [0.0, 0.0, 0.4, 0.4, -1, 9]},
+                    "contents": [{"uri": "c/{level}/{x}/{y}.glb"}, {"uri": "d/{level}/{x}/{y}.glb"}],
+                    "implicitTiling": {"subtreeLevels": 2, "subtrees": {"uri": "s/{level}.{x}.{y}.subtree"}}
+                }
+            }
+        )
+    )
     subtrees = tilesets.read_subtrees(contents(spark, {"/t/s/0.0.0.subtree": root, "/t/s/2.1.0.subtree": leaf}))
     spec = tilesets.read_tileset(spark, str(tmp_path / "tileset.json"))
     assert spec.first()["content_uris"] == ["c/{level}/{x}/{y}.glb", "d/{level}/{x}/{y}.glb"]
-    listing = spark.createDataFrame([("/t/c/0/0/0.glb", 10, 3), ("/t/c/1/0/0.glb", 20, None), ("/t/d/1/0/0.glb", 5, 2), ("/t/c/2/1/0.glb", 7, 1)], "path string, size long, features long")
+    listing = spark.createDataFrame(
+        [("/t/c/0/0/0.glb", 10, 3), ("/t/c/1/0/0.glb", 20, None), ("/t/d/1/0/0.glb", 5, 2), ("/t/c/2/1/0.glb", 7, 1)],
+        "path string, size long, features long"
+    )
     found, warnings = tiles.walk_tileset(spec, subtrees, listing, "/t")
     assert {(r.level, r.x, r.y, r.slot, r.size, r.features) for r in found.collect()} == {(0, 0, 0, 0, 10, 3), (1, 0, 0, 0, 20, None), (1, 0, 0, 1, 5, 2), (2, 1, 0, 0, 7, 1)}
     west = {(r.level, r.x): round(r.region.west, 6) for r in found.collect()}
@@ -172,8 +193,14 @@ def make_tile():
     hole = [(2, 2), (2, 4), (4, 4), (4, 2)]
     shape = lambda ring: [(1, ring[:1]), (2, ring[1:]), (7, [None])]
     far = [(x + 50, y) for x, y in square]
-    geometries = [(3, commands(*shape(square), *shape(hole))), (3, commands(*shape(square), *shape(far))), (2, commands((1, [(1, 1)]), (2, [(3, 4)]))), (1, commands((1, [(5, 6)]))), (1, commands((1, [(5, 6), (7, 8)]))), (2, commands((1, [(1, 1)]))), (1, None)]
-    out = field(1, b"layer") + b"".join(field(2, field(2, varint(0) + varint(0)) * (k == 0) + field(3, kind) + (field(4, geo) if geo is not None else b"")) for k, (kind, geo) in enumerate(geometries))
+    geometries = [
+        (3, commands(*shape(square), *shape(hole))), (3, commands(*shape(square), *shape(far))), (2, commands((1, [(1, 1)]), (2, [(3, 4)]))),
+        (1, commands((1, [(5, 6)]))), (1, commands((1, [(5, 6), (7, 8)]))), (2, commands((1, [(1, 1)]))), (1, None)
+    ]
+    out = field(1, b"layer") + b"".join(
+        field(2, field(2, varint(0) + varint(0)) * (k == 0) + field(3, kind) + (field(4, geo) if geo is not None else b"")) for k,
+        (kind, geo) in enumerate(geometries)
+    )
     out += field(3, b"gml_id") + field(4, field(1, b"id1")) + field(5, 4096)
     return field(3, out)
 
@@ -215,7 +242,10 @@ def test_raster(spark):
     assert rasters.same_shape(truth, flow)
     pixels = rasters.diff_pixels(truth, flow, 2.0)
     got = {(r.y, r.x): (r.kind, r.red, r.green, r.blue) for r in pixels.collect()}
-    assert got == {(0, 0): ("both", 0, 63, 0), (0, 1): ("only_flow", 0, 255, 0), (0, 2): ("only_truth", 255, 0, 0), (1, 0): ("neither", 0, 0, 0), (1, 1): ("both", 127, 0, 0), (1, 2): ("both", 0, 0, 0)}
+    assert got == {
+        (0, 0): ("both", 0, 63, 0), (0, 1): ("only_flow", 0, 255, 0), (0, 2): ("only_truth", 255, 0, 0), (1, 0): ("neither", 0, 0, 0),
+        (1, 1): ("both", 127, 0, 0), (1, 2): ("both", 0, 0, 0)
+    }
     s = rasters.diff_summary(pixels).first()
     assert (s.both, s.only_truth, s.only_flow, s.max_abs_diff) == (3, 1, 1, 1.0)
     picture = containers.diff_pictures(pixels.withColumn("path", F.lit("d.png"))).first()
@@ -344,9 +374,14 @@ def test_zip(spark, tmp_path):
 
 
 def test_logs(spark, tmp_path):
-    (tmp_path / "log.txt").write_text("2024-05-02T10:00:00+09:00 refs/remotes/origin/dev\nsrc/a.py\nhyphen-ated name.txt\n\n2024-05-01T10:00:00+09:00 refs/remotes/origin/main\nsrc/a.py\n2024-04-01T10:00:00+09:00 refs/remotes/origin/dev\nsrc/a.py\n")
+    (tmp_path / "log.txt").write_text(
+        "2024-05-02T10:00:00+09:00 refs/remotes/origin/dev\nsrc/a.py\nhyphen-ated name.txt\n\n2024-05-01T10:00:00+09:00 refs/remotes/origin/main\nsrc/a.py\n2024-04-01T10:00:00+09:00 refs/remotes/origin/dev\nsrc/a.py\n"
+    )
     rows = text_logs.log_rows(text_logs.numbered_lines(spark, str(tmp_path / "log.txt")))
-    assert [tuple(r) for r in repositories.recent_files(rows).collect()] == [("2024-05-01T10:00:00+09:00", "main", "src/a.py"), ("2024-05-02T10:00:00+09:00", "dev", "hyphen-ated name.txt"), ("2024-05-02T10:00:00+09:00", "dev", "src/a.py")]
+    assert [tuple(r) for r in repositories.recent_files(rows).collect()] == [
+        ("2024-05-01T10:00:00+09:00", "main", "src/a.py"), ("2024-05-02T10:00:00+09:00", "dev", "hyphen-ated name.txt"),
+        ("2024-05-02T10:00:00+09:00", "dev", "src/a.py")
+    ]
     (tmp_path / "tree.txt").write_text("100644 blob aa 10\tx y\n040000 tree bb -\td\n100644 blob cc 5\tz\n")
     tree = text_logs.tree_rows(text_logs.numbered_lines(spark, str(tmp_path / "tree.txt")))
     assert repositories.tree_size(tree).first()["size"] == 15 and {r.file for r in tree.collect()} == {"x y", "d", "z"}
@@ -389,7 +424,9 @@ def test_boxes_meet_over_cells(spark):
     extents = [(i, [*p, *(p + s)]) for i, (p, s) in enumerate(zip(at, size, strict=True))]
     boxes = [(j, [*p, *(p + s)]) for j, (p, s) in enumerate(zip(rng.uniform(-60, 60, (25, 2)), rng.uniform(0, 12, (25, 2)), strict=True))] + [(25, [0.0, 0.0, 0.0, 0.0])]
     rows = spark.createDataFrame([(i, [float(x) for x in e], i % 5 > 0) for i, e in extents], "id long, extent array<double>, visible boolean")
-    got = sorted((r.id, r.sel) for r in vector_tiles.select_box(rows, spark.createDataFrame([(j, [float(x) for x in b]) for j, b in boxes], "sel long, box array<double>")).collect())
+    got = sorted(
+        (r.id, r.sel) for r in vector_tiles.select_box(rows, spark.createDataFrame([(j, [float(x) for x in b]) for j, b in boxes], "sel long, box array<double>")).collect()
+    )
     assert got == sorted((i, j) for i, e in extents for j, b in boxes if i % 5 and e[0] <= b[2] and e[2] >= b[0] and e[1] <= b[3] and e[3] >= b[1])
     assert vector_tiles.select_box(rows, spark.createDataFrame([], "sel long, box array<double>")).count() == 0
 
@@ -397,7 +434,9 @@ def test_boxes_meet_over_cells(spark):
 def test_feature_store(spark, tmp_path):
     store = tmp_path / "store"
     store.mkdir()
-    (store / "g.n.port.jsonl").write_text('{"attributes":{"gml_id":"i","lod":0},"pos":[1,2,3],"list":[1,2,3,4,5,6]}\n\n{"attributes":{"lod":"2"},"metadata":{"featureType":"t"},"exterior":[{"x":1,"y":2}]}\n')
+    (store / "g.n.port.jsonl").write_text(
+        '{"attributes":{"gml_id":"i","lod":0},"pos":[1,2,3],"list":[1,2,3,4,5,6]}\n\n{"attributes":{"lod":"2"},"metadata":{"featureType":"t"},"exterior":[{"x":1,"y":2}]}\n'
+    )
     (store / "empty.jsonl").write_text("\n")
     lines = text_logs.feature_lines(text_logs.numbered_lines(spark, str(store), "*.jsonl"))
     index = features.port_index(lines).collect()
@@ -418,7 +457,10 @@ def test_dependencies(spark, tmp_path):
     texts = spark.read.text(str(tmp_path / "c.toml"), wholetext=True).select(F.lit("c.toml").alias("path"), "value")
     blocks = text_logs.dependency_blocks(texts)
     branch = repositories.rewrite_dependencies(blocks, "https://h/x", "new")
-    assert {r.name: r.rewritten for r in branch.collect()} == {"a": 'a = { git = "https://h/x", features = ["p", "q"], optional = true, branch = "new" }', "c": 'c = { git = "https://h/x", branch = "old" }', "d": None}
+    assert {r.name: r.rewritten for r in branch.collect()} == {
+        "a": 'a = { git = "https://h/x", features = ["p", "q"], optional = true, branch = "new" }',
+        "c": 'c = { git = "https://h/x", branch = "old" }', "d": None
+    }
     local = repositories.apply_rewrites(texts, repositories.rewrite_dependencies(blocks, "https://h/x", local_root="../lib")).first()["value"]
     assert local == 'a = { features = ["p", "q"], optional = true, path = "../lib/a" }\nb = "1"\nc = { path = "../lib/c" }\nd = { git = "https://other" }\n'
 
@@ -455,7 +497,9 @@ def test_reports(spark):
     assert sum(r.rows for r in pages) == 25 and max(r.rows for r in pages) == 4 and b"t&lt;" in bytes(pages[0].content)
     said = [int(x) for r in pages for x in re.findall(rb"<td>(\d+)</td>", bytes(r.content))]
     assert said == [*range(25)]
-    toml = spark.createDataFrame([("c", "m", 1.0)], "codec string, metric string, mean double").withColumns({"n": F.lit(1), "std": F.lit(0.0), "min": F.lit(1.0), "max": F.lit(1.0)})
+    toml = spark.createDataFrame([("c", "m", 1.0)], "codec string, metric string, mean double").withColumns(
+        {"n": F.lit(1), "std": F.lit(0.0), "min": F.lit(1.0), "max": F.lit(1.0)}
+    )
     assert json.loads(reports.bench_json(toml).first()["value"]) == {"codec": "c", "metrics": {"m": {"n": 1, "mean": 1.0, "std": 0.0, "min": 1.0, "max": 1.0}}}
     page = reports.html_report("t<", {"x": spark.range(2)}, {"k": "</script>"})
     assert "t&lt;" in page and "</script>" in page and "<\\/script>" in page
@@ -467,13 +511,24 @@ def test_reports(spark):
 def test_small_functions(spark):
     from tilewright.functions import text
 
-    images = {"a.png": write_png(np.zeros((2, 3, 4))), "b.jpg": b"\xff\xd8\xff\xe0\x00\x04zz\xff\xc0\x00\x11\x08\x00\x05\x00\x07\x03", "c.ktx2": b"\xabKTX 20\xbb\r\n\x1a\n" + b"\0" * 8 + struct.pack("<II", 9, 8), "d.webp": b"RIFF\0\0\0\0WEBPVP8X\0\0\0\0\0\0\0\0\x03\0\0\x04\0\0", "e": b"?"}
-    assert {r.path: (r.width, r.height) for r in image_headers(contents(spark, images)).collect()} == {"a.png": (3, 2), "b.jpg": (7, 5), "c.ktx2": (9, 8), "d.webp": (4, 5), "e": (None, None)}
+    images = {
+        "a.png": write_png(np.zeros((2, 3, 4))), "b.jpg": b"\xff\xd8\xff\xe0\x00\x04zz\xff\xc0\x00\x11\x08\x00\x05\x00\x07\x03",
+        "c.ktx2": b"\xabKTX 20\xbb\r\n\x1a\n" + b"\0" * 8 + struct.pack("<II", 9, 8),
+        "d.webp": b"RIFF\0\0\0\0WEBPVP8X\0\0\0\0\0\0\0\0\x03\0\0\x04\0\0", "e": b"?"
+    }
+    assert {r.path: (r.width, r.height) for r in image_headers(contents(spark, images)).collect()} == {
+        "a.png": (3, 2), "b.jpg": (7, 5), "c.ktx2": (9, 8), "d.webp": (4, 5), "e": (None, None)
+    }
     df = spark.createDataFrame([('{"a":[1,{"b":"x"}],"c":{}}',), ("no",)], "feature string")
     assert [(r.path, r.value) for r in features.flattened(df).orderBy("nth").collect()] == [(".a[0]", "1"), (".a[1].b", '"x"'), (".c", "{}")]
     one = spark.range(1)
     point = one.select(vector_tiles.to_tile_space(F.expr("array(array(0D, 0D), array(-20037508.342789244D, 10018754.171394622D))"), F.lit(1), 1)).first()[0]
     assert point == [[0.0, 1.0], [0.0, 0.5]]
-    row = one.select(text.log_hue(F.lit(9), F.lit(0), F.lit(99)), text.legend(F.lit(0), F.lit(99)), text.hsv_rgb(F.lit(1 / 3), F.lit(1.0), F.lit(1.0)), text.kib(F.lit(1536)), text.bytes_short(F.lit(3 << 30)), text.bytes_text(F.lit(-2048)), text.stamp(F.expr("TIMESTAMP '2024-01-02 03:04:05'"))).first()
+    row = one.select(
+        text.log_hue(F.lit(9), F.lit(0), F.lit(99)), text.legend(F.lit(0), F.lit(99)), text.hsv_rgb(F.lit(1 / 3), F.lit(1.0), F.lit(1.0)),
+        text.kib(F.lit(1536)), text.bytes_short(F.lit(3 << 30)), text.bytes_text(F.lit(-2048)), text.stamp(F.expr("TIMESTAMP '2024-01-02 03:04:05'"))
+    ).first()
     assert round(row[0], 6) == 120 and [round(v, 3) for v in row[1]] == [0.0, 2.162, 9.0, 30.623, 99.0] and row[2] == [0, 255, 0] and list(row)[3:] == ["1.5 KiB", "3.0 GB", "-2.00KB", "2024-01-02 03:04:05"]
-    assert [r[0] for r in spark.createDataFrame([('{"a":{"b":[7]},"z":0}',)], "j string").select(text.dot_get(F.col("j"), ".a.b[0]")).union(spark.createDataFrame([("",)], "j string")).collect()] == ["7", ""]
+    assert [
+        r[0] for r in spark.createDataFrame([('{"a":{"b":[7]},"z":0}',)], "j string").select(text.dot_get(F.col("j"), ".a.b[0]")).union(spark.createDataFrame([("",)], "j string")).collect()
+    ] == ["7", ""]

@@ -42,7 +42,11 @@ def test_idle_times_out_without_frames(spark, tmp_path):
 
 
 def test_timers(spark, tmp_path):
-    spark.sql("SELECT query, t, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,query) AS at FROM VALUES (1, 10.4D), (2, 20.6D) AS v(query, t)").write.parquet(str(tmp_path / "s"))
-    spark.sql("SELECT query, ns, query = 2 AS disjoint, TIMESTAMP '2024-01-01 00:01:00' AS at FROM VALUES (1, 1500000L), (2, 3L) AS v(query, ns)").write.parquet(str(tmp_path / "e"))
+    spark.sql(
+        "SELECT query, t, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,query) AS at FROM VALUES (1, 10.4D), (2, 20.6D) AS v(query, t)"
+    ).write.parquet(str(tmp_path / "s"))
+    spark.sql(
+        "SELECT query, ns, query = 2 AS disjoint, TIMESTAMP '2024-01-01 00:01:00' AS at FROM VALUES (1, 1500000L), (2, 3L) AS v(query, ns)"
+    ).write.parquet(str(tmp_path / "e"))
     read = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
     assert [tuple(r) for r in run(samples.timer_results(read("s"), read("e")), "timers")] == [(1, 10.0, 1.5)]

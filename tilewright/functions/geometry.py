@@ -76,6 +76,9 @@ def camera_toml(name: Column, position: Column, direction: Column, up: Column, f
     fixed = lambda v, n: F.format_string(f"%.{n}f", v)
     vector = lambda v: F.concat(F.lit("["), fixed(v[0], 3), F.lit(", "), fixed(v[1], 3), F.lit(", "), fixed(v[2], 3), F.lit("]"))
     # The table's keys in order, and the decimals of their numbers.
-    rows = [("position", vector(position)), ("look_at", vector(target)), ("up", vector(up)), ("fov_y_deg", fixed(F.degrees(fov_y), 2)), ("near", fixed(F.greatest(F.lit(0.1), distance * 0.01), 2)), ("far", fixed(distance * 10, 2))]
+    rows = [
+        ("position", vector(position)), ("look_at", vector(target)), ("up", vector(up)), ("fov_y_deg", fixed(F.degrees(fov_y), 2)),
+        ("near", fixed(F.greatest(F.lit(0.1), distance * 0.01), 2)), ("far", fixed(distance * 10, 2))
+    ]
     lines = [F.concat(F.lit(f"[{table}."), name, F.lit("]"))] + [F.concat(F.lit(f"{k} = "), v) for k, v in rows]
     return F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n"))

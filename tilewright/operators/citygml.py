@@ -47,7 +47,10 @@ def texture_targets(nodes: DataFrame) -> DataFrame:
     image = nodes.where("local = 'imageURI'").groupBy("path", "parent_pre").agg(F.min_by("text", "pre").alias("texture"))
     named = textures.join(image.withColumnsRenamed({"path": "_p", "parent_pre": "_pre"}), (F.col("path") == F.col("_p")) & (F.col("pre") == F.col("_pre"))).drop("_p", "_pre")
     pairs = below(named, nodes.where("local = 'target'"))
-    return pairs.select(F.col("a.path").alias("path"), reference(F.col("d.attrs")["uri"]).alias("polygon"), F.col("a.texture").alias("texture"), F.col("d.pre").alias("at")).where("polygon IS NOT NULL")
+    return pairs.select(
+        F.col("a.path").alias("path"), reference(F.col("d.attrs")["uri"]).alias("polygon"), F.col("a.texture").alias("texture"),
+        F.col("d.pre").alias("at")
+    ).where("polygon IS NOT NULL")
 
 
 def textured_elements(nodes: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -55,7 +58,9 @@ def textured_elements(nodes: DataFrame, polygons: DataFrame) -> DataFrame:
 
     Of elements that share an id the last in document order stands for it.
     """
-    own = nodes.where("local = 'Polygon' AND gml_id IS NOT NULL").join(polygons.select(F.col("path").alias("_p"), "polygon"), (F.col("path") == F.col("_p")) & (F.col("gml_id") == F.col("polygon")), "left_semi")
+    own = nodes.where("local = 'Polygon' AND gml_id IS NOT NULL").join(
+        polygons.select(F.col("path").alias("_p"), "polygon"), (F.col("path") == F.col("_p")) & (F.col("gml_id") == F.col("polygon")), "left_semi"
+    )
     found = below(nodes.where("gml_id IS NOT NULL"), own)
     per_id = found.groupBy(F.col("a.path").alias("path"), F.col("a.gml_id").alias("gml_id")).agg(F.countDistinct("d.gml_id").alias("polygons"))
     place = nodes.where("gml_id IS NOT NULL").groupBy("path", "gml_id").agg(F.max(F.struct("pre", "last", "local")).alias("at"))
@@ -95,7 +100,9 @@ def textured_features(nodes: DataFrame, target_from: str = "text", strict: bool
 def lod_polygons(nodes: DataFrame, widen: bool = False) -> DataFrame:
     """(path, object, lod, polygon) of direct ``lodNGeometry`` children; ``widen`` takes all ``lodN...`` children."""
     tail = r"^lod([0-4])\w*$" if widen else r"^lod([0-4])Geometry$"
-    objects = nodes.where(F.col("local").isin(OBJECT_TYPES) & F.col("gml_id").isNotNull()).select(F.col("path").alias("_p"), F.col("pre").alias("_o"), F.col("gml_id").alias("object"))
+    objects = nodes.where(F.col("local").isin(OBJECT_TYPES) & F.col("gml_id").isNotNull()).select(
+        F.col("path").alias("_p"), F.col("pre").alias("_o"), F.col("gml_id").alias("object")
+    )
     lods = nodes.where(F.col("local").rlike(tail)).join(objects, (F.col("path") == F.col("_p")) & (F.col("parent_pre") == F.col("_o")))
     found = below(lods.withColumn("lod", F.concat(F.lit("LOD"), F.regexp_extract("local", tail, 1))), nodes.where("local = 'Polygon' AND gml_id IS NOT NULL"))
     return found.select(F.col("a.path").alias("path"), F.col("a.object").alias("object"), F.col("a.lod").alias("lod"), F.col("d.gml_id").alias("polygon")).distinct()
@@ -118,10 +125,15 @@ def texture_mapping(nodes: DataFrame, widen: bool = False) -> DataFrame:
 def rings(nodes: DataFrame) -> DataFrame:
     """(path, polygon, ring, vertices): the first exterior and all interior rings of polygons with ids."""
     polygons = nodes.where("local = 'Polygon' AND gml_id IS NOT NULL")
-    bounds = below(polygons, nodes.where("local IN ('exterior', 'interior')")).select("a.path", F.col("a.pre").alias("p_pre"), F.col("a.gml_id").alias("polygon"), F.col("d.pre").alias("pre"), F.col("d.last").alias("last"), F.col("d.local").alias("kind"))
+    bounds = below(polygons, nodes.where("local IN ('exterior', 'interior')")).select(
+        "a.path", F.col("a.pre").alias("p_pre"), F.col("a.gml_id").alias("polygon"), F.col("d.pre").alias("pre"), F.col("d.last").alias("last"),
+        F.col("d.local").alias("kind")
+    )
     first = bounds.where("kind = 'exterior'").groupBy("path", "p_pre").agg(F.min("pre").alias("first"))
     kept = bounds.join(first, ["path", "p_pre"], "left").where("kind = 'interior' OR pre = first")
-    ring = below(kept, nodes.where("local = 'LinearRing'")).groupBy(F.col("a.path").alias("path"), F.col("a.polygon").alias("polygon"), F.col("a.pre").alias("b_pre")).agg(F.min_by(F.struct("d.pre", "d.gml_id"), "d.pre").alias("r"))
+    ring = below(kept, nodes.where("local = 'LinearRing'")).groupBy(
+        F.col("a.path").alias("path"), F.col("a.polygon").alias("polygon"), F.col("a.pre").alias("b_pre")
+    ).agg(F.min_by(F.struct("d.pre", "d.gml_id"), "d.pre").alias("r"))
     points = nodes.where("local = 'posList' AND text IS NOT NULL").groupBy("path", "parent_pre").agg(F.min_by("text", "pre").alias("points"))
     counted = ring.join(points.withColumnsRenamed({"path": "_p", "parent_pre": "_r"}), (F.col("path") == F.col("_p")) & (F.col("r.pre") == F.col("_r")))
     vertices = F.floor(F.size(floats(F.col("points"))) / 3).cast("int")
@@ -133,7 +145,9 @@ def texture_coordinates(nodes: DataFrame) -> DataFrame:
     said = F.trim("text")
     target = F.coalesce(F.nullif(F.col("attrs")["uri"], F.lit("")), F.when(said.startswith("#"), said))
     targets = nodes.where("local = 'target'").withColumn("target", target).where("target IS NOT NULL")
-    lists = below(targets, nodes.where("local = 'TexCoordList'")).groupBy(F.col("a.path").alias("_p"), F.col("a.pre").alias("_t"), F.col("a.target").alias("target")).agg(F.min("d.pre").alias("_list"))
+    lists = below(targets, nodes.where("local = 'TexCoordList'")).groupBy(
+        F.col("a.path").alias("_p"), F.col("a.pre").alias("_t"), F.col("a.target").alias("target")
+    ).agg(F.min("d.pre").alias("_list"))
     coords = nodes.where("local = 'textureCoordinates' AND text IS NOT NULL").withColumn("ring", F.nullif(F.col("attrs")["ring"], F.lit(""))).where("ring IS NOT NULL")
     met = coords.join(lists, (F.col("path") == F.col("_p")) & (F.col("parent_pre") == F.col("_list")))
     return met.select("path", "target", "ring", F.floor(F.size(floats(F.col("text"))) / 2).cast("int").alias("uv_pairs"), F.col("pre").alias("at"))
@@ -163,16 +177,25 @@ def alignment_findings(nodes: DataFrame) -> DataFrame:
     coords = texture_coordinates(nodes).withColumns({"target": reference(F.col("target"), "strip"), "ring": reference(F.col("ring"), "strip")})
     polygons = nodes.where("local LIKE '%Polygon' AND gml_id IS NOT NULL").select("path", F.col("gml_id").alias("polygon"))
     rows = classify_alignment(coords, polygons, rings(nodes), ["path"])
-    broken = nodes.where("error IS NOT NULL").selectExpr("path", "CAST(NULL AS STRING) AS target", "error AS ring", "CAST(NULL AS INT) AS uv_pairs", "CAST(NULL AS INT) AS at", "CAST(NULL AS INT) AS vertices", "'parse_error' AS finding")
+    broken = nodes.where("error IS NOT NULL").selectExpr(
+        "path", "CAST(NULL AS STRING) AS target", "error AS ring", "CAST(NULL AS INT) AS uv_pairs", "CAST(NULL AS INT) AS at",
+        "CAST(NULL AS INT) AS vertices", "'parse_error' AS finding"
+    )
     return rows.unionByName(broken)
 
 
 def alignment_totals(findings: DataFrame, polygons: DataFrame) -> DataFrame:
     """Polygons, textures, errors and warnings per file, and over all files (path null); warnings are a severity that no rule uses."""
-    found = findings.select("path", F.lit(0).alias("polygon"), (F.col("finding") != "parse_error").cast("int").alias("texture"), (F.col("finding") != "ok").cast("int").alias("error"))
+    found = findings.select(
+        "path", F.lit(0).alias("polygon"), (F.col("finding") != "parse_error").cast("int").alias("texture"),
+        (F.col("finding") != "ok").cast("int").alias("error")
+    )
     counted = polygons.select("path", "polygon").distinct().select("path", F.lit(1).alias("polygon"), F.lit(0).alias("texture"), F.lit(0).alias("error"))
     total = lambda c: F.sum(c).cast("long")
-    return found.unionByName(counted).rollup("path").agg(total("polygon").alias("polygons"), total("texture").alias("textures"), total("error").alias("errors"), F.lit(0).cast("long").alias("warnings"))
+    return found.unionByName(counted).rollup("path").agg(
+        total("polygon").alias("polygons"), total("texture").alias("textures"), total("error").alias("errors"),
+        F.lit(0).cast("long").alias("warnings")
+    )
 
 
 def alignment_summary(nodes: DataFrame) -> DataFrame:
@@ -209,9 +232,13 @@ def keep_objects(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     touched = first.select("path", "m_pre").distinct().join(whole, ["path", "m_pre"], "left")
     state = cut(inside.join(touched, ["path", "m_pre"]), "touched")
     partly = state.where("whole IS NULL")
-    on_path = below(partly.select("path", "pre", "last", "m_pre"), first.select("path", "pre", "last")).select("a.path", "a.pre").unionByName(first.select("path", "pre")).distinct().withColumn("on_path", F.lit(True))
+    on_path = below(
+        partly.select("path", "pre", "last", "m_pre"), first.select("path", "pre", "last")
+    ).select("a.path", "a.pre").unionByName(first.select("path", "pre")).distinct().withColumn("on_path", F.lit(True))
     subs = partly.where(is_subfeature())
-    holds = below(partly.select("path", "pre", "last"), subs.select("path", "pre", "last")).select("a.path", "a.pre").unionByName(subs.select("path", "pre")).distinct().withColumn("holds", F.lit(True))
+    holds = below(
+        partly.select("path", "pre", "last"), subs.select("path", "pre", "last")
+    ).select("a.path", "a.pre").unionByName(subs.select("path", "pre")).distinct().withColumn("holds", F.lit(True))
     marked = partly.join(on_path, ["path", "pre"], "left").join(holds, ["path", "pre"], "left")
     cut_roots = cut(marked.where("on_path IS NULL AND holds").select("path", "pre", "last"), "off-path")
     gone = below(cut_roots, partly.select("path", "pre", "last")).select("d.path", "d.pre").unionByName(cut_roots.select("path", "pre")).distinct()
@@ -234,7 +261,13 @@ def keep_appearances(kept: DataFrame) -> DataFrame:
     ids = below(objects, kept.where("gml_id IS NOT NULL")).select(F.col("d.path").alias("_p"), F.col("d.gml_id").alias("_id")).distinct()
     ref = reference(F.coalesce(F.col("attrs")["uri"], F.trim("text")), "prefix")
     surfaces = below(kept.where("local = 'surfaceDataMember'"), kept.where("local = 'target'"))
-    targets = cut(surfaces.select(F.col("d.path").alias("path"), F.col("a.pre").alias("s_pre"), F.col("d.pre").alias("pre"), F.col("d.last").alias("last"), F.col("d.attrs").alias("attrs"), F.col("d.text").alias("text")).withColumn("ref", ref), "targets")
+    targets = cut(
+        surfaces.select(
+            F.col("d.path").alias("path"), F.col("a.pre").alias("s_pre"), F.col("d.pre").alias("pre"), F.col("d.last").alias("last"),
+            F.col("d.attrs").alias("attrs"), F.col("d.text").alias("text")
+        ).withColumn("ref", ref),
+        "targets"
+    )
     good = cut(targets.join(ids, (F.col("path") == F.col("_p")) & (F.col("ref") == F.col("_id")), "left_semi"), "kept-targets")
     bad = targets.join(good.select("path", "pre"), ["path", "pre"], "left_anti").select("path", "pre", "last")
     members = kept.where("local = 'surfaceDataMember'")

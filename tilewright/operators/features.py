@@ -156,4 +156,6 @@ def flattened(features: DataFrame, col: str = "feature") -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"path": p, "value": v} for p, v in one(t)])
 
-    return features.withColumn("_leaves", run(col)).select(*features.columns, F.posexplode("_leaves").alias("nth", "_leaf")).select(*features.columns, "nth", "_leaf.path", "_leaf.value")
+    return features.withColumn("_leaves", run(col)).select(
+        *features.columns, F.posexplode("_leaves").alias("nth", "_leaf")
+    ).select(*features.columns, "nth", "_leaf.path", "_leaf.value")

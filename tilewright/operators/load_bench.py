@@ -26,10 +26,20 @@ def peak_concurrency(spans: DataFrame, by: list[str], start: str, end: str, bins
     Starts and ends are counted per instant, and instants summed within and over
     ``bins`` stretches of a group's time, so that no task sorts a whole group.
     """
-    events = spans.select(*by, F.inline(F.array(F.struct(F.col(start).cast("double").alias("_t"), F.lit(1).alias("_up"), F.lit(0).alias("_down")), F.struct(F.col(end).cast("double").alias("_t"), F.lit(0).alias("_up"), F.lit(1).alias("_down")))))
+    events = spans.select(
+        *by,
+        F.inline(
+            F.array(
+                F.struct(F.col(start).cast("double").alias("_t"), F.lit(1).alias("_up"), F.lit(0).alias("_down")),
+                F.struct(F.col(end).cast("double").alias("_t"), F.lit(0).alias("_up"), F.lit(1).alias("_down"))
+            )
+        )
+    )
     instants = events.groupBy(*by, "_t").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
     span = instants.groupBy(*by).agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))
-    binned = instants.join(span, by).withColumn("_bin", F.when(F.col("_b") > F.col("_a"), F.floor((F.col("_t") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)).otherwise(0)).drop("_a", "_b")
+    binned = instants.join(span, by).withColumn(
+        "_bin", F.when(F.col("_b") > F.col("_a"), F.floor((F.col("_t") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)).otherwise(0)
+    ).drop("_a", "_b")
     sums = binned.groupBy(*by, "_bin").agg(F.sum(F.col("_up") - F.col("_down")).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.withColumn("_carried", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")

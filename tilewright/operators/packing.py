@@ -61,7 +61,11 @@ def upgradable(listing: DataFrame) -> DataFrame:
     """Tilesets whose folder holds models in the old container, at any depth."""
     folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
     sets = listing.where("path LIKE '%/tileset.json'").withColumn("_dir", folder)
-    old = listing.where("path LIKE '%.b3dm'").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"), F.lit("/")))).alias("_up")).distinct()
+    old = listing.where("path LIKE '%.b3dm'").select(
+        F.explode(
+            F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"), F.lit("/")))
+        ).alias("_up")
+    ).distinct()
     return sets.join(old, F.col("_dir") == F.col("_up"), "left_semi").drop("_dir")
 
 

@@ -47,7 +47,13 @@ def walk_tileset(tileset: DataFrame, subtrees: DataFrame, listing: DataFrame, ba
         )
         template = F.element_at(F.array(*(F.lit(t) for t in templates)), F.col("slot") + 1)
         content.append(placed.withColumn("uri", uri(template, F.col("level"), F.col("x"), F.col("y"))))
-        frontier = cut(_available(found, "child", leaf).select((F.col("root_level") + levels).alias("root_level"), child(F.col("root_x"), F.lit(levels), F.col("rx")).alias("root_x"), child(F.col("root_y"), F.lit(levels), F.col("ry")).alias("root_y")), "frontier")
+        frontier = cut(
+            _available(found, "child", leaf).select(
+                (F.col("root_level") + levels).alias("root_level"), child(F.col("root_x"), F.lit(levels), F.col("rx")).alias("root_x"),
+                child(F.col("root_y"), F.lit(levels), F.col("ry")).alias("root_y")
+            ),
+            "frontier"
+        )
         if frontier.isEmpty():
             break
     rows = reduce(DataFrame.unionByName, content)

@@ -62,7 +62,9 @@ def invalid_reason(gtype: Column, coordinates: Column) -> Column:
 def mvt_findings(features: DataFrame) -> DataFrame:
     """(path, layer, nth, gml_id, gtype, reason) of invalid features; without an id the place stands for it."""
     name = F.coalesce(F.col("props")["gml_id"], F.concat(F.lit("<no gml_id #"), F.col("nth").cast("string"), F.lit(">")))
-    return features.where("error IS NULL").select("path", "layer", "nth", name.alias("gml_id"), "gtype", invalid_reason(F.col("gtype"), F.col("coordinates")).alias("reason")).where("reason IS NOT NULL")
+    return features.where("error IS NULL").select(
+        "path", "layer", "nth", name.alias("gml_id"), "gtype", invalid_reason(F.col("gtype"), F.col("coordinates")).alias("reason")
+    ).where("reason IS NOT NULL")
 
 
 def type_counts(features: DataFrame) -> DataFrame:

@@ -46,7 +46,10 @@ def edge_counts(nodes: DataFrame, edges: DataFrame, index: DataFrame) -> DataFra
 def layout_bounds(placed: DataFrame) -> DataFrame:
     """Bounding box of laid-out nodes (x, y at the centre, width or a label's width, height)."""
     w = F.coalesce("width", node_width(F.col("name")))
-    return placed.agg(F.min(F.col("x") - w / 2).alias("min_x"), F.min(F.col("y") - F.col("height") / 2).alias("min_y"), F.max(F.col("x") + w / 2).alias("max_x"), F.max(F.col("y") + F.col("height") / 2).alias("max_y"))
+    return placed.agg(
+        F.min(F.col("x") - w / 2).alias("min_x"), F.min(F.col("y") - F.col("height") / 2).alias("min_y"), F.max(F.col("x") + w / 2).alias("max_x"),
+        F.max(F.col("y") + F.col("height") / 2).alias("max_y")
+    )
 
 
 def missing_stores(edge_rows: DataFrame, listing: DataFrame) -> DataFrame:
@@ -58,5 +61,8 @@ def missing_stores(edge_rows: DataFrame, listing: DataFrame) -> DataFrame:
 def default_siblings(inputs: DataFrame) -> DataFrame:
     """Paths with the folders beside a ``.gml`` input that its run also reads."""
     folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
-    beside = F.when(F.col("path").endswith(".gml"), F.struct(F.concat(folder, F.lit("../../codelists")).alias("codelists"), F.concat(folder, F.lit("../../schemas")).alias("schemas")))
+    beside = F.when(
+        F.col("path").endswith(".gml"),
+        F.struct(F.concat(folder, F.lit("../../codelists")).alias("codelists"), F.concat(folder, F.lit("../../schemas")).alias("schemas"))
+    )
     return inputs.withColumn("beside", beside)

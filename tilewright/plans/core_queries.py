@@ -58,7 +58,10 @@ SELECT *, round(degrees(2.42 + x * (0.04 / pow(2, level))), 6) AS west, round(de
 def tile_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tiles.merge_cells(part_tiles(spark, sf_dir))
     region = tile_functions.cell_region(F.col("level"), F.col("x"), F.col("y"), F.array(*map(F.lit, _REGION)))
-    return cells.withColumn("r", region).select("level", "x", "y", "features", "known_slots", "size", F.size("slots").cast("long").alias("n_slots"), *(F.round(F.col("r")[s], 6).alias(s) for s in ("west", "south", "east", "north")))
+    return cells.withColumn("r", region).select(
+        "level", "x", "y", "features", "known_slots", "size", F.size("slots").cast("long").alias("n_slots"),
+        *(F.round(F.col("r")[s], 6).alias(s) for s in ("west", "south", "east", "north"))
+    )
 
 
 FLAGSHIP = tile_cells
@@ -90,7 +93,10 @@ SELECT event_id, CAST(sum((((x >> i) & 1) << (2 * i)) + (((y >> i) & 1) << (2 *
 """)
 def morton_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.select("event_id", tile_functions.morton(F.col("event_id") % 65536, (F.col("event_id") * 7) % 65536).alias("morton"), tile_functions.level_offset(F.col("event_id") % 12).alias("level_offset"))
+    return events.select(
+        "event_id", tile_functions.morton(F.col("event_id") % 65536, (F.col("event_id") * 7) % 65536).alias("morton"),
+        tile_functions.level_offset(F.col("event_id") % 12).alias("level_offset")
+    )
 
 
 @query("""
@@ -108,7 +114,9 @@ def mercator_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = tile_functions.uri(F.lit("L{level}/{x}/{y}.glb"), F.col("p_size") % 4, F.col("p_partkey"), F.col("p_size"))
     root = tile_functions.tile_root(F.concat(F.lit("a/"), F.col("p_brand"), F.lit("/3/"), F.col("p_partkey").cast("string"), F.lit("/2.mvt")))
-    return table(spark, sf_dir, "part").select("p_partkey", uri.alias("uri"), root.alias("root"), tile_functions.child(F.col("p_partkey"), F.lit(2), F.col("p_size") % 4).alias("child"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", uri.alias("uri"), root.alias("root"), tile_functions.child(F.col("p_partkey"), F.lit(2), F.col("p_size") % 4).alias("child")
+    )
 
 
 # City models
@@ -124,7 +132,11 @@ def texture_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     uv = F.col("l_quantity").cast("int")
     shift = lambda c, n: F.when(c, n).otherwise(0)
-    coords = line.select((F.col("l_orderkey") + shift(F.col("l_suppkey") % 50 == 0, 100_000_000)).alias("target"), (F.col("l_linenumber") + shift(F.col("l_partkey") % 40 == 0, 100)).alias("ring"), (uv + shift(F.col("l_partkey") % 10 == 0, 1)).alias("uv_pairs"))
+    coords = line.select(
+        (F.col("l_orderkey") + shift(F.col("l_suppkey") % 50 == 0, 100_000_000)).alias("target"),
+        (F.col("l_linenumber") + shift(F.col("l_partkey") % 40 == 0, 100)).alias("ring"),
+        (uv + shift(F.col("l_partkey") % 10 == 0, 1)).alias("uv_pairs")
+    )
     rings = line.groupBy(F.col("l_orderkey").alias("polygon"), F.col("l_linenumber").alias("ring")).agg(F.max(uv).alias("vertices"))
     polygons = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("polygon"))
     return citygml.classify_alignment(coords, polygons, rings, []).groupBy("finding").agg(F.count("*").alias("n"))
@@ -135,7 +147,10 @@ def place_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     customer = table(spark, sf_dir, "customer")
     span = F.lit(500_000)
-    row = lambda df, pre, last, depth, kind, key: df.select(F.lit("doc").alias("path"), pre.alias("pre"), last.alias("last"), F.lit(depth).alias("depth"), F.lit(kind).alias("local"), F.concat(F.lit(kind[0]), key.cast("string")).alias("gml_id"))
+    row = lambda df, pre, last, depth, kind, key: df.select(
+        F.lit("doc").alias("path"), pre.alias("pre"), last.alias("last"), F.lit(depth).alias("depth"), F.lit(kind).alias("local"),
+        F.concat(F.lit(kind[0]), key.cast("string")).alias("gml_id")
+    )
     r = F.col("r_regionkey").cast("long") * 100 * span
     n = F.col("n_regionkey").cast("long") * 100 * span + (F.col("n_nationkey").cast("long") + 1) * span
     regions = row(table(spark, sf_dir, "region"), r, r + 100 * span - 1, 0, "Region", F.col("r_regionkey"))
@@ -196,7 +211,10 @@ SELECT n_nationkey, '{urn:x}' || n_name AS tag, n_name AS local, CASE WHEN n_nat
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.concat(F.lit("{urn:x}"), F.col("n_name"))
     ref = F.concat(F.element_at(F.array(F.lit("#"), F.lit("##"), F.lit("")), F.col("n_nationkey") % 3 + 1), F.col("n_name"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", tag.alias("tag"), text.local_name(tag).alias("local"), *(text.reference(ref, r).alias(a) for r, a in (("require", "required"), ("strip", "stripped"), ("prefix", "prefixed"))))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", tag.alias("tag"), text.local_name(tag).alias("local"),
+        *(text.reference(ref, r).alias(a) for r, a in (("require", "required"), ("strip", "stripped"), ("prefix", "prefixed")))
+    )
 
 
 @query("""
@@ -218,12 +236,26 @@ def order_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as features whose points are their lines."""
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k")).join(line, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    points = F.concat(F.lit("["), F.array_join(F.transform(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit(",1]"))), ","), F.lit("]"))
+    points = F.concat(
+        F.lit("["),
+        F.array_join(
+            F.transform(
+                F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array().cast("array<int>")),
+                lambda i: F.concat(F.lit("["), i.cast("string"), F.lit(",1]"))
+            ),
+            ","
+        ),
+        F.lit("]")
+    )
     wrap = lambda a, b: F.concat(F.lit(a), points, F.lit(b))
     kinds = ["Point", "LineString", "Polygon", "MultiPolygon", "MultiLineString"]
     gtype = F.element_at(F.array(*map(F.lit, [*kinds, "Polygon"])), (F.col("k") + 1).cast("int"))
     coords = F.when(F.col("k").isin(0, 1), points).when(F.col("k").isin(2, 4), wrap("[", "]")).when(F.col("k") == 3, wrap("[[", "]]"))
-    return rows.select(F.lit("t").alias("path"), F.concat(F.lit("layer"), (F.col("o_orderkey") % 3).cast("string")).alias("layer"), F.col("o_orderkey").alias("nth"), F.when(F.col("o_orderkey") % 50 != 0, gtype).alias("gtype"), coords.alias("coordinates"), F.create_map().cast("map<string,string>").alias("props"), F.lit(None).cast("string").alias("error"))
+    return rows.select(
+        F.lit("t").alias("path"), F.concat(F.lit("layer"), (F.col("o_orderkey") % 3).cast("string")).alias("layer"), F.col("o_orderkey").alias("nth"),
+        F.when(F.col("o_orderkey") % 50 != 0, gtype).alias("gtype"), coords.alias("coordinates"),
+        F.create_map().cast("map<string,string>").alias("props"), F.lit(None).cast("string").alias("error")
+    )
 
 
 @query(f"""
@@ -264,7 +296,9 @@ k AS (SELECT *, CASE WHEN ta AND fb THEN 'both' WHEN ta THEN 'only_truth' WHEN f
 def order_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a raster against their lines as another; each tenth order's lines lie on a pixel of their own."""
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("d"), F.max("l_quantity").alias("q"))
-    truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("y"), F.when(F.col("o_orderpriority") == "1-URGENT", float("nan")).otherwise(F.col("o_totalprice")).alias("depth"))
+    truth = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("y"), F.when(F.col("o_orderpriority") == "1-URGENT", float("nan")).otherwise(F.col("o_totalprice")).alias("depth")
+    )
     y = F.col("l_orderkey") + F.when(F.col("l_orderkey") % 10 == 0, 100_000_000_000).otherwise(0)
     flow = line.select(y.alias("y"), F.when(F.col("q") >= 48, float("inf")).otherwise(F.col("d")).alias("depth"))
     return rasters.diff_pixels(truth, flow, 100_000.0, ["y"])
@@ -386,7 +420,10 @@ WITH p AS (SELECT n_nationkey * 40 AS x, n_regionkey * 90 AS y, greatest(100, le
 SELECT *, round(least(800 / (max_x - min_x + 100), 600 / (max_y - min_y + 100), 1.0), 6) AS scale FROM b
 """)
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 40).alias("x"), (F.col("n_regionkey") * 90).alias("y"), F.lit(None).cast("int").alias("width"), F.lit(40.0).alias("height"))
+    placed = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), (F.col("n_nationkey") * 40).alias("x"), (F.col("n_regionkey") * 90).alias("y"),
+        F.lit(None).cast("int").alias("width"), F.lit(40.0).alias("height")
+    )
     bounds = workflows.layout_bounds(placed)
     fit = geometry.fit_layout(F.lit(800), F.lit(600), F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     return bounds.withColumn("scale", F.round(fit["scale"], 6))
@@ -397,7 +434,10 @@ def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT max(ts) AS date, 'u' || (user_id % 7) AS branch, event_type AS file FROM events GROUP BY user_id % 7, event_type")
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("date"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("branch"), F.col("event_type").alias("file"), F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), "event_id").alias("line_no"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("ts").alias("date"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("branch"), F.col("event_type").alias("file"),
+        F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), "event_id").alias("line_no")
+    )
     return repositories.recent_files(rows)
 
 
@@ -415,7 +455,9 @@ WITH s AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WH
 SELECT a.size AS size_a, b.size AS size_b, a.size - b.size AS diff FROM (SELECT coalesce(sum(size), 0)::BIGINT AS size FROM s WHERE source = 'src1') a, (SELECT coalesce(sum(size), 0)::BIGINT AS size FROM s WHERE source = 'src2') b
 """)
 def tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("branch"), F.when(F.col("lang") != "de", "blob").otherwise("tree").alias("type"), F.col("n_chars").alias("size"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("branch"), F.when(F.col("lang") != "de", "blob").otherwise("tree").alias("type"), F.col("n_chars").alias("size")
+    )
     return repositories.tree_size_diff(rows, "src1", "src2").select("size_a", "size_b", "diff")
 
 
@@ -433,7 +475,10 @@ UNION ALL SELECT 'name' || n_nationkey, NULL FROM nation WHERE n_nationkey % 2 =
 """)
 def dependency_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.col("n_nationkey") % 2 == 0, "https://h/x").otherwise("https://h/y")
-    blocks = table(spark, sf_dir, "nation").select(F.concat(F.lit("name"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit(' git = "'), url, F.lit('", tag = "v1" ')).alias("body"))
+    blocks = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("name"), F.col("n_nationkey").cast("string")).alias("name"),
+        F.concat(F.lit(' git = "'), url, F.lit('", tag = "v1" ')).alias("body")
+    )
     return repositories.rewrite_dependencies(blocks, "https://h/x", "main").select("name", "rewritten")
 
 
@@ -544,7 +589,10 @@ SELECT n_nationkey, xor(h, h >> 16) AS mixed, xor(h, h >> 16) % 360 AS mixed_hue
 """)
 def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("n_name")
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.mixed_hash(name).alias("mixed"), text.mixed_hue(name).alias("mixed_hue"), text.simple_hash(name).alias("simple"), text.simple_hue(name).alias("simple_hue"))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", text.mixed_hash(name).alias("mixed"), text.mixed_hue(name).alias("mixed_hue"), text.simple_hash(name).alias("simple"),
+        text.simple_hue(name).alias("simple_hue")
+    )
 
 
 @query("""
@@ -574,7 +622,12 @@ SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'missing vector_layers' W
 def tile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, name = F.col("n_nationkey"), F.col("n_name")
     inner = F.when(k % 5 == 0, F.lit('{"x":1}')).otherwise(F.to_json(F.struct(F.array(F.struct(name.alias("id"), F.lit("d").alias("description"))).alias("vector_layers"))))
-    meta = F.to_json(F.struct(inner.alias("json"), F.lit("1, 2.5,3,4").alias("bounds"), F.when(k % 5 == 1, "1").otherwise("1.5,2").alias("center"), F.when(k % 5 != 1, 14).alias("maxzoom"), name.alias("name"), F.lit("").alias("description")))
+    meta = F.to_json(
+        F.struct(
+            inner.alias("json"), F.lit("1, 2.5,3,4").alias("bounds"), F.when(k % 5 == 1, "1").otherwise("1.5,2").alias("center"),
+            F.when(k % 5 != 1, 14).alias("maxzoom"), name.alias("name"), F.lit("").alias("description")
+        )
+    )
     return packing.to_tilejson(table(spark, sf_dir, "nation").select("n_nationkey", meta.alias("value"))).select("n_nationkey", "finding", "tilejson")
 
 
@@ -583,8 +636,14 @@ WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 40 AS fid, CASE WHEN l_l
 SELECT component, count(*) AS n, CAST(sum(CASE WHEN fid % 5 = 0 THEN CASE WHEN component = 5121 THEN 255 ELSE -1 END ELSE fid END) AS BIGINT) AS ids FROM x GROUP BY 1
 """)
 def masked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vertices = table(spark, sf_dir, "lineitem").select(F.lit("f").alias("path"), (F.col("l_partkey") % 40).alias("feature_id"), F.when(F.col("l_linenumber") % 2 == 0, 5121).otherwise(5122).alias("component"))
-    types = spark.range(40).select(F.lit("f").alias("path"), F.lit(0).alias("table_idx"), F.col("id").alias("feature_id"), F.lit("feature_type").alias("property"), F.concat(F.lit("t"), (F.col("id") % 5).cast("string")).alias("value"))
+    vertices = table(spark, sf_dir, "lineitem").select(
+        F.lit("f").alias("path"), (F.col("l_partkey") % 40).alias("feature_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, 5121).otherwise(5122).alias("component")
+    )
+    types = spark.range(40).select(
+        F.lit("f").alias("path"), F.lit(0).alias("table_idx"), F.col("id").alias("feature_id"), F.lit("feature_type").alias("property"),
+        F.concat(F.lit("t"), (F.col("id") % 5).cast("string")).alias("value")
+    )
     masked = models.mask_features(vertices, models.excluded_ids(types, ["t0"]))
     return masked.groupBy("component").agg(F.count("*").alias("n"), F.sum("new_id").alias("ids"))
 
@@ -607,7 +666,10 @@ def batch_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, '&lt;b&gt;' || n_name || '&amp;' AS html, 'a\\\\' || n_name || '\\`' AS script, (4 - length(n_name) % 4) % 4 AS padding FROM nation")
 def escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("n_name")
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.html_escape(F.concat(F.lit("<b>"), name, F.lit("&"))).alias("html"), text.template_escape(F.concat(F.lit("a\\"), name, F.lit("`"))).alias("script"), text.padding(F.length(name)).alias("padding"))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", text.html_escape(F.concat(F.lit("<b>"), name, F.lit("&"))).alias("html"),
+        text.template_escape(F.concat(F.lit("a\\"), name, F.lit("`"))).alias("script"), text.padding(F.length(name)).alias("padding")
+    )
 
 
 @query("""
@@ -633,7 +695,10 @@ SELECT s_suppkey, '[cameras.c' || s_suppkey || ']' || chr(10) || 'position = ['
 def camera_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = lambda *v: F.array(*(F.lit(float(x)) if isinstance(x, int) else x for x in v))
     position = vector(F.col("s_nationkey").cast("double"), 0, 0)
-    camera = geometry.camera_toml(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")), position, vector(0, 1, 0), vector(0, 0, 1), F.lit(1.0471975511965976), F.lit(None).cast("array<double>"))
+    camera = geometry.camera_toml(
+        F.concat(F.lit("c"), F.col("s_suppkey").cast("string")), position, vector(0, 1, 0), vector(0, 0, 1), F.lit(1.0471975511965976),
+        F.lit(None).cast("array<double>")
+    )
     return table(spark, sf_dir, "supplier").select("s_suppkey", camera.alias("camera"))
 
 
@@ -698,14 +763,22 @@ def glb_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A city model per nation and 2000 customer keys: the customers are buildings with a polygon, those with a negative balance have a texture."""
     name = F.col("c_custkey").cast("string")
-    building = F.concat(F.lit('<core:cityObjectMember><bldg:Building gml:id="b'), name, F.lit('"><bldg:lod1Geometry><gml:Polygon gml:id="p'), name, F.lit('"/></bldg:lod1Geometry></bldg:Building></core:cityObjectMember>'))
+    building = F.concat(
+        F.lit('<core:cityObjectMember><bldg:Building gml:id="b'), name, F.lit('"><bldg:lod1Geometry><gml:Polygon gml:id="p'), name,
+        F.lit('"/></bldg:lod1Geometry></bldg:Building></core:cityObjectMember>')
+    )
     target = F.when(F.col("c_acctbal") < 0, F.concat(F.lit('<app:target uri="#p'), name, F.lit('">#p'), name, F.lit("</app:target>")))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", c.alias("s")))), lambda x: x["s"]), "")
-    docs = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 2000).alias("part")).agg(joined(building).alias("buildings"), joined(F.coalesce(target, F.lit(""))).alias("targets"))
+    docs = table(spark, sf_dir, "customer").groupBy(
+        "c_nationkey", F.floor(F.col("c_custkey") / 2000).alias("part")
+    ).agg(joined(building).alias("buildings"), joined(F.coalesce(target, F.lit(""))).alias("targets"))
     head = '<core:CityModel xmlns:core="urn:c" xmlns:bldg="urn:b" xmlns:gml="http://www.opengis.net/gml" xmlns:app="urn:a">'
     texture = '<app:appearanceMember><app:Appearance><app:surfaceDataMember><app:ParameterizedTexture><app:imageURI>t.jpg</app:imageURI>'
     tail = "</app:ParameterizedTexture></app:surfaceDataMember></app:Appearance></app:appearanceMember></core:CityModel>"
-    return docs.select(F.concat(F.lit("n"), F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("part").cast("string"))).alias("path"), F.encode(F.concat(F.lit(head), "buildings", F.lit(texture), "targets", F.lit(tail)), "utf-8").alias("content"))
+    return docs.select(
+        F.concat(F.lit("n"), F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("part").cast("string"))).alias("path"),
+        F.encode(F.concat(F.lit(head), "buildings", F.lit(texture), "targets", F.lit(tail)), "utf-8").alias("content")
+    )
 
 
 @query("SELECT 'n' || c_nationkey || '-' || (c_custkey // 2000) AS path, 'b' || c_custkey AS gml_id, 'Building' AS feature_type, '' AS parent FROM customer WHERE c_acctbal < 0")
@@ -729,7 +802,11 @@ def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.sinks.containers import zip_archives
     from tilewright.sources.archives import zip_listing
 
-    rows = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".zip")).alias("archive"),
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")
+    )
     return zip_listing(zip_archives(rows)).select(F.col("path").alias("archive"), F.col("member").alias("path"), "size")
 
 
@@ -739,7 +816,15 @@ def stack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     frame = F.concat(F.lit(" lib`"), F.col("o_orderstatus"), F.lit("(int)+0x"), F.col("o_orderkey").cast("string"))
-    lines = orders.select((F.col("o_orderkey") % 97).cast("string").alias("path"), F.inline(F.array(F.struct((F.col("o_orderkey") * 2).alias("line_no"), frame.alias("value")), F.struct((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.lit(" 1 ").alias("value")))))
+    lines = orders.select(
+        (F.col("o_orderkey") % 97).cast("string").alias("path"),
+        F.inline(
+            F.array(
+                F.struct((F.col("o_orderkey") * 2).alias("line_no"), frame.alias("value")),
+                F.struct((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.lit(" 1 ").alias("value"))
+            )
+        )
+    )
     return repositories.collapse_stacks(stack_rows(lines))
 
 
@@ -750,5 +835,13 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.sources.text_logs import log_rows
 
     head = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" refs/remotes/origin/b"), (F.col("o_orderkey") % 3).cast("string"))
-    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("string").alias("path"), F.inline(F.array(F.struct((F.col("o_orderkey") * 2).alias("line_no"), head.alias("value")), F.struct((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("value")))))
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 50).cast("string").alias("path"),
+        F.inline(
+            F.array(
+                F.struct((F.col("o_orderkey") * 2).alias("line_no"), head.alias("value")),
+                F.struct((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("value"))
+            )
+        )
+    )
     return log_rows(rows).groupBy("date", "branch", "file").agg(F.count("*").alias("n"))

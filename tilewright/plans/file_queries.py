@@ -53,7 +53,9 @@ def town_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<app:surfaceDataMember><app:ParameterizedTexture><app:imageURI>img", c % 7, '.jpg</app:imageURI><app:target uri="#', target, '"><app:TexCoordList><app:textureCoordinates ring="#', ring, '">', numbers((pairs * 2).cast("int")),
         '</app:textureCoordinates></app:TexCoordList></app:target><app:target uri="#q', name, '"/></app:ParameterizedTexture></app:surfaceDataMember>',
     )
-    docs = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(c / 500).alias("part")).agg(_in_order("c_custkey", building).alias("buildings"), _in_order("c_custkey", surface).alias("surfaces"))
+    docs = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(c / 500).alias("part")).agg(
+        _in_order("c_custkey", building).alias("buildings"), _in_order("c_custkey", surface).alias("surfaces")
+    )
     head = '<core:CityModel xmlns:core="urn:c" xmlns:bldg="urn:b" xmlns:gml="http://www.opengis.net/gml" xmlns:app="urn:a">'
     whole = _text(head, F.col("buildings"), "<app:appearanceMember><app:Appearance>", F.col("surfaces"), "</app:Appearance></app:appearanceMember></core:CityModel>")
     return docs.select(_text("udx/n", F.col("c_nationkey"), "-", F.col("part"), ".gml").alias("path"), F.encode(whole, "utf-8").alias("content"))
@@ -117,12 +119,19 @@ UNION ALL SELECT DISTINCT 'testcase', 'udx/dem/x' || c_nationkey || '.gml', NULL
 def subset_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive per document, cut down as a whole task and read again."""
     docs = town_documents(spark, sf_dir).withColumn("archive", F.regexp_replace("path", r"^udx/(.*)\.gml$", "$1.zip"))
-    same = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(v.encode()).alias("content")) for p, v in [("codelists/a.xml", "<a/>")] + [(f"udx/img{i}.jpg", f"{i}") for i in range(7)]))
-    beside = docs.select("archive", F.inline(F.array_append(same, F.struct(_text("udx/dem/x", F.regexp_extract("path", r"n(\d+)-", 1), ".gml").alias("path"), F.lit(b"<x/>").alias("content")))))
+    same = F.array(
+        *(F.struct(F.lit(p).alias("path"), F.lit(v.encode()).alias("content")) for p, v in [("codelists/a.xml", "<a/>")] + [(f"udx/img{i}.jpg", f"{i}") for i in range(7)])
+    )
+    beside = docs.select(
+        "archive",
+        F.inline(F.array_append(same, F.struct(_text("udx/dem/x", F.regexp_extract("path", r"n(\d+)-", 1), ".gml").alias("path"), F.lit(b"<x/>").alias("content"))))
+    )
     zips = containers.zip_archives(docs.select("archive", "path", "content").unionByName(beside))
     tree = {f"udx/n{k}-0.gml": _ASKED for k in range(25)} | {"udx/dem/": ["x1"]}
     got = cut(tasks.subset_citygml(spark, zips, tree), "subset-files")
-    again = xml_nodes.read_nodes(got.where("path LIKE 'udx/n%.gml'")).groupBy("path").agg(F.count_if(F.col("local") == "Building").alias("buildings"), F.count_if(F.col("local") == "target").alias("targets"))
+    again = xml_nodes.read_nodes(got.where("path LIKE 'udx/n%.gml'")).groupBy("path").agg(
+        F.count_if(F.col("local") == "Building").alias("buildings"), F.count_if(F.col("local") == "target").alias("targets")
+    )
     return got.select("place", "path").join(again, "path", "left")
 
 
@@ -154,7 +163,10 @@ def sub_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 's' || s_suppkey AS path, p AS prefix, u AS uri FROM supplier, (VALUES ('_default', 'urn:d' || s_suppkey), ('p', 'urn:b' || s_suppkey)) AS v(p, u)")
 def document_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    docs = table(spark, sf_dir, "supplier").select(_text("s", k).alias("path"), F.encode(_text('<a xmlns="urn:d', k, '" xmlns:p="urn:x"><p:b xmlns:p="urn:b', k, '"/></a>'), "utf-8").alias("content"))
+    docs = table(spark, sf_dir, "supplier").select(
+        _text("s", k).alias("path"),
+        F.encode(_text('<a xmlns="urn:d', k, '" xmlns:p="urn:x"><p:b xmlns:p="urn:b', k, '"/></a>'), "utf-8").alias("content")
+    )
     return xml_nodes.read_namespaces(docs).select("path", F.explode("namespaces").alias("prefix", "uri"))
 
 
@@ -164,7 +176,17 @@ def mixed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     docs = table(spark, sf_dir, "supplier").select(_text("m", k).alias("path"), F.encode(_text("<a>one ", k, "<b>two</b><c/>tail of c</a>"), "utf-8").alias("content"))
     nodes = cut(xml_nodes.read_nodes(containers.write_xml(xml_nodes.read_nodes(docs))), "mixed")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "local", "text", "tail"))), lambda n: F.concat(F.when(n["pre"] > 0, F.concat(n["local"], F.lit(":"))).otherwise(""), F.trim(F.regexp_replace(F.coalesce(n["text"], F.lit("")), r"\s+$", "")), F.coalesce(F.concat(F.lit("|"), F.regexp_replace(n["tail"], r"^\s+|\s+$", "")), F.lit("")))), "|")
+    said = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("pre", "local", "text", "tail"))),
+            lambda n: F.concat(
+                F.when(n["pre"] > 0, F.concat(n["local"], F.lit(":"))).otherwise(""),
+                F.trim(F.regexp_replace(F.coalesce(n["text"], F.lit("")), r"\s+$", "")),
+                F.coalesce(F.concat(F.lit("|"), F.regexp_replace(n["tail"], r"^\s+|\s+$", "")), F.lit(""))
+            )
+        ),
+        "|"
+    )
     return nodes.groupBy("path").agg(said.alias("said"))
 
 
@@ -185,10 +207,15 @@ def _subtree(key: tuple, frame):  # noqa: ANN001, ANN202
     own = frame[frame["rel"].notna()]
     index = [((1 << 2 * int(rel)) - 1) // 3 + (spread(int(x)) | spread(int(y)) << 1) for rel, x, y in zip(own["rel"], own["rx"], own["ry"], strict=True)]
     child = frame[frame["rel"].isna()]
-    bits = [set(index)] + [{i for i, s in zip(index, own["slot"], strict=True) if s == slot} for slot in range(_SLOTS)] + [{spread(int(x)) | spread(int(y)) << 1 for x, y in zip(child["rx"], child["ry"], strict=True)}]
+    bits = [set(index)] + [
+        {i for i, s in zip(index, own["slot"], strict=True) if s == slot} for slot in range(_SLOTS)
+    ] + [{spread(int(x)) | spread(int(y)) << 1 for x, y in zip(child["rx"], child["ry"], strict=True)}]
     streams = [sum(1 << i for i in b).to_bytes(2, "little") for b in bits]
     views = [{"byteOffset": 8 * i, "byteLength": 2} for i in range(len(streams))]
-    doc = {"bufferViews": views, "tileAvailability": {"bitstream": 0}, "contentAvailability": [{"bitstream": 1 + s} for s in range(_SLOTS)], "childSubtreeAvailability": {"bitstream": 1 + _SLOTS}}
+    doc = {
+        "bufferViews": views, "tileAvailability": {"bitstream": 0}, "contentAvailability": [{"bitstream": 1 + s} for s in range(_SLOTS)],
+        "childSubtreeAvailability": {"bitstream": 1 + _SLOTS}
+    }
     text = json.dumps(doc).encode()
     text += b" " * (-len(text) % 8)
     binary = b"".join(s.ljust(8, b"\0") for s in streams)
@@ -201,16 +228,27 @@ def part_tileset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     ship(spark)
     level = (F.col("p_size") % 4).cast("int")
     n = F.call_function("shiftleft", F.lit(1).cast("long"), level)
-    part = table(spark, sf_dir, "part").select(level.alias("level"), (F.col("p_partkey") % n).alias("x"), (F.floor(F.col("p_partkey") / 8) % n).alias("y"), (F.col("p_partkey") % _SLOTS).cast("int").alias("slot"), "p_size", "p_retailprice")
+    part = table(spark, sf_dir, "part").select(
+        level.alias("level"), (F.col("p_partkey") % n).alias("x"), (F.floor(F.col("p_partkey") / 8) % n).alias("y"),
+        (F.col("p_partkey") % _SLOTS).cast("int").alias("slot"), "p_size", "p_retailprice"
+    )
     cells = cut(part.groupBy("level", "x", "y", "slot").agg(F.sum("p_size").alias("features"), F.sum(F.floor("p_retailprice")).alias("size")), "cells")
     root_level = F.floor(F.col("level") / _LEVELS).cast("int") * _LEVELS
     rel = F.col("level") - root_level
-    rooted = cells.select(root_level.alias("level"), F.expr("shiftright(x, level % 2)").alias("x"), F.expr("shiftright(y, level % 2)").alias("y"), rel.alias("rel"), F.expr("x & (shiftleft(1, level % 2) - 1)").alias("rx"), F.expr("y & (shiftleft(1, level % 2) - 1)").alias("ry"), "slot")
-    children = rooted.where("level = 2").select("x", "y").distinct().select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), F.lit(None).cast("int").alias("rel"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit(None).cast("int").alias("slot"))
+    rooted = cells.select(
+        root_level.alias("level"), F.expr("shiftright(x, level % 2)").alias("x"), F.expr("shiftright(y, level % 2)").alias("y"), rel.alias("rel"),
+        F.expr("x & (shiftleft(1, level % 2) - 1)").alias("rx"), F.expr("y & (shiftleft(1, level % 2) - 1)").alias("ry"), "slot"
+    )
+    children = rooted.where("level = 2").select("x", "y").distinct().select(
+        F.lit(0).alias("level"), F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), F.lit(None).cast("int").alias("rel"),
+        F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit(None).cast("int").alias("slot")
+    )
     children = children.withColumnsRenamed({"x0": "x", "y0": "y"})
     files = rooted.unionByName(children).groupBy("level", "x", "y").applyInPandas(_subtree, "path string, content binary")
     kept = files.where("path = '/t/s/0.0.0.subtree' OR (CAST(regexp_extract(path, '2\\\\.(.)', 1) AS INT) + CAST(regexp_extract(path, '2\\\\..\\\\.(.)', 1) AS INT)) % 4 <> 3")
-    listing = cells.where("(x + y + slot) % 7 <> 6").select(_text("/t/c", F.col("slot"), "/", F.col("level"), "/", F.col("x"), "/", F.col("y"), ".glb").alias("path"), "size", "features")
+    listing = cells.where("(x + y + slot) % 7 <> 6").select(
+        _text("/t/c", F.col("slot"), "/", F.col("level"), "/", F.col("x"), "/", F.col("y"), ".glb").alias("path"), "size", "features"
+    )
     text = '{"root":{"boundingVolume":{"region":[2.42,0.6,2.46,0.64,0,9]},"contents":[{"uri":"c0/{level}/{x}/{y}.glb"},{"uri":"c1/{level}/{x}/{y}.glb"},{"uri":"c2/{level}/{x}/{y}.glb"}],"implicitTiling":{"subtreeLevels":2,"subtrees":{"uri":"s/{level}.{x}.{y}.subtree"}}}}'
     return tilesets.parse_tileset(spark.createDataFrame([(text,)], "value string")), kept, listing
 
@@ -261,7 +299,9 @@ def first_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_b3dms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The brands' GLBs within the old container, with their part keys as a batch table."""
-    keys = table(spark, sf_dir, "part").groupBy(F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 5000).cast("string")).alias("name")).agg(F.array_sort(F.collect_list("p_partkey")).alias("id"))
+    keys = table(spark, sf_dir, "part").groupBy(
+        F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 5000).cast("string")).alias("name")
+    ).agg(F.array_sort(F.collect_list("p_partkey")).alias("id"))
     glbs = brand_glbs(spark, sf_dir).withColumnsRenamed({"path": "_path", "content": "glb"})
     rows = keys.join(glbs, F.concat("name", F.lit(".glb")) == F.col("_path"))
     feature = _text('{"BATCH_LENGTH":', F.size("id"), "}")
@@ -303,7 +343,9 @@ def b3dm_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'f' || p_partkey AS path, CAST(floor(p_retailprice) AS BIGINT) AS byte_length, CAST(p_size AS BIGINT) AS gltf_length, round(p_size / floor(p_retailprice) * 100, 1) AS percent FROM part")
 def payload_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(_text("f", F.col("p_partkey")).alias("path"), F.floor("p_retailprice").alias("byte_length"), F.col("p_size").cast("long").alias("gltf_length"))
+    rows = table(spark, sf_dir, "part").select(
+        _text("f", F.col("p_partkey")).alias("path"), F.floor("p_retailprice").alias("byte_length"), F.col("p_size").cast("long").alias("gltf_length")
+    )
     return models.payload_share(rows)
 
 
@@ -332,7 +374,9 @@ def _image_glb(key, frame):  # noqa: ANN001, ANN202
 
 def supplier_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat_ws("-", F.col("s_nationkey").cast("string"), F.floor(F.col("s_suppkey") / 1000).cast("string")).alias("name"))
+    supplier = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", F.concat_ws("-", F.col("s_nationkey").cast("string"), F.floor(F.col("s_suppkey") / 1000).cast("string")).alias("name")
+    )
     glbs = cut(supplier.groupBy("name").applyInPandas(_image_glb, "path string, content binary"), "image-glbs")
     beside = supplier.where("s_suppkey % 3 = 2").select(_text("m/t", F.col("s_suppkey"), ".webp").alias("path"), F.encode("s_name", "utf-8").alias("content"))
     return gltf.with_external_images(gltf.glb_images(glbs), beside)
@@ -396,7 +440,10 @@ def masked_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replaced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models with another JSON chunk, loaded from files beside them; BIN stays as it was."""
     glbs = cut(brand_glbs(spark, sf_dir), "brand-glbs")
-    dumped = tasks.dump_glb_json(glbs).select("path", F.encode(_text('{ "n" : ', F.get_json_object(F.decode("content", "utf-8"), "$.extensions.EXT_structural_metadata.propertyTables[0].count"), " }"), "utf-8").alias("content"))
+    dumped = tasks.dump_glb_json(glbs).select(
+        "path",
+        F.encode(_text('{ "n" : ', F.get_json_object(F.decode("content", "utf-8"), "$.extensions.EXT_structural_metadata.propertyTables[0].count"), " }"), "utf-8").alias("content")
+    )
     new = gltf.read_glb(tasks.load_glb_json(glbs.unionByName(dumped)))
     old = gltf.read_glb(glbs).select("path", F.col("bin").alias("_bin"))
     return new.join(old, "path").select("path", "json", (F.col("bin") == F.col("_bin")).alias("same_bin"))
@@ -406,7 +453,13 @@ def replaced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files cut off or of another kind are a row with an error for every decoder, never the end of a job."""
     k = F.col("s_suppkey")
-    broken = table(spark, sf_dir, "supplier").select(_text("b", k).alias("path"), F.when(k % 3 == 0, F.unhex(F.lit("676C5446020000002000000008000000"))).when(k % 3 == 1, F.encode(F.lit("not a file of any kind"), "utf-8")).otherwise(F.lit(b"PK\x05\x06")).alias("content"), (k % 5).alias("kind"))
+    broken = table(spark, sf_dir, "supplier").select(
+        _text("b", k).alias("path"),
+        F.when(
+            k % 3 == 0, F.unhex(F.lit("676C5446020000002000000008000000"))
+        ).when(k % 3 == 1, F.encode(F.lit("not a file of any kind"), "utf-8")).otherwise(F.lit(b"PK\x05\x06")).alias("content"),
+        (k % 5).alias("kind")
+    )
     decoders = [gltf.glb_images, gltf.glb_properties, gltf.glb_feature_ids, archives.zip_listing, lambda c: raster_source.read_depth(c)]
     found = [d(broken.where(F.col("kind") == i)).where("error IS NOT NULL").select("path", F.lit(i).cast("long").alias("kind")) for i, d in enumerate(decoders)]
     out = found[0]
@@ -424,7 +477,11 @@ def order_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_geometries(spark, sf_dir).where("gtype IS NULL OR gtype NOT LIKE 'Multi%'")
     props = F.when(k % 4 != 0, F.create_map(F.lit("gml_id"), _text("o", k))).otherwise(F.create_map().cast("map<string,string>"))
     nth = F.floor(F.col("nth") % 1000)
-    return rows.select(_text("t/", F.floor(k / 1000), "/1/2.mvt").alias("path"), "layer", nth.alias("nth"), "gtype", F.when(F.col("gtype") == "Point", F.get(F.from_json("coordinates", "array<string>"), F.lit(0))).otherwise(F.coalesce("coordinates", F.lit("[]"))).alias("coordinates"), props.alias("props"))
+    return rows.select(
+        _text("t/", F.floor(k / 1000), "/1/2.mvt").alias("path"), "layer", nth.alias("nth"), "gtype",
+        F.when(F.col("gtype") == "Point", F.get(F.from_json("coordinates", "array<string>"), F.lit(0))).otherwise(F.coalesce("coordinates", F.lit("[]"))).alias("coordinates"),
+        props.alias("props")
+    )
 
 
 _TILES = """
@@ -478,7 +535,10 @@ def _depth_png(key, frame):  # noqa: ANN001, ANN202
 def order_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.floor(k / 400).alias("name"), (k % 400).cast("int").alias("at"), F.when(F.col("o_orderpriority") == "1-URGENT", float("inf")).otherwise(F.col("o_totalprice")).cast("float").alias("d"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.floor(k / 400).alias("name"), (k % 400).cast("int").alias("at"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", float("inf")).otherwise(F.col("o_totalprice")).cast("float").alias("d")
+    )
     return rows.groupBy("name").applyInPandas(_depth_png, "path string, content binary")
 
 
@@ -507,7 +567,10 @@ def diff_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(_text("z", F.floor(k / 500), ".zip").alias("archive"), _text("d", k % 3, "/", k, ".txt").alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    rows = table(spark, sf_dir, "documents").select(
+        _text("z", F.floor(k / 500), ".zip").alias("archive"), _text("d", k % 3, "/", k, ".txt").alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")
+    )
     return containers.zip_archives(rows)
 
 
@@ -539,9 +602,14 @@ def packed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output folders as archives named by their format, each with the TileJSON of its metadata."""
     k, part = F.col("page_id") % 3, F.floor(F.col("page_id") / 200)
     folder = F.when(k == 0, _text("bldg", part)).when(k == 1, _text("tran", part, "_lod1")).otherwise(_text("misc", part))
-    path = F.when(k == 0, F.concat(F.lit("c/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".glb").otherwise(".b3dm"))).when(k == 1, _text(F.col("page_id"), "/1/2.mvt")).otherwise(_text(F.col("page_id"), ".txt"))
+    path = F.when(
+        k == 0, F.concat(F.lit("c/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".glb").otherwise(".b3dm"))
+    ).when(k == 1, _text(F.col("page_id"), "/1/2.mvt")).otherwise(_text(F.col("page_id"), ".txt"))
     rows = table(spark, sf_dir, "pages").select(folder.alias("dir"), path.alias("path"), F.encode("url", "utf-8").alias("content"))
-    metadata = rows.select("dir").distinct().select("dir", F.lit("metadata.json").alias("path"), F.lit(b'{"json":"{\\"vector_layers\\":[{\\"id\\":\\"l\\"}]}","bounds":"1,2,3,4","center":"1,2,3"}').alias("content"))
+    metadata = rows.select("dir").distinct().select(
+        "dir", F.lit("metadata.json").alias("path"),
+        F.lit(b'{"json":"{\\"vector_layers\\":[{\\"id\\":\\"l\\"}]}","bounds":"1,2,3,4","center":"1,2,3"}').alias("content")
+    )
     zips = tasks.pack_outputs(cut(rows.unionByName(metadata), "outputs"), "city_op_1.zip")
     return archives.zip_listing(zips).select(F.col("path").alias("archive"), "member")
 
@@ -552,14 +620,20 @@ FROM (SELECT page_id % 3 AS k, page_id AS n, CASE page_id % 3 WHEN 0 THEN 'run/j
 """)
 def relocated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 3
-    rows = table(spark, sf_dir, "pages").select(F.concat(F.when(k == 0, "run/jobs/j1/artifacts/").when(k == 1, "run/jobs/j1/log/").otherwise("run/other/"), F.col("page_id").cast("string")).alias("path"))
+    rows = table(spark, sf_dir, "pages").select(
+        F.concat(F.when(k == 0, "run/jobs/j1/artifacts/").when(k == 1, "run/jobs/j1/log/").otherwise("run/other/"), F.col("page_id").cast("string")).alias("path")
+    )
     return packing.relocated(rows)
 
 
 @query("SELECT DISTINCT 'a/' || (page_id % 40) || '/tileset.json' AS path FROM pages WHERE page_id % 3 = 0 AND EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 40 = pages.page_id % 40 AND p.page_id % 3 = 1)")
 def upgradable_tilesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = F.col("page_id") % 40, F.col("page_id") % 3
-    rows = table(spark, sf_dir, "pages").select(F.when(k == 0, _text("a/", n, "/tileset.json")).when(k == 1, _text("a/", n, "/deep/x/", F.col("page_id"), ".b3dm")).otherwise(_text("a/", n, "/", F.col("page_id"), ".glb")).alias("path"))
+    rows = table(spark, sf_dir, "pages").select(
+        F.when(k == 0, _text("a/", n, "/tileset.json")).when(
+            k == 1, _text("a/", n, "/deep/x/", F.col("page_id"), ".b3dm")
+        ).otherwise(_text("a/", n, "/", F.col("page_id"), ".glb")).alias("path")
+    )
     return packing.upgradable(rows.distinct())
 
 
@@ -568,7 +642,10 @@ SELECT name, CASE WHEN is_dir THEN 'pack' WHEN NOT ends_with(name, '.csv') THEN
 """)
 def input_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 3
-    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(k == 0, "").when(k == 1, ".csv").otherwise(".txt")).alias("path"), (k == 0).alias("is_dir"))
+    rows = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(k == 0, "").when(k == 1, ".csv").otherwise(".txt")).alias("path"),
+        (k == 0).alias("is_dir")
+    )
     return packing.split_inputs(rows).select(F.col("path").alias("name"), "step")
 
 

@@ -50,7 +50,9 @@ def mask_glbs(contents: DataFrame, types: list[str]) -> DataFrame:
 
 def dump_glb_json(contents: DataFrame) -> DataFrame:
     """(path, content): each GLB's JSON as a file beside it."""
-    return gltf.read_glb(contents, json_only=True).where("json IS NOT NULL").select(F.regexp_replace("path", r"\.glb$", ".json").alias("path"), F.encode("json", "utf-8").alias("content"))
+    return gltf.read_glb(contents, json_only=True).where("json IS NOT NULL").select(
+        F.regexp_replace("path", r"\.glb$", ".json").alias("path"), F.encode("json", "utf-8").alias("content")
+    )
 
 
 def load_glb_json(contents: DataFrame) -> DataFrame:
@@ -76,7 +78,10 @@ def mvt_report(contents: DataFrame) -> dict[str, DataFrame]:
     """Type counts and invalid features of vector tiles."""
     features = cut(tile_source.read_mvt(contents), "features")
     findings = vector_tiles.mvt_findings(features)
-    return {"types": vector_tiles.type_counts(features), "findings": findings, "invalid": vector_tiles.invalid_counts(findings), "errors": features.where("error IS NOT NULL").select("path", "error")}
+    return {
+        "types": vector_tiles.type_counts(features), "findings": findings, "invalid": vector_tiles.invalid_counts(findings),
+        "errors": features.where("error IS NOT NULL").select("path", "error")
+    }
 
 
 def raster_report(truth: DataFrame, flow: DataFrame, name: str, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +101,9 @@ def pack_outputs(rows: DataFrame, base: str) -> DataFrame:
     """
     kinds = packing.directory_formats(rows.select("dir", "path"))
     metadata = rows.where(F.col("path").rlike(r"(^|/)metadata\.json$")).withColumn("value", F.decode("content", "utf-8"))
-    made = packing.to_tilejson(metadata).where("tilejson IS NOT NULL").select("dir", F.regexp_replace("path", r"metadata\.json$", "tilejson.json").alias("path"), F.encode("tilejson", "utf-8").alias("content"))
+    made = packing.to_tilejson(metadata).where("tilejson IS NOT NULL").select(
+        "dir", F.regexp_replace("path", r"metadata\.json$", "tilejson.json").alias("path"), F.encode("tilejson", "utf-8").alias("content")
+    )
     packed = packing.packed_files(rows).unionByName(made).join(kinds, "dir")
     named = packed.where("format IS NOT NULL").select(packing.archive_name(F.lit(base), F.col("dir"), F.col("format")).alias("archive"), "path", "content")
     return containers.zip_archives(named)

@@ -28,7 +28,10 @@ SELECT event_type AS port, event_id AS line_no, '{"id":' || event_id || '}' AS f
 """)
 def store_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a store, some of them blank: those are no features, but keep their number."""
-    lines = table(spark, sf_dir, "events").select(_text("run/feature-store/", F.col("event_type"), ".jsonl").alias("path"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 5 == 0, "  ").otherwise(_text(' {"id":', F.col("event_id"), "} ")).alias("value"))
+    lines = table(spark, sf_dir, "events").select(
+        _text("run/feature-store/", F.col("event_type"), ".jsonl").alias("path"), F.col("event_id").alias("line_no"),
+        F.when(F.col("event_id") % 5 == 0, "  ").otherwise(_text(' {"id":', F.col("event_id"), "} ")).alias("value")
+    )
     return text_logs.feature_lines(lines)
 
 
@@ -92,7 +95,10 @@ def path_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by paths with indices; falsy and missing ones are empty, and a blank path styles nothing."""
     k = F.col("event_id")
     doc = _text('{"a":[{"b":"x"},{"b":"v', k % 3, '"}],"n":', k % 4, "}")
-    return table(spark, sf_dir, "events").select("event_id", text.dot_get(doc, "a[1].b").alias("second"), text.dot_get(doc, ".n").alias("falsy"), text.dot_get(doc, "a[7].b").alias("missing"), text.style_hue(doc, "  ").alias("hue"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", text.dot_get(doc, "a[1].b").alias("second"), text.dot_get(doc, ".n").alias("falsy"), text.dot_get(doc, "a[7].b").alias("missing"),
+        text.style_hue(doc, "  ").alias("hue")
+    )
 
 
 @query("""
@@ -109,7 +115,10 @@ def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = _text("e", F.col("n_nationkey"))
     nation = table(spark, sf_dir, "nation")
-    return workflows.missing_stores(nation.select(edge.alias("edge")), nation.where("n_nationkey % 4 = 0").select(_text("f/", edge, F.when(F.col("n_nationkey") % 8 == 0, ".jsonl").otherwise(".jsonl.zst")).alias("path")))
+    return workflows.missing_stores(
+        nation.select(edge.alias("edge")),
+        nation.where("n_nationkey % 4 = 0").select(_text("f/", edge, F.when(F.col("n_nationkey") % 8 == 0, ".jsonl").otherwise(".jsonl.zst")).alias("path"))
+    )
 
 
 @query("""
@@ -138,7 +147,9 @@ SELECT '100644' AS mode, CASE WHEN doc_id % 9 = 0 THEN 'tree' ELSE 'blob' END AS
 """)
 def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    value = F.when(k % 9 == 0, _text("100644 tree s", k, "       -\tdir with blank/", k, ".txt")).otherwise(_text("100644 blob s", k, "  ", F.col("n_chars"), "\tdir with blank/", k, ".txt"))
+    value = F.when(k % 9 == 0, _text("100644 tree s", k, "       -\tdir with blank/", k, ".txt")).otherwise(
+        _text("100644 blob s", k, "  ", F.col("n_chars"), "\tdir with blank/", k, ".txt")
+    )
     return text_logs.tree_rows(table(spark, sf_dir, "documents").select(value.alias("value")))
 
 
@@ -148,7 +159,9 @@ SELECT 'f' || n_nationkey AS path, '[dependencies]' || chr(10) || 'one = { git =
 def edited_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations whose dependencies on one repository are set to a branch, in place."""
     k = F.col("n_nationkey")
-    texts = table(spark, sf_dir, "nation").select(_text("f", k).alias("path"), _text('[dependencies]\none = { git = "https://h/', k % 2, '", tag = "v', k, '" }\ntwo = "1"\n').alias("value"))
+    texts = table(spark, sf_dir, "nation").select(
+        _text("f", k).alias("path"), _text('[dependencies]\none = { git = "https://h/', k % 2, '", tag = "v', k, '" }\ntwo = "1"\n').alias("value")
+    )
     blocks = text_logs.dependency_blocks(texts)
     return repositories.apply_rewrites(texts, repositories.rewrite_dependencies(blocks, "https://h/0", "main"))
 
@@ -178,7 +191,11 @@ def stack_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a benchmark as JSON lines, one of fifty no JSON at all."""
     k = F.col("o_orderkey")
-    line = _text('{"codec":"', F.col("o_orderstatus"), '","rep":', k % 2, ',"name":"http://h/', F.when(k % 3 == 0, "tiles").otherwise("other"), "/", k, '","startTime":', k, ',"fetchStart":', k, ',"requestStart":', k + 1, ',"responseStart":', k + 3, ',"responseEnd":', k + 7, ',"transferSize":1048576}')
+    line = _text(
+        '{"codec":"', F.col("o_orderstatus"), '","rep":', k % 2, ',"name":"http://h/', F.when(k % 3 == 0, "tiles").otherwise("other"), "/", k,
+        '","startTime":', k, ',"fetchStart":', k, ',"requestStart":', k + 1, ',"responseStart":', k + 3, ',"responseEnd":', k + 7,
+        ',"transferSize":1048576}'
+    )
     return table(spark, sf_dir, "orders").select(F.when(k % 50 == 0, "{broken").otherwise(line).alias("value"))
 
 
@@ -227,7 +244,10 @@ SELECT p_partkey, p_size % 6 AS kind, CASE p_size % 6 WHEN 0 THEN 0 WHEN 1 THEN
 def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every geometry type as shapes of a whole document: areas and holes, lines, points."""
     ring, hole = "[[0,0],[9,0],[9,9],[0,9],[0,0]]", "[[2,2],[4,2],[4,4],[2,2]]"
-    made = [("Point", "[1,2]"), ("MultiPoint", "[[1,2],[3,4]]"), ("LineString", ring), ("MultiLineString", f"[{ring},{hole}]"), ("Polygon", f"[{ring},{hole}]"), ("MultiPolygon", f"[[{ring},{hole}],[{ring},{hole}]]")]
+    made = [
+        ("Point", "[1,2]"), ("MultiPoint", "[[1,2],[3,4]]"), ("LineString", ring), ("MultiLineString", f"[{ring},{hole}]"),
+        ("Polygon", f"[{ring},{hole}]"), ("MultiPolygon", f"[[{ring},{hole}],[{ring},{hole}]]")
+    ]
     pick = lambda i: F.element_at(F.array(*(F.lit(m[i]) for m in made)), (F.col("p_size") % 6 + 1).cast("int"))
     doc = reports.svg_document(F.col("p_name"), F.array(*(F.lit(float(v)) for v in (0, 0, 9, 9))), reports.geometry_svg(pick(0), pick(1)))
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 6).cast("long").alias("kind"), doc.alias("doc"))

@@ -67,7 +67,11 @@ def masked_glbs(glbs: DataFrame, masked: DataFrame) -> DataFrame:
             out = []
             for r in batch.itertuples():
                 changes = r.changes if r.changes is not None else []
-                frame = pd.DataFrame([{"path": r.path, "json": r.json, "bin": r.bin, **c} for c in changes] or [{"path": r.path, "json": r.json, "bin": r.bin, "offset": None, "component": None, "new_id": None}])
+                frame = pd.DataFrame(
+                    [{"path": r.path, "json": r.json, "bin": r.bin, **c} for c in changes] or [
+                        {"path": r.path, "json": r.json, "bin": r.bin, "offset": None, "component": None, "new_id": None}
+                    ]
+                )
                 out.append(_patch(frame))
             if out:
                 yield pd.concat(out)
@@ -151,7 +155,10 @@ def write_xml(nodes: DataFrame, namespaces: DataFrame | None = None) -> DataFram
     rows = nodes.where("error IS NULL").select("path", "pre", "parent_pre", "qname", "attrs", "text", "tail")
     if namespaces is not None:
         declared = F.transform_keys("namespaces", lambda k, _: F.when(k == "_default", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), k)))
-        rows = rows.join(namespaces.select("path", declared.alias("_ns")), "path", "left").withColumn("attrs", F.when(F.col("parent_pre").isNull(), F.map_concat(F.coalesce("_ns", F.create_map().cast("map<string,string>")), F.col("attrs"))).otherwise(F.col("attrs"))).drop("_ns")
+        rows = rows.join(namespaces.select("path", declared.alias("_ns")), "path", "left").withColumn(
+            "attrs",
+            F.when(F.col("parent_pre").isNull(), F.map_concat(F.coalesce("_ns", F.create_map().cast("map<string,string>")), F.col("attrs"))).otherwise(F.col("attrs"))
+        ).drop("_ns")
     rows = rows.withColumn("attrs", F.map_entries("attrs"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -45,8 +45,13 @@ def geometry_svg(gtype: Column, coordinates: Column, styles: dict[str, str] = ST
     """
     path = lambda d, role: F.concat(F.lit('<path style="'), F.lit(styles[role]), F.lit('" d="'), d, F.lit('"/>'))
     nested = lambda depth: F.from_json(coordinates, "array<" * (depth + 1) + "double" + ">" * (depth + 1))
-    area = lambda rings, box: F.array_join(F.transform(rings, lambda r, i: F.when(i == 0, path(_line(r, box, True), "area")).otherwise(path(_line(r, box, True), "hole"))), "")
-    dot = lambda p, box: F.concat(F.lit('<circle r="3" style="'), F.lit(styles["point"]), F.lit('" cx="'), svg_place(p, box)["x"].cast("string"), F.lit('" cy="'), svg_place(p, box)["y"].cast("string"), F.lit('"/>'))
+    area = lambda rings, box: F.array_join(
+        F.transform(rings, lambda r, i: F.when(i == 0, path(_line(r, box, True), "area")).otherwise(path(_line(r, box, True), "hole"))), ""
+    )
+    dot = lambda p, box: F.concat(
+        F.lit('<circle r="3" style="'), F.lit(styles["point"]), F.lit('" cx="'), svg_place(p, box)["x"].cast("string"), F.lit('" cy="'),
+        svg_place(p, box)["y"].cast("string"), F.lit('"/>')
+    )
     each = lambda parts, draw: F.array_join(F.transform(parts, draw), "")
     polygon, polygons, line, lines, points = nested(2), nested(3), nested(1), nested(2), nested(1)
     drawn = {

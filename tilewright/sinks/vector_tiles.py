@@ -29,7 +29,9 @@ def field(number: int, value: int | bytes) -> bytes:
 
 def commands(gtype: str, coordinates: list) -> Iterator[int]:
     """MoveTo, LineTo and ClosePath with zigzag steps; a ring's repeated last point gives way to its ClosePath."""
-    parts = {"Point": lambda c: [c] if c else [], "LineString": lambda c: [c] if c else [], "MultiPolygon": lambda c: [r for p in c for r in p]}.get(gtype, lambda c: c)(coordinates)
+    parts = {
+        "Point": lambda c: [c] if c else [], "LineString": lambda c: [c] if c else [], "MultiPolygon": lambda c: [r for p in c for r in p]
+    }.get(gtype, lambda c: c)(coordinates)
     at = [0, 0]
 
     def steps(points: list) -> Iterator[int]:

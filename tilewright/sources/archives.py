@@ -24,7 +24,10 @@ _END, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
 def _list(path: str, data: bytes) -> Iterator[dict]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for nth, info in enumerate(i for i in z.infolist() if not i.is_dir()):
-            yield {"path": path, "member": info.filename, "nth": nth, "size": info.file_size, "compressed": info.compress_size, "method": info.compress_type, "crc": info.CRC, "offset": info.header_offset}
+            yield {
+                "path": path, "member": info.filename, "nth": nth, "size": info.file_size, "compressed": info.compress_size,
+                "method": info.compress_type, "crc": info.CRC, "offset": info.header_offset
+            }
 
 
 def _read(path: str, data: bytes, prefixes: list[str] | None) -> Iterator[dict]:

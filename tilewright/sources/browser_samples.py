@@ -21,7 +21,9 @@ def parse_samples(lines: DataFrame, kind: str, col: str = "value") -> DataFrame:
     """Samples of a kind from JSON lines that also name their ``codec`` and ``rep``; a line that is no JSON has nulls and an ``error``."""
     fields = ", ".join(f"{name} {of}" for name, of, _ in SAMPLES[kind])
     row = F.from_json(col, f"codec string, rep int, {fields}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
-    return lines.where(F.trim(col) != "").select(row.alias("r")).select("r.codec", "r.rep", *(F.col(f"r.{name}").alias(as_) for name, _, as_ in SAMPLES[kind]), F.col("r._broken").alias("error"))
+    return lines.where(F.trim(col) != "").select(row.alias("r")).select(
+        "r.codec", "r.rep", *(F.col(f"r.{name}").alias(as_) for name, _, as_ in SAMPLES[kind]), F.col("r._broken").alias("error")
+    )
 
 
 def read_samples(spark: SparkSession, path: str, kind: str) -> DataFrame:

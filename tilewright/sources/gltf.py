@@ -163,7 +163,10 @@ def _vertices(path: str, data: bytes) -> Iterator[dict]:
             size = struct.calcsize(code)
             at, step = view.get("byteOffset", 0) + accessor.get("byteOffset", 0), view.get("byteStride") or size
             for i in range(accessor["count"]):
-                yield {"path": path, "mesh": m, "primitive": p, "vertex": i, "offset": at + i * step, "component": accessor["componentType"], "feature_id": int(struct.unpack_from("<" + code, binary, at + i * step)[0])}
+                yield {
+                    "path": path, "mesh": m, "primitive": p, "vertex": i, "offset": at + i * step, "component": accessor["componentType"],
+                    "feature_id": int(struct.unpack_from("<" + code, binary, at + i * step)[0])
+                }
 
 
 def glb_feature_ids(contents: DataFrame) -> DataFrame:

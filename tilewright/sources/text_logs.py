@@ -49,7 +49,10 @@ def feature_at(spark: SparkSession, out: str, port: str, line_no: int, lines: in
 def tree_rows(lines: DataFrame) -> DataFrame:
     """mode, type, sha, size (null for ``-``) and file of a tree listing's lines."""
     part = lambda n: F.regexp_extract("value", r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$", n)
-    return lines.where("trim(value) <> ''").select(part(1).alias("mode"), part(2).alias("type"), part(3).alias("sha"), F.expr(r"try_cast(regexp_extract(value, '^\\S+\\s+\\S+\\s+\\S+\\s+(\\S+)', 1) AS BIGINT)").alias("size"), part(5).alias("file"))
+    return lines.where("trim(value) <> ''").select(
+        part(1).alias("mode"), part(2).alias("type"), part(3).alias("sha"),
+        F.expr(r"try_cast(regexp_extract(value, '^\\S+\\s+\\S+\\s+\\S+\\s+(\\S+)', 1) AS BIGINT)").alias("size"), part(5).alias("file")
+    )
 
 
 def log_rows(lines: DataFrame) -> DataFrame:
@@ -62,7 +65,9 @@ def log_rows(lines: DataFrame) -> DataFrame:
     header = F.when(F.col("value").rlike(head), F.struct(F.regexp_extract("value", head, 1).alias("date"), branch_name(F.regexp_extract("value", head, 2)).alias("branch")))
     before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = kept.withColumn("_head", header).withColumn("_now", F.last("_head", ignorenulls=True).over(before))
-    return rows.where("_head IS NULL AND _now IS NOT NULL").select("path", "line_no", F.col("_now.date").alias("date"), F.col("_now.branch").alias("branch"), F.col("value").alias("file"))
+    return rows.where("_head IS NULL AND _now IS NOT NULL").select(
+        "path", "line_no", F.col("_now.date").alias("date"), F.col("_now.branch").alias("branch"), F.col("value").alias("file")
+    )
 
 
 def stack_rows(lines: DataFrame) -> DataFrame:

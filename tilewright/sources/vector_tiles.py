@@ -145,7 +145,12 @@ def _tile(path: str, data: bytes) -> Iterator[dict]:
                         commands = _packed(v)
                 gtype, coords = (None, None) if commands is None else _geometry(kind, commands)
                 props = {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2], strict=False)}
-                found.append(row | {"layer": name, "nth": nth, "extent": extent, "gtype": gtype, "coordinates": None if coords is None else json.dumps(coords, separators=(",", ":")), "props": [*props.items()]})
+                found.append(
+                    row | {
+                        "layer": name, "nth": nth, "extent": extent, "gtype": gtype,
+                        "coordinates": None if coords is None else json.dumps(coords, separators=(",", ":")), "props": [*props.items()]
+                    }
+                )
         yield from found
     except (ValueError, IndexError, struct.error) as wrong:
         yield row | {"error": f"{type(wrong).__name__}: {wrong}"}
