@@ -229,7 +229,10 @@ def test_language_cases(spark, sf_dir):
 
 
 def test_language_sample_is_bounded(spark):
-    same = spark.createDataFrame([(27, f"the text number {i}", "en") for i in range(4000)] + [(27, "one row", "en")] * 2000 + [(None, f"le texte {i}", "fr") for i in range(1000)], "doc_id long, text string, lang string")
+    same = spark.createDataFrame(
+        [(27, f"the text number {i}", "en") for i in range(4000)] + [(27, "one row", "en")] * 2000 + [(None, f"le texte {i}", "fr") for i in range(1000)],
+        "doc_id long, text string, lang string"
+    )
     got = langid.training_sample(same, max_train=100)
     assert len(got) <= 100 and len({*got}) == len(got) and {lang for _, lang in got} == {"en", "fr"}
 
@@ -312,7 +315,10 @@ def test_ann_recall(spark, sf_dir):
 def test_ann_cases(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 60)]
-    rows += [(100 + i, [1.0] * 8) for i in range(30)] + [(0, [1.0] * 8), (200, None), (250, [0.0] * 8), (300, [float("nan")] * 8), (350, [None] * 8), (400, [float("inf")] * 8), (450, []), (None, [1.0] * 8), (1, rows[0][1]), (500, [2.0] * 8)]
+    rows += [(100 + i, [1.0] * 8) for i in range(30)] + [
+        (0, [1.0] * 8), (200, None), (250, [0.0] * 8), (300, [float("nan")] * 8), (350, [None] * 8), (400, [float("inf")] * 8), (450, []),
+        (None, [1.0] * 8), (1, rows[0][1]), (500, [2.0] * 8)
+    ]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "vec_id long, embedding array<double>, score double").repartition(3)
     got = {}
     for r in sorted(ann.nearest(df, F.col("vec_id") % 50 == 0).collect()):

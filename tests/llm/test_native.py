@@ -159,7 +159,9 @@ def check_mix(rows, docs):
 
 
 def test_mix_small(spark):
-    docs = [(i, "w " * (i % 50) if i % 11 else None, [None, "b", "a", "é", "big", "big", "big"][i % 7]) for i in range(700)] + [(5000, "only three words", "tiny"), (5001, "", "void")]
+    docs = [
+        (i, "w " * (i % 50) if i % 11 else None, [None, "b", "a", "é", "big", "big", "big"][i % 7]) for i in range(700)
+    ] + [(5000, "only three words", "tiny"), (5001, "", "void")]
     df = spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, source string, size string")
     first = mixing.mix(df).collect()
     assert len(first) == len(docs)

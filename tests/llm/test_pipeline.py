@@ -16,7 +16,13 @@ def words(t):
 
 def test_stages(spark, tiny_dir):
     docs = table(spark, tiny_dir, "documents")
-    extra = spark.createDataFrame([(9000, None, "en", "src1", 0), (9001, "12 34 !", "en", "src1", 7), (9002, "", None, "src2", 0), (9003, "the and of that", None, None, 1), (9003, "the and of that", None, None, 1), (9004, "the  and of that", "en", "src1", 1)], docs.schema)
+    extra = spark.createDataFrame(
+        [
+            (9000, None, "en", "src1", 0), (9001, "12 34 !", "en", "src1", 7), (9002, "", None, "src2", 0), (9003, "the and of that", None, None, 1),
+            (9003, "the and of that", None, None, 1), (9004, "the  and of that", "en", "src1", 1)
+        ],
+        docs.schema
+    )
     docs = docs.unionByName(extra)
     columns = docs.columns
     rows = docs.collect()
@@ -57,7 +63,9 @@ def test_stages(spark, tiny_dir):
 
 
 def test_languages_that_do_not_stay_go(spark, tiny_dir):
-    docs = table(spark, tiny_dir, "documents").unionByName(spark.createDataFrame([(9100, "the house and the garden of that man", None, "s", 1)], table(spark, tiny_dir, "documents").schema))
+    docs = table(spark, tiny_dir, "documents").unionByName(
+        spark.createDataFrame([(9100, "the house and the garden of that man", None, "s", 1)], table(spark, tiny_dir, "documents").schema)
+    )
     model = langid.fit(langid.training_sample(docs))
     said = {(r.doc_id, r.lang_pred) for r in langid.predict(docs, model).collect()}
     kept = corpus_pipeline.keep_language(spark, docs, tiny_dir, frozenset({"en", "fr"})).collect()
@@ -68,7 +76,10 @@ def test_languages_that_do_not_stay_go(spark, tiny_dir):
 def test_near_copies_of_shared_and_null_ids(spark, tiny_dir):
     schema = table(spark, tiny_dir, "documents").schema
     long = " ".join(f"word{i}" for i in range(400))
-    texts = [(5, long), (5, long + " end"), (5, "something else that is quite short"), (None, "null id text one two three"), (None, "another null id text four five"), (7, long + " end"), (8, "z y x w"), (8, "z y x w"), (3, "q r s t u"), (None, "q r s t u")]
+    texts = [
+        (5, long), (5, long + " end"), (5, "something else that is quite short"), (None, "null id text one two three"),
+        (None, "another null id text four five"), (7, long + " end"), (8, "z y x w"), (8, "z y x w"), (3, "q r s t u"), (None, "q r s t u")
+    ]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], schema)
     fps = [brute_fp(t) for _, t in texts]
     roots = union({*fps}, close(sorted({*fps})))
@@ -89,7 +100,12 @@ def test_empty_table(spark, tiny_dir):
 
 def test_repeated_and_null_ids_through_all_stages(spark, tiny_dir):
     schema = table(spark, tiny_dir, "documents").schema
-    rows = [(i % 40 if i % 9 else None, f"the text number {i} of the corpus says that {'und der ' * (i % 7)}", "en" if i % 2 else "de", f"s{i % 3}" if i % 11 else None, 1) for i in range(300)]
+    rows = [
+        (
+            i % 40 if i % 9 else None, f"the text number {i} of the corpus says that {'und der ' * (i % 7)}", "en" if i % 2 else "de",
+            f"s{i % 3}" if i % 11 else None, 1
+        ) for i in range(300)
+    ]
     docs = spark.createDataFrame(rows + rows[:50] + [(None, None, None, None, None)] * 3, schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, tiny_dir)

@@ -152,7 +152,10 @@ def _pilot(batches: Iterator[pa.RecordBatch], coder: Broadcast, kind: str, pilot
         some = np.isfinite(score[a, b])
         a, b = a[some], b[some]
         apart = np.bitwise_count(codes[a] ^ c.codes(x)[b]).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(own[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(score[a, b]), pa.array([r.tobytes() for r in apart], pa.binary())], names=["query_id", "vec_id", "score", "apart"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(score[a, b]), pa.array([r.tobytes() for r in apart], pa.binary())],
+            names=["query_id", "vec_id", "score", "apart"]
+        )
 
 
 def flips(bits: int, radius: int) -> list[int]:
@@ -181,7 +184,10 @@ def _pack(batches: Iterator[pa.RecordBatch], coder: Broadcast, kind: str, shelf_
             # A shelf's packs are dealt over SPREAD keys, each of which queries go to.
             keys = [((shelf[t[0]] ^ masks)[:, None] * SPREAD + (np.arange(SPREAD) if probe else [(nth + i) % SPREAD])).ravel() for i, t in enumerate(take)]
             nth += len(take)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), *(pa.array([v[t].tobytes() for t in take], pa.binary()) for v in (ids, codes[:, s], x))], names=["keys", "ids", "codes", "vectors"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.list_(pa.int64())), *(pa.array([v[t].tobytes() for t in take], pa.binary()) for v in (ids, codes[:, s], x))],
+                names=["keys", "ids", "codes", "vectors"]
+            )
 
 
 def _scores(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,7 +286,10 @@ def build(rows: DataFrame, k: int, sample: int = SAMPLE, pilots: int = PILOTS) -
     shelf_bits = int(np.clip(round(np.log2(max(n, 1) / SHELF_ROWS)), 0, MOST_SHELF_BITS))
     asked = [(r.id, list(r.v)) for r in some if len(r.v) == coder.dim]
     if asked:
-        found = map_arrow(rows.select("id", "v"), partial(_pilot, coder=spark.sparkContext.broadcast(coder), kind=kind, pilots=asked[:pilots], k=k), "query_id long, vec_id long, score double, apart binary")
+        found = map_arrow(
+            rows.select("id", "v"), partial(_pilot, coder=spark.sparkContext.broadcast(coder), kind=kind, pilots=asked[:pilots], k=k),
+            "query_id long, vec_id long, score double, apart binary"
+        )
         near = np.array([list(r.apart) for r in _top(found.distinct(), k).select("apart").collect()], np.uint8).reshape(-1, CODE_BITS // SUBSTRING_BITS)
         codes = coder.codes(np.array([v for _, v in asked]))
         far = np.concatenate([np.bitwise_count(codes[i] ^ codes[i + 1 :]) for i in range(min(pilots, len(codes)))])

@@ -124,7 +124,12 @@ class Renderer:
 
 
 def _format(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, render: Callable[[list[Message]], str], window: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv", id_type), ("nth", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("rewrote", pa.bool_()), ("settled", pa.bool_())])
+    schema = pa.schema(
+        [
+            ("conv", id_type), ("nth", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
+            ("rewrote", pa.bool_()), ("settled", pa.bool_())
+        ]
+    )
     conv, renderer, nth = None, None, 0
     for whole in batches:
         for k in range(0, whole.num_rows, rows):
@@ -152,7 +157,10 @@ def format_conversations(turns: DataFrame, render: Callable[[list[Message]], str
     kind = turns.schema[id_col].dataType
     rows = turns.select(turns[id_col].alias("conv"), turns[turn_col].alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text"))
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    return map_arrow(ordered, partial(_format, id_type=to_arrow_type(kind), render=render, window=window), f"conv {kind.simpleString()}, nth long, role string, piece string, start long, end long, rewrote boolean, settled boolean")
+    return map_arrow(
+        ordered, partial(_format, id_type=to_arrow_type(kind), render=render, window=window),
+        f"conv {kind.simpleString()}, nth long, role string, piece string, start long, end long, rewrote boolean, settled boolean"
+    )
 
 
 Reader = Callable[[str], list[tuple[str, int, int]]]
@@ -200,7 +208,12 @@ def _turns(batches: Iterator[pa.RecordBatch], read: Reader, plain: Callable[[str
 
 
 def _digest(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, read: Reader, plain: Callable[[str], str], trained: str) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv", id_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites", pa.int64())])
+    schema = pa.schema(
+        [
+            ("conv", id_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
+            ("formatted_chars", pa.int64()), ("rewrites", pa.int64())
+        ]
+    )
     done: list[tuple] = []
     out = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
     n, chars, turns, loss = 0, 0, hashlib.sha256(), hashlib.sha256()

@@ -186,7 +186,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast, text_col: str,
                 for i, k, row in zip(live, best, scores, strict=True):
                     said[i], sure[i] = m.langs[k], float(min(1.0, max(0.0, row[k])))
             rows = [batch.column(2)] if carried else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rows, pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=["id", "held_out", *["row"] * carried, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *rows, pa.array(said, pa.string()), pa.array(sure, pa.float64())],
+                names=["id", "held_out", *["row"] * carried, "lang_pred", "score"]
+            )
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -196,5 +199,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.struct(*docs.columns).alias("row") if carry else F.col(text_col))
-    schema = T.StructType([rows.schema["id"], rows.schema["held_out"], *([rows.schema["row"]] if carry else []), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(
+        [rows.schema["id"], rows.schema["held_out"], *([rows.schema["row"]] if carry else []), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    )
     return map_arrow(rows, partial(_predict, model=sent, text_col=text_col, carried=carry), schema).withColumnRenamed("id", id_col)

@@ -16,8 +16,10 @@ are ranked by bins of their quotients where they are many. Sources themselves
 are ranked in one task, a row each: millions of them are fine, but a corpus
 whose every host is a source should name them more coarsely.
 
-Defined results: null texts have size 0 and take 0; a null source is a source
-of its own; a null id is kept; repeated rows each count; an empty table gives
+Defined results: null texts have size 0 and take 0; texts of any length count
+whole, and one longer than a shard is a shard's own; of equal quotients the first
+source or shard wins; a null source is a source of its own; a null id is kept;
+repeated rows each count; an empty table gives
 an empty result; other columns are not read, so their names cannot clash.
 """
 

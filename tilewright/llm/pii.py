@@ -36,7 +36,10 @@ ADDED = {
 }
 KINDS = [*BASE, *ADDED]
 #: What a text must hold before a kind's full pattern is tried.
-HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+HINTS = {
+    "email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"
+}
 CONTEXT_CHARS, CONTEXT_GAIN, LEAST_SCORE = 40, 0.1, 0.4
 #: Numbers summed at a time, levels of such sums, and characters of a stretch of text.
 SUMMED, LEVELS, STRETCH = 64, 2, 512
@@ -152,4 +155,7 @@ def pii_digest(spans: Column) -> list[Column]:
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return [*counts, F.sha2(said(base), 256).alias("base_sha256"), said(spans).alias("spans"), F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("top_score")]
+    return [
+        *counts, F.sha2(said(base), 256).alias("base_sha256"), said(spans).alias("spans"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("top_score")
+    ]

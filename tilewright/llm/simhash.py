@@ -19,7 +19,8 @@ fingerprint is linked with a few hubs of its cells,
 and the join then looks only for links between different components of these.
 
 Defined results: a null text counts as empty, and texts without words have
-fingerprint zero and link like others; null ids are never a component's least
+fingerprint zero and link like others; texts of any length are read whole, a
+text's words in one task; null ids are never a component's least
 id while another is there; repeated rows are repeated in the result; an empty
 table gives an empty result; other columns are not read.
 """
@@ -142,7 +143,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
-    units = cut(map_arrow(docs.select(id_col, text_col), partial(_units, id_type=to_arrow_type(kind), shingle=shingle, seed=seed), f"fp long, members array<{kind.simpleString()}>"), "fingerprints")
+    units = cut(
+        map_arrow(docs.select(id_col, text_col), partial(_units, id_type=to_arrow_type(kind), shingle=shingle, seed=seed), f"fp long, members array<{kind.simpleString()}>"),
+        "fingerprints"
+    )
     nodes = cut(units.groupBy("fp").agg(F.min(F.array_min("members")).alias("low_id")), "nodes")
     near = components(hub_links(nodes))
     placed = cut(nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root")), "placed")

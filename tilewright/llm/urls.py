@@ -137,5 +137,8 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: list[tuple[str, str, str]],
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = BASE_RULES, host_blocks: list[str] = HOST_BLOCKS) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict and the method's globs that fit."""
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = map_arrow(pages.select(id_col, url_col), partial(_judge, rules=rules, host_blocks=host_blocks), f"id {kind}, host string, path string, rule string, verdict string, globs string")
+    rows = map_arrow(
+        pages.select(id_col, url_col), partial(_judge, rules=rules, host_blocks=host_blocks),
+        f"id {kind}, host string, path string, rule string, verdict string, globs string"
+    )
     return rows.withColumnRenamed("id", id_col)
