@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import catalog, exact_dedup, langid, mixing, simhash
-from tilewright.plans import cut, ship, table
+from tilewright.plans import cut, forget, ship, table
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: frozenset[str] | None = None) -> DataFrame:
@@ -92,8 +92,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and reread by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and reread by the next, which deletes what it read."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
