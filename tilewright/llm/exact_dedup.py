@@ -51,7 +51,9 @@ def _units(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, block_bytes:
     """Rows (uid, pos, n, block, mark, sha, members): the blocks of each distinct text of what has been read."""
     context = TaskContext.get()
     uid = (context.partitionId() if context else 0) << 40
-    schema = pa.schema([("uid", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("mark", pa.int64()), ("sha", pa.string()), ("members", pa.list_(id_type))])
+    schema = pa.schema(
+        [("uid", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("mark", pa.int64()), ("sha", pa.string()), ("members", pa.list_(id_type))]
+    )
     folded: dict[bytes, list] = {}
     held = 0
 
@@ -100,7 +102,10 @@ def _name_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
                 shown = shown or salt is not None
         rest = [c for c in batch.schema.names if c not in (*keys, "salt")]
         first = pa.array(kept, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.int64()), *(batch.column(k).take(first) for k in keys)], names=[*rest, "name", *keys])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in rest), pa.array(names, pa.int64()), *(batch.column(k).take(first) for k in keys)],
+            names=[*rest, "name", *keys]
+        )
 
 
 def _named(df: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -145,13 +145,17 @@ def word_counts(docs: DataFrame, templates: list[Template] = TEMPLATES, text_col
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: list[Template], counts: dict[bytes, int], stride: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(templates, counts, stride)
-    kind = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("template", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("containment", pa.float64())]))
+    kind = pa.list_(
+        pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("template", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("containment", pa.float64())])
+    )
     for batch in batches:
         lengths, matches = [], []
         for text in batch.column(1):
             n, found = matcher.scan(text.as_py())
             lengths.append(n)
-            matches.append([{"label": templates[k].label, "phrase": templates[k].phrase, "template": k, "block": b, "start": at, "containment": share} for k, b, at, share in found])
+            matches.append(
+                [{"label": templates[k].label, "phrase": templates[k].phrase, "template": k, "block": b, "start": at, "containment": share} for k, b, at, share in found]
+            )
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(matches, kind)], names=["id", "n_words", "matches"])
 
 
