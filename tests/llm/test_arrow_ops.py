@@ -4,6 +4,8 @@ import hashlib
 import re
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,9 +29,12 @@ def test_bpe_equals_tiktoken(text):
     got = CODER.encode(text)
     assert ids(got) == REF.encode_ordinary(text)
     assert CODER.decode(got) == text.encode()
-    starts, ends = CODER.offsets(text)
-    assert len(starts) == len(got) // 4 and all(0 <= a <= b <= len(text) for a, b in zip(starts, ends, strict=True))
-    assert (not starts) == (not text) and (not text or (starts[0] == 0 and ends[-1] == len(text)))
+    # The library's own offsets of each piece, moved to the piece's place.
+    want, at = [], 0
+    for piece in CODER.pieces(text):
+        want += [[at + a, at + b] for a, b in CODER.model.encode(piece, add_special_tokens=False).offsets]
+        at += len(piece)
+    assert CODER.offsets(got, text.encode()).tolist() == want
 
 
 def test_bpe_whole_table(spark, sf_dir):
@@ -43,13 +48,18 @@ def test_bpe_whole_table(spark, sf_dir):
 
 
 def test_bpe_cases(spark):
-    docs = spark.createDataFrame([(1, None, "q"), (1, "", "q"), (None, "é😀 long " * 30_000, "q"), (2, "-" * 5000, "q"), (2, "-" * 5000, "q")], "doc_id long, text string, ids string")
-    got = bpe.encode(docs, RANKS, PATTERN, offsets=True).collect()
+    docs = spark.createDataFrame(
+        [(1, None, "q"), (1, "", "q"), (None, "é😀 long " * 30_000, "q"), (2, "-" * 5000, "q"), (2, "-" * 5000, "q")],
+        "doc_id long, text string, ids string"
+    )
+    got = bpe.round_trip(docs, RANKS, PATTERN).collect()
     assert sorted(len(r.ids) for r in got)[:2] == [0, 0] and len(got) == 5
-    assert all(len(r.starts) * 4 == len(r.ids) for r in got)
-    assert bpe.decode(bpe.encode(docs.limit(0), RANKS, PATTERN), RANKS, PATTERN).count() == 0
-    split = CODER.offsets("𒀀")
-    assert {*zip(*split, strict=True)} == {(0, 1)} and len(split[0]) > 1  # one character over several ids
+    assert all(len(r.offsets) == 2 * len(r.ids) for r in got)
+    apart = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN).collect()
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in apart) == sorted((str(r.doc_id), r.ids, r.decoded) for r in got)
+    assert bpe.decode(bpe.encode(docs.limit(0), RANKS, PATTERN), RANKS, PATTERN).count() == 0 == bpe.round_trip(docs.limit(0), RANKS, PATTERN).count()
+    split = CODER.offsets(CODER.encode("a𒀀"), "a𒀀".encode()).tolist()
+    assert split[0] == [0, 1] and split[1:] == [[1, 2]] * (len(split) - 1) and len(split) > 2  # one character over several ids
 
 
 def test_small_piece_table(monkeypatch):
@@ -57,7 +67,6 @@ def test_small_piece_table(monkeypatch):
     coder = bpe.ByteBpe(RANKS, PATTERN)
     for text in ("a b c d e f g", "h i j a b", "a b c d e f g"):
         assert ids(coder.encode(text)) == REF.encode_ordinary(text)
-        assert len(coder.offsets(text)[0]) == len(REF.encode_ordinary(text))
 
 
 # Chat
@@ -153,7 +162,7 @@ def test_chat_rewriting_is_read_back(spark):
         talks[conv] = [("system", "be <brief>")] + [("assistant" if i % 2 else "user", f"\\t{i}>") for i in range(1, n - 1)] + [("user", "RESET")]
         rows += [(conv, i, *m) for i, m in enumerate(talks[conv])]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_conversations(turns, reset)
+    out = chat.format_conversations(turns, reset).cache()
     steps = {c: replay((r.start, r.piece, r.rewrote) for r in sorted(out.collect(), key=lambda r: r.nth) if r.conv == c) for c in talks}
     masks = chat.loss_mask(out.orderBy("piece")).collect()
     for r in chat.read_back(out.orderBy("piece")).collect():  # whatever the order of the rows
@@ -176,7 +185,10 @@ def test_chat_mask_of_the_default_template(spark):
 
 
 def test_chat_cases(spark):
-    rows = [(1, 1, "assistant", None), (1, 0, "user", "q"), (None, 0, None, "x"), (2, None, "assistant", "y"), (2, None, "assistant", "y"), *((3, i, "user" if i % 2 == 0 else "assistant", f"t{i}<") for i in range(700))]
+    rows = [
+        (1, 1, "assistant", None), (1, 0, "user", "q"), (None, 0, None, "x"), (2, None, "assistant", "y"), (2, None, "assistant", "y"),
+        *((3, i, "user" if i % 2 == 0 else "assistant", f"t{i}<") for i in range(700))
+    ]
     turns = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, piece string")
     out = chat.format_conversations(turns)
     got = {r.conv: r for r in chat.read_back(out).collect()}
@@ -213,10 +225,23 @@ def test_url_cases(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_many_url_rules(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.net", f"/{'ab'[i % 2]}") for i in range(900)] + [("allow", "h1.net", "/b"), ("block", "h1.net", "/b"), ("block", "net", "/zz")]
+    urls_ = [f"x://s.h{i}.net/{'ab'[i % 2]}c" for i in range(0, 900, 7)] + ["x://h1.net/b", "x://q.net/zz", "x://q.net/z", None] * 2
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, url string")
+    for r in urls.judge_urls(pages, rules=rules, host_blocks=["q.*"]).collect():
+        host, path = urls.canonical(urls_[r.page_id])
+        fits = [(len(h + p), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (r.rule, r.verdict) == ((best[2], best[3]) if best else (None, "block" if host.startswith("q.") else "allow"))
+
+
 # Exact dedup
 
 
-def test_dedup_cases(spark):
+@pytest.mark.parametrize("hot", [500, 0, 1])
+def test_dedup_cases(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)  # from every block salted to none
     long = "x" * 50
     texts = ["a  b", "a\tb", "a b ", None, "", "a b", long, long + "y", long + "y", "x" * 49, " ", "\n\n", "ab", "abcabcab", "abcabca", "z" * 1000, "z" * 1000, "z" * 1001]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "a b", 1), (None, "null id", 1), (0, "a  b", 1), (0, "other", 1)]
@@ -230,3 +255,10 @@ def test_dedup_cases(spark):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_folding_is_bounded_by_members():
+    docs = pa.RecordBatch.from_pydict({"id": pa.array(range(300_000), pa.int64()), "text": pa.array([None] * 300_000, pa.string())})
+    units = list(exact_dedup._units(iter([docs] * 4), pa.int64(), 16))
+    assert len(units) > 1 and sum(len(m) for u in units for m in u.column("members").to_pylist()) == 1_200_000
+    assert max(len(m) for u in units for m in u.column("members").to_pylist()) <= exact_dedup.FOLD_BYTES // exact_dedup.MEMBER_BYTES + 1

@@ -38,12 +38,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
-    """Digest of ids and of decoded bytes, with the multilingual ranks."""
+    """Digests of ids, of decoded bytes and of offsets, with the multilingual ranks."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, *ranks), *ranks)
-    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return bpe.round_trip(docs, *ranks).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), digest("ids"), digest("decoded"), digest("offsets"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
