@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tilewright.operators import citygml, features, models, packing, rasters, repositories, tiles, vector_tiles, workflows
 from tilewright.sinks import containers, reports
 from tilewright.sinks import files as file_sink
-from tilewright.sources import archives, decode, gltf, text_logs, tilesets, vector_tiles as mvt, workflows as wf, xml_nodes
+from tilewright.sources import archives, decode, gltf, synthetic, text_logs, tilesets, vector_tiles as mvt, workflows as wf, xml_nodes
 from tilewright.sources.rasters import image_headers, read_depth, read_png, write_png
 
 
@@ -342,6 +342,19 @@ def test_subset(spark, city):
     assert again.where("local = 'imageURI'").first().text == "t/one.jpg"
 
 
+def test_generated_walls(spark):
+    files = synthetic.wall_case(spark, walls=20, side=8).cache()
+    again = {r.path: bytes(r.content) for r in synthetic.wall_case(spark, walls=20, side=8).collect()}
+    assert {r.path: bytes(r.content) for r in files.collect()} == again and len(again) == 21
+    nodes = xml_nodes.read_nodes(files.where("path LIKE '%.gml'")).cache()
+    assert [r.finding for r in citygml.alignment_findings(nodes).collect()] == ["ok"] * 20
+    assert {r.texture for r in citygml.texture_targets(nodes).collect()} == {p for p in again if p.endswith(".png")}
+    assert {(r.width, r.height) for r in image_headers(files.where("path LIKE '%.png'")).collect()} == {(8, 8)}
+    assert len({read_png(c)[0, 0].tobytes() for p, c in again.items() if p.endswith(".png")}) > 15
+    said = {r.local: r.text for r in nodes.where("local LIKE '%Corner'").collect()}
+    assert said == {"lowerCorner": "35.000 135.000 0.0", "upperCorner": "35.001 135.001 1.0"}
+
+
 # Archives
 
 
@@ -370,6 +383,16 @@ def test_zip(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[-1] for r in decode.listing(spark, str(tmp_path), "*.bin").collect()} == {"y.bin"}
 
 
+def test_fetch(spark, tmp_path):
+    (tmp_path / "src.txt").write_text("data")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/have.txt").write_text("old")
+    rows = spark.createDataFrame([(f"file://{tmp_path}/src.txt", "a/new.txt"), (f"file://{tmp_path}/src.txt", "have.txt"), (f"file://{tmp_path}/gone.txt", "gone.txt")], "url string, path string")
+    got = {r.path: (r.state, r.size, bool(r.error)) for r in file_sink.fetch_artifacts(rows.coalesce(1), f"file://{tmp_path}/out", pause=0.01).collect()}
+    assert got == {"a/new.txt": ("fetched", 4, False), "have.txt": ("present", 3, False), "gone.txt": ("failed", None, True)}
+    assert (tmp_path / "out/a/new.txt").read_text() == "data" and (tmp_path / "out/have.txt").read_text() == "old"
+
+
 # Text logs
 
 

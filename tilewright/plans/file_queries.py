@@ -16,7 +16,7 @@ from tilewright.plans import cut, shared_dir, ship, tasks
 from tilewright.plans.core_queries import brand_glbs, order_geometries, query
 from tilewright.plans.tables import table
 from tilewright.sinks import containers, files as file_sink, reports, vector_tiles as tile_sink
-from tilewright.sources import archives, decode, gltf, rasters as raster_source, tilesets, vector_tiles as tile_source, xml_nodes
+from tilewright.sources import archives, decode, gltf, rasters as raster_source, synthetic, tilesets, vector_tiles as tile_source, xml_nodes
 
 
 def _text(*parts: Column | str) -> Column:
@@ -190,6 +190,16 @@ def mixed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("path").agg(said.alias("said"))
 
 
+@query("""
+SELECT 'face' || i AS polygon, printf('appearance/wall_%05d.png', i) AS texture, '35.001 135.001 1.0' AS upper FROM range(64) AS r(i)
+""")
+def generated_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up model of walls that lie on one another, read again; it needs no table."""
+    nodes = cut(xml_nodes.read_nodes(synthetic.wall_case(spark).where("path LIKE '%.gml'")), "walls")
+    upper = nodes.where("local = 'upperCorner'").select("path", F.col("text").alias("upper"))
+    return citygml.texture_targets(nodes).join(upper, "path").select("polygon", "texture", "upper")
+
+
 # Tilesets: parts as content cells of an implicit quadtree with subtrees of two levels
 
 
