@@ -219,9 +219,9 @@ def test_url_cases(spark):
         "x://a.com/x.example.org/es/": ("a.com", "/x.example.org/es/", None, "allow"), "x://h?://b/c": ("h", "", None, "allow"), "x://ads-track.example.net/de/": ("ads-track.example.net", "/de/", None, "block"),
         "x://m.free-bets.com/de/" + "a" * 60_000: ("m.free-bets.com", "/de/" + "a" * 60_000, "com/de/", "block"), "x://com/fr/": ("com", "/fr/", "com/fr/", "allow"), "x://É.org/\n": ("É.org", "/\n", "org/", "allow"),
     }
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)] + [(None, None, "h")], "page_id long, url string, host string")
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)] + [(None, None, "h")] * 2, "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages).collect()}
-    assert got == dict(enumerate(cases.values())) | {None: ("", "", None, "allow")}
+    assert got == dict(enumerate(cases.values())) | {None: ("", "", None, "allow")} and urls.judge_urls(pages).count() == len(cases) + 2
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
