@@ -36,3 +36,18 @@ def test_query(spark, sf_dir, con, name):
 
 def test_all_have_sql():
     assert QUERIES.keys() == ORACLES.keys()
+
+
+def test_containers_of_customers_with_any_keys(spark, sf_dir, tmp_path):
+    c = duckdb.connect()
+    for name in ("region", "nation"):
+        os.symlink(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet")
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    keys = "SELECT i + CASE i % 4 WHEN 0 THEN 0 WHEN 1 THEN 499990 WHEN 2 THEN 13000000 ELSE 1000000000000 END AS k, i FROM range(-20, 6000) r(i)"
+    c.sql(f"CREATE TABLE customer AS SELECT CAST(k AS BIGINT) AS c_custkey, CAST(i * i % 26 AS INTEGER) AS c_nationkey FROM ({keys})")
+    c.sql(f"CREATE TABLE orders AS SELECT CAST(k AS BIGINT) AS o_custkey, CASE WHEN i % 3 > 0 THEN 'P' ELSE 'F' END AS o_orderstatus FROM ({keys})")
+    for name in ("customer", "orders"):
+        c.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    for name in ("textured_containers", "innermost_containers"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())

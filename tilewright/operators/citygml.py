@@ -61,7 +61,7 @@ def textured_elements(nodes: DataFrame, polygons: DataFrame) -> DataFrame:
     own = nodes.where("local = 'Polygon' AND gml_id IS NOT NULL").join(
         polygons.select(F.col("path").alias("_p"), "polygon"), (F.col("path") == F.col("_p")) & (F.col("gml_id") == F.col("polygon")), "left_semi"
     )
-    found = below(nodes.where("gml_id IS NOT NULL"), own)
+    found = below(nodes.where("gml_id IS NOT NULL AND last > pre"), own)  # leaves contain nothing and are most of the nodes
     per_id = found.groupBy(F.col("a.path").alias("path"), F.col("a.gml_id").alias("gml_id")).agg(F.countDistinct("d.gml_id").alias("polygons"))
     place = nodes.where("gml_id IS NOT NULL").groupBy("path", "gml_id").agg(F.max(F.struct("pre", "last", "local")).alias("at"))
     return per_id.join(place, ["path", "gml_id"]).select("path", "gml_id", "polygons", "at.pre", "at.last", "at.local")

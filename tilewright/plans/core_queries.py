@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, text, tiles as tile_functions
 from tilewright.operators import citygml, features, load_bench, models, packing, rasters, repositories, tiles, vector_tiles, workflows
+from tilewright.plans.cut import cut
 from tilewright.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,21 +144,33 @@ def texture_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and customers as a node table of one document, numbered in document order."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    customer = table(spark, sf_dir, "customer")
-    span = F.lit(500_000)
-    row = lambda df, pre, last, depth, kind, key: df.select(
-        F.lit("doc").alias("path"), pre.alias("pre"), last.alias("last"), F.lit(depth).alias("depth"), F.lit(kind).alias("local"),
-        F.concat(F.lit(kind[0]), key.cast("string")).alias("gml_id")
+    """Regions, nations and customers as a node table of one document, numbered in document order without gaps.
+
+    Customers are counted by nation and block of keys first, so that whatever the keys
+    each finds its number within its block and within the range of its own nation.
+    """
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.lit(None).cast("int").alias("nation"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
+    key = F.col("c_custkey")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(key / citygml.BIN).alias("block"), key)
+    blocks = customer.groupBy("nation", "block").agg(F.count("*").alias("n"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    held = F.lit(1) + F.coalesce("n", F.lit(0))
+    upper = region.unionByName(nation).join(blocks.groupBy("nation").agg(F.sum("n").alias("n")), "nation", "left").withColumns({"path": F.lit("doc"), "held": held})
+    upper = upper.withColumn("pre", before("held", earlier("path").orderBy("region", F.col("nation").asc_nulls_first())))
+    upper = upper.withColumn("last", F.col("pre") + F.when(F.col("nation").isNull(), F.sum("held").over(Window.partitionBy("path", "region"))).otherwise(F.col("held")) - 1)
+    nations = upper.where("nation IS NOT NULL")
+    first = blocks.withColumn("first", before("n", earlier("nation").orderBy("block")))
+    start = first.join(F.broadcast(nations.select("nation", "pre")), "nation").select("nation", "block", (F.col("pre") + F.col("first")).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("nation", "block").orderBy(key))
+    leaves = customer.withColumn("nth", nth).join(start, ["nation", "block"]).withColumn("pre", F.col("start") + F.col("nth"))
+    row = lambda df, last, depth, kind, of: df.select(
+        F.lit("doc").alias("path"), "pre", F.col(last).alias("last"), F.lit(depth).alias("depth"), F.lit(kind).alias("local"),
+        F.concat(F.lit(kind[0]), F.col(of).cast("string")).alias("gml_id")
     )
-    r = F.col("r_regionkey").cast("long") * 100 * span
-    n = F.col("n_regionkey").cast("long") * 100 * span + (F.col("n_nationkey").cast("long") + 1) * span
-    regions = row(table(spark, sf_dir, "region"), r, r + 100 * span - 1, 0, "Region", F.col("r_regionkey"))
-    nations = row(nation, n, n + span - 1, 1, "Nation", F.col("n_nationkey"))
-    placed = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    leaves = row(placed, n + 1 + F.col("c_custkey"), n + 1 + F.col("c_custkey"), 2, "Polygon", F.col("c_custkey"))
-    return regions.unionByName(nations).unionByName(leaves)
+    regions = row(upper.where("nation IS NULL"), "last", 0, "Region", "region")
+    return regions.unionByName(row(nations, "last", 1, "Nation", "nation")).unionByName(row(leaves, "pre", 2, "Polygon", "c_custkey"))
 
 
 def status_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +185,7 @@ SELECT 'R' || n_regionkey AS gml_id, 'Region' AS feature_type, '' AS parent, cou
 UNION ALL SELECT 'N' || n_nationkey, 'Nation', 'R' || n_regionkey, count(*) FROM p GROUP BY ALL
 """)
 def textured_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = citygml.textured_elements(place_tree(spark, sf_dir), status_polygons(spark, sf_dir))
+    elements = cut(citygml.textured_elements(place_tree(spark, sf_dir), status_polygons(spark, sf_dir)), "elements")
     named = citygml.with_parents(elements, citygml.outermost_parents(elements))
     return named.join(elements.select("path", "gml_id", "polygons"), ["path", "gml_id"]).drop("path")
 
@@ -182,7 +195,7 @@ WITH t AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus = 'P')
 SELECT DISTINCT 'N' || n_nationkey AS gml_id, 'R' || n_regionkey AS parent FROM t JOIN customer ON c = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """)
 def innermost_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = citygml.textured_elements(place_tree(spark, sf_dir), status_polygons(spark, sf_dir))
+    elements = cut(citygml.textured_elements(place_tree(spark, sf_dir), status_polygons(spark, sf_dir)), "elements")
     parents = citygml.outermost_parents(elements)
     return citygml.with_parents(citygml.innermost(elements, parents), parents).select("gml_id", "parent")
 
@@ -783,7 +796,6 @@ def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'n' || c_nationkey || '-' || (c_custkey // 2000) AS path, 'b' || c_custkey AS gml_id, 'Building' AS feature_type, '' AS parent FROM customer WHERE c_acctbal < 0")
 def xml_textured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tilewright.plans.cut import cut
     from tilewright.sources.xml_nodes import read_nodes
 
     return citygml.textured_features(cut(read_nodes(nation_documents(spark, sf_dir)), "nodes"))
@@ -791,7 +803,6 @@ def xml_textured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'n' || c_nationkey || '-' || (c_custkey // 2000) AS path, 'b' || c_custkey AS object, 'LOD1' AS lod, CASE WHEN c_acctbal < 0 THEN 't.jpg' ELSE '' END AS textures FROM customer")
 def xml_texture_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tilewright.plans.cut import cut
     from tilewright.sources.xml_nodes import read_nodes
 
     return citygml.texture_mapping(cut(read_nodes(nation_documents(spark, sf_dir)), "nodes"))
