@@ -51,3 +51,19 @@ def test_containers_of_customers_with_any_keys(spark, sf_dir, tmp_path):
     for name in ("textured_containers", "innermost_containers"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_tables_in_files_and_folders(spark, tmp_path):
+    want = duckdb.sql(ORACLES["table_files"]).fetchall()
+    root = tmp_path / "outer.parquet" / "data 1"
+    parts = ["", "/part-0000.parquet", "/part-0000.parquet", "/k=1/part-0.c000.snappy.parquet", "/0001"]
+    for nth, (name,) in enumerate(want):
+        for part in {parts[nth % 5], parts[nth % 5].replace("0000", "0001")}:
+            path = root / f"{name}.parquet{part}"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"x")
+    for other in ("notes.txt", "events.parquet.md5", "old/events2.parquet"):
+        (root / other).parent.mkdir(exist_ok=True)
+        (root / other).write_bytes(b"x")
+    for said in (str(root), f"{root}/", f"file://{root}", os.path.relpath(root)):
+        assert sorted(map(tuple, QUERIES["table_files"](spark, said).collect())) == sorted(want), said

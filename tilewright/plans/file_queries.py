@@ -661,5 +661,6 @@ def input_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name")
 def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the data folder found by their suffix, named without it."""
-    return decode.listing(spark, sf_dir, "*.parquet").select(decode.stem().alias("name")).distinct()
+    """Tables of the data folder found by their suffix, named without it; a table is a file or a folder of files of any name."""
+    found = decode.listing(spark, sf_dir).select(decode.entry(spark, sf_dir).alias("entry")).where("entry LIKE '%.parquet'")
+    return found.select(decode.stem("entry").alias("name")).distinct()

@@ -30,6 +30,14 @@ def listing(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
     return files(spark, root, suffix).select("path", "length")
 
 
+def entry(spark: SparkSession, root: str, path_col: str = "path"):  # noqa: ANN201
+    """Name of what holds a path directly in ``root``: the file itself, or the folder that it is a part of."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+    return F.substring_index(F.substr(path_col, F.lit(len(whole) + 2)), "/", 1)
+
+
 def stem(path_col: str = "path"):  # noqa: ANN201
     """File name without folder and last suffix."""
     return F.regexp_extract(path_col, r"([^/]+?)(?:\.[^./]*)?$", 1)
